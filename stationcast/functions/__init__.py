@@ -8,6 +8,7 @@ from stationcast.functions.scalars import (
     iso_seconds,
     path_value,
     sample_std,
+    settled,
     share_of_total,
     to_class,
     year_month,
@@ -23,6 +24,7 @@ __all__ = [
     "iso_seconds",
     "path_value",
     "sample_std",
+    "settled",
     "share_of_total",
     "to_class",
     "year_month",

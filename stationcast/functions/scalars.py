@@ -26,6 +26,15 @@ def half_even(c: ColumnLike, digits: int) -> Column:
     return F.bround(_col(c), digits)
 
 
+def settled(c: ColumnLike, digits: int) -> Column:
+    """The same for a mean or sum whose last bits depend on the order of addition.
+
+    Values are added up in a different order in every run, so one that sits on a tie could fall either
+    way; five more digits are settled first.
+    """
+    return F.bround(F.round(_col(c), digits + 5), digits)
+
+
 def cyclic(c: ColumnLike, period: int) -> tuple[Column, Column]:
     """Sine and cosine of a position on a cycle of the given length (H4)."""
     angle = _col(c) * F.lit(2 * math.pi / period)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stationcast.functions import clamp_class, floored_scale, half_even
+from stationcast.functions import clamp_class, floored_scale, half_even, settled
 from stationcast.operators.features import Medians, drift_features
 from stationcast.operators.scoring import Forecaster, backtest, persistence
 from stationcast.operators.series import MAX_SERIES_ROWS, Profile, profile, with_key_values
@@ -17,16 +18,6 @@ SCORE_LIMIT = 10.0
 _LABELS = [c for c, _, _ in CLASSES]
 
 
-@dataclass(frozen=True)
-class Drift:
-    """Long-form results; the first columns are the key unless pooled."""
-
-    features: DataFrame
-    classes: DataFrame
-    predictions: DataFrame
-    windows: DataFrame
-
-
 def two_windows(
     readings: DataFrame,
     days: int,
@@ -86,15 +77,15 @@ def feature_drift(rows: DataFrame, by: list[str], flag_above: float = 1.0) -> Da
     def score(f):
         raw = (F.col(f"new_{f}") - F.col(f"mean_{f}")) / floored_scale(f"std_{f}", f"mean_{f}")
         cut = F.greatest(F.lit(-SCORE_LIMIT), F.least(F.lit(SCORE_LIMIT), raw))
-        return F.when(raw.isNotNull(), half_even(cut, 3))
+        return F.when(raw.isNotNull(), settled(cut, 3))
 
     long = F.array(
         *[
             F.struct(
                 F.lit(f).alias("feature"),
                 F.col(f"n_{f}").alias("ref_n"),
-                half_even(f"mean_{f}", 4).alias("ref_mean"),
-                half_even(f"new_{f}", 4).alias("recent_mean"),
+                settled(f"mean_{f}", 4).alias("ref_mean"),
+                settled(f"new_{f}", 4).alias("recent_mean"),
                 score(f).alias("drift_score"),
             )
             for f in DRIFT_FEATURES
@@ -144,17 +135,17 @@ def class_shift(rows: DataFrame, by: list[str]) -> DataFrame:
     return _summary(rows, by, aggregates).select(*by, F.inline(long))
 
 
-def window_bounds(rows: DataFrame, by: list[str]) -> DataFrame:
+def window_bounds(rows: DataFrame, by: list[str], ts: str = "timestamp") -> DataFrame:
     """Row counts and time span of both windows."""
-    old, new, ts = ~F.col("recent"), F.col("recent"), F.col("timestamp")
+    old, new = ~F.col("recent"), F.col("recent")
     return _summary(
         rows,
         by,
         [
-            F.min(F.when(old, ts)).alias("ref_from"),
-            F.max(F.when(old, ts)).alias("ref_to"),
-            F.min(F.when(new, ts)).alias("recent_from"),
-            F.max(F.when(new, ts)).alias("recent_to"),
+            F.min(F.when(old, F.col(ts))).alias("ref_from"),
+            F.max(F.when(old, F.col(ts))).alias("ref_to"),
+            F.min(F.when(new, F.col(ts))).alias("recent_from"),
+            F.max(F.when(new, F.col(ts))).alias("recent_to"),
         ],
     )
 
@@ -188,28 +179,48 @@ def prediction_shift(
     return shares.select(*by, F.inline(long))
 
 
-def drift(
-    readings: DataFrame,
-    days: int = 1,
-    pooled: bool = False,
-    forecast: Forecaster = persistence,
-    medians: Medians | None = None,
-    key: str = "city_slug",
-    ts: str = "timestamp",
-    stats: Profile | None = None,
-    max_rows: int = MAX_SERIES_ROWS,
-    flag_above: float = 1.0,
-) -> Drift:
-    """All drift results for one window length. Lags are taken per series even when pooled."""
-    stats = stats or profile(readings, key)
-    rows = two_windows(readings, days, pooled, key, ts, stats)
-    inputs = drift_features(rows, key, ts, stats, max_rows)
-    by = [] if pooled else [key]
-    if ts != "timestamp":
-        rows = rows.withColumn("timestamp", F.col(ts))
-    return Drift(
-        features=feature_drift(inputs, by, flag_above),
-        classes=class_shift(rows, by),
-        predictions=prediction_shift(rows, by, forecast, medians, key, ts, stats, max_rows),
-        windows=window_bounds(rows, by),
-    )
+@dataclass(frozen=True)
+class Drift:
+    """Drift over one window length; every result is in long form, led by the key unless pooled.
+
+    Lags are taken per series even when pooled.
+    """
+
+    readings: DataFrame
+    days: int = 1
+    pooled: bool = False
+    forecast: Forecaster = persistence
+    medians: Medians | None = None
+    key: str = "city_slug"
+    ts: str = "timestamp"
+    stats: Profile | None = None
+    max_rows: int = MAX_SERIES_ROWS
+    flag_above: float = 1.0
+
+    @cached_property
+    def _stats(self) -> Profile:
+        return self.stats or profile(self.readings, self.key)
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        stats = self.stats if self.pooled else self._stats
+        return two_windows(self.readings, self.days, self.pooled, self.key, self.ts, stats)
+
+    @property
+    def _by(self) -> list[str]:
+        return [] if self.pooled else [self.key]
+
+    def features(self) -> DataFrame:
+        inputs = drift_features(self._rows, self.key, self.ts, self._stats, self.max_rows)
+        return feature_drift(inputs, self._by, self.flag_above)
+
+    def classes(self) -> DataFrame:
+        return class_shift(self._rows, self._by)
+
+    def predictions(self) -> DataFrame:
+        return prediction_shift(
+            self._rows, self._by, self.forecast, self.medians, self.key, self.ts, self._stats, self.max_rows
+        )
+
+    def windows(self) -> DataFrame:
+        return window_bounds(self._rows, self._by, self.ts)

@@ -10,19 +10,16 @@ from stationcast.functions import clamp_class, cyclic, half_even, sample_std, sh
 from stationcast.operators.series import MAX_SERIES_ROWS, Profile, WindowExpr, over_series
 from stationcast.schemas import DEFAULT_MEDIANS, FEATURES, RATIO_EPSILON, TARGET
 
-Medians = Mapping[str, float] | DataFrame
+# One number per feature.
+Medians = Mapping[str, float]
 
 LOOK_BACK, LOOK_AHEAD = 3, 2
 NEED = ["pm10_lag1", "aqi_lag3", "aqi_roll_std4", TARGET]
 
 
 def median_of(medians: Medians | None, feature: str) -> Column:
-    """A median as a column: a literal, or a field of a one-row table read as a scalar subquery."""
-    if medians is None:
-        medians = DEFAULT_MEDIANS
-    if isinstance(medians, DataFrame):
-        return medians.select(F.struct(*medians.columns)).scalar()[feature]
-    return F.lit(float(medians.get(feature, 0.1 if feature == "pm25_ratio" else 0.0)))
+    known = DEFAULT_MEDIANS if medians is None else medians
+    return F.lit(float(known.get(feature, 0.1 if feature == "pm25_ratio" else 0.0)))
 
 
 def neighbour_columns(ts: str) -> dict[str, WindowExpr]:

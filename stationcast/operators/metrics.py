@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from stationcast.functions import half_even
+from stationcast.functions import half_even, settled
 from stationcast.operators.cleaning import as_of_column, look_back
 from stationcast.schemas import CLASSES, HISTORY_HOURS
 
@@ -70,12 +70,12 @@ def overall_scores(predictions: DataFrame, by: list[str] | None = None) -> DataF
 
     def weighted(name):
         total = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s[name] * s["support"])
-        return half_even(_ratio(total, F.col("n_predictions")), 4).alias(name)
+        return settled(_ratio(total, F.col("n_predictions")), 4).alias(name)
 
     macro = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s["f1"]) / len(_LABELS)
     return rows.select(
         *by, "n_predictions", weighted("precision"), weighted("recall"), weighted("f1"),
-        half_even(macro, 4).alias("f1_macro"),
+        settled(macro, 4).alias("f1_macro"),
     )
 
 
@@ -93,11 +93,14 @@ def by_window(
     """
     last = as_of_column(predictions if newest is None else newest, ts, as_of)
     longest = last - F.make_dt_interval(hours=F.lit(max(hours) + slack_hours))
-    windows = F.filter(
-        F.array(*[F.lit(h) for h in hours]),
-        lambda h: F.col(ts) >= last - F.make_dt_interval(hours=h + slack_hours),
+    windows = F.array(
+        *[F.when(F.col(ts) >= last - F.make_dt_interval(hours=F.lit(h + slack_hours)), h) for h in hours]
+    )
+    return (
+        predictions.where(F.col(ts) >= longest)
+        .withColumn("window_hours", F.explode(windows))
+        .where(F.col("window_hours").isNotNull())
     )
-    return predictions.where(F.col(ts) >= longest).withColumn("window_hours", F.explode(windows))
 
 
 def daily_accuracy(predictions: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -127,10 +130,10 @@ def accuracy_summary(daily: DataFrame, drop_of: float = 0.10) -> DataFrame:
     week = row.where(F.size("d") >= 2).select(
         mean(1).alias("_last"), F.when(F.size("d") >= 14, mean(8)).alias("_prior")
     )
-    delta = half_even(F.col("_last") - F.col("_prior"), 4)
+    delta = settled(F.col("_last") - F.col("_prior"), 4)
     return week.select(
-        half_even("_last", 4).alias("last_7d_accuracy"),
-        half_even("_prior", 4).alias("prior_7d_accuracy"),
+        settled("_last", 4).alias("last_7d_accuracy"),
+        settled("_prior", 4).alias("prior_7d_accuracy"),
         delta.alias("wow_delta"),
         F.coalesce(delta < -drop_of, F.lit(False)).alias("concept_drift_flag"),
     )

@@ -2,85 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _BINS = 4096
 _SKETCH = 1000
 
 
-def medians_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(feature, median)`` for every column; nulls skipped, an even count averages the middle two.
+def median_values(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The median of every column; nulls skipped, an even count averages the middle two.
 
-    The built-in exact ``median`` keeps every distinct value of a column in one task. Here a sketch
-    brackets the middle, a histogram of the bracket (everything outside falls in two outer bins) tells
-    which bin holds the middle rows, and only the values of those bins are counted one by one. The
-    sketch only has to be close: whatever it says, the bin that holds the middle is found by counting.
+    The built-in exact ``median`` keeps all distinct values of a column in one task. Here three passes
+    narrow it down instead: a sketch brackets the middle, a histogram of the bracket (with one outer
+    bin on each side) tells which bin holds the middle rows, and only the values of that bin are
+    counted one by one. The sketch only has to be near: the bin is found by counting, whichever it is.
+    A few numbers per column come to the driver after each pass. A table that is costly to compute is
+    best written first.
     """
-    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
-    long = numbers.unpivot([], columns, "feature", "value").where(F.col("value").isNotNull())
-
+    names = dict(enumerate(columns))
+    numbers = df.select(*[_number(c).alias(f"c{i}") for i, c in names.items()])
     ends = numbers.agg(
-        *[F.percentile_approx(c, [0.497, 0.503], _SKETCH).alias(c) for c in columns]
-    )
-    bracket = ends.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("feature"), F.get(c, F.lit(0)).alias("lo"), F.get(c, F.lit(1)).alias("hi"))
-                    for c in columns
-                ]
-            )
-        )
-    )
-    inside = F.least(
-        F.floor(F.try_divide((F.col("value") - F.col("lo")) * _BINS, F.col("hi") - F.col("lo"))), F.lit(_BINS - 1)
-    )
-    bin_of = (
-        F.when(F.col("value") < F.col("lo"), -1)
-        .when(F.col("value") > F.col("hi"), _BINS)
-        .otherwise(F.coalesce(inside, F.lit(0)))
-    )
-    # One row per feature: as many rows as there are columns.
-    binned = long.join(F.broadcast(bracket), "feature").select("feature", "value", bin_of.alias("bin"))
+        *[F.percentile_approx(f"c{i}", [0.497, 0.503], _SKETCH).alias(f"e{i}") for i in names],
+        *[F.count(f"c{i}").alias(f"n{i}") for i in names],
+    ).first()
+    names = {i: c for i, c in names.items() if ends[f"n{i}"] > 0}
+    if not names:
+        return {}
+    ranks = {i: sorted({(ends[f"n{i}"] - 1) // 2, ends[f"n{i}"] // 2}) for i in names}
+    bins = {i: _bin(f"c{i}", *ends[f"e{i}"]) for i in names}
 
-    up_to = Window.partitionBy("feature").orderBy("bin")
-    whole = Window.partitionBy("feature")
-    ranked = (
-        binned.groupBy("feature", "bin")
+    sizes = (
+        numbers.select(*[b.alias(str(i)) for i, b in bins.items()])
+        .unpivot([], [str(i) for i in names], "i", "bin")
+        .where(F.col("bin").isNotNull())
+        .groupBy("i", "bin")
         .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(up_to))
-        .withColumn("rows", F.sum("n").over(whole))
-        .withColumn("rank", F.explode(F.array(F.expr("(rows - 1) div 2"), F.expr("rows div 2"))))
-        .withColumn("before", F.col("upto") - F.col("n"))
-        .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-    )
-    middle = ranked.groupBy("feature", "bin").agg(
-        F.first("before").alias("before"), F.array_sort(F.collect_list("rank")).alias("ranks")
     )
-    # At most two bins per feature.
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("bin"))
+    wanted = F.create_map(*[x for i, r in ranks.items() for x in (F.lit(str(i)), F.array(*[F.lit(k) for k in r]))])
+    ranked = sizes.withColumn("before", upto - F.col("n")).withColumn("rank", F.explode(F.element_at(wanted, F.col("i"))))
+    hits = ranked.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).collect()
+    middle = {i: [h for h in hits if h["i"] == str(i)] for i in names}
+
+    held = [
+        F.when(bins[i].isin([h["bin"] for h in middle[i]]), F.struct(bins[i].alias("bin"), F.col(f"c{i}").alias("value")))
+        for i in names
+    ]
     counted = (
-        binned.join(F.broadcast(middle), ["feature", "bin"])
-        .groupBy("feature", "bin", "value")
-        .agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("ranks").alias("ranks"))
+        numbers.select(*[h.alias(str(i)) for h, i in zip(held, names)])
+        .unpivot([], [str(i) for i in names], "i", "held")
+        .where(F.col("held").isNotNull())
+        .groupBy("i", "held")
+        .agg(F.count("*").alias("n"))
+        .select("i", "held.*", "n")
+    )
+    # Distinct values of one narrow bin.
+    inside = F.sum("n").over(Window.partitionBy("i", "bin").orderBy("value"))
+    offset = {i: {h["bin"]: h["before"] for h in middle[i]} for i in names}
+    starts = F.create_map(
+        *[x for i in names for b, n in offset[i].items() for x in (F.lit(f"{i}/{b}"), F.lit(n))]
     )
-    by_value = Window.partitionBy("feature", "bin").orderBy("value")
-    return (
-        counted.withColumn("upto", F.col("before") + F.sum("n").over(by_value))
-        .withColumn("rank", F.explode("ranks"))
+    before = F.element_at(starts, F.concat_ws("/", "i", "bin"))
+    rows = (
+        counted.withColumn("upto", before + inside)
+        .withColumn("rank", F.explode(F.element_at(wanted, F.col("i"))))
         .where((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-        .groupBy("feature")
+        .groupBy("i")
         .agg(F.avg("value").alias("median"))
+        .collect()
     )
+    return {names[int(i)]: m for i, m in rows}
 
 
-def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The same as one row with one column per input column."""
-    long = medians_long(df, columns)
-    return long.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in columns])
+def _number(c: str) -> Column:
+    return F.nanvl(F.col(c).cast("double"), F.lit(None))
+
+
+def _bin(c: str, lo: float, hi: float) -> Column:
+    """Position of a value in the bracket: -1 below, ``_BINS`` above, rising with the value."""
+    v, width = F.col(c), (hi - lo) / _BINS
+    inside = F.least(F.floor((v - lo) / width), F.lit(_BINS - 1)) if width > 0 else F.lit(0)
+    return F.when(v.isNotNull(), F.when(v < lo, -1).when(v > hi, _BINS).otherwise(inside).cast("int"))
 
 
 def approximate_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:
     """One pass, rank error at most ``1/accuracy``: for runs where the exact value does not matter."""
-    return df.agg(
-        *[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None)), 0.5, accuracy).alias(c) for c in columns]
-    )
+    return df.agg(*[F.percentile_approx(_number(c), 0.5, accuracy).alias(c) for c in columns])

@@ -30,7 +30,6 @@ BRONZE_HOURLY = T.StructType(
         T.StructField("year", T.StringType()),
         T.StructField("month", T.StringType()),
         T.StructField("day", T.StringType()),
-        T.StructField("hour", T.StringType()),
     ]
 )
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stationcast.functions import year_month
 from stationcast.operators.cleaning import dedup_keep_first
 from stationcast.operators.upsert import KEYS, table_or_none, touched, upsert_table, write_months
-from stationcast.schemas import GOLD, PREDICTION, SILVER
+from stationcast.schemas import BRONZE_HOURLY, GOLD, PREDICTION, SILVER
 
 
 def write_bulk(df: DataFrame, path: str) -> None:
@@ -24,12 +24,24 @@ def write_bulk(df: DataFrame, path: str) -> None:
     )
 
 
-def write_hourly(df: DataFrame, path: str, at: str = "timestamp") -> None:
-    """One hour of bronze in zero-padded folders (K2). Running an hour again replaces that hour."""
-    formats = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
-    rows = df.withColumns({name: F.date_format(at, f) for name, f in formats.items()})
+def write_hourly(spark: SparkSession, df: DataFrame, path: str, at: str = "timestamp") -> None:
+    """Hourly bronze in zero-padded ``year=/month=/day=`` folders (K2).
+
+    The hours in the batch are replaced, so an hour that is delivered again does not double; other
+    hours of the same days are kept.
+    """
+    formats = {"year": "yyyy", "month": "MM", "day": "dd"}
+    columns = [f.name for f in BRONZE_HOURLY.fields if f.name not in formats]
+    rows = df.select(*columns).withColumns({name: F.date_format(at, f) for name, f in formats.items()})
+    existing = table_or_none(spark, path, BRONZE_HOURLY)
+    if existing is not None:
+        hours = rows.select(F.date_trunc("HOUR", at).alias("_hour")).distinct()
+        days = touched(rows.select(F.concat(*formats).alias("_day")), "_day")
+        kept = existing.where(F.concat(*formats).isin(days)).withColumn("_hour", F.date_trunc("HOUR", at))
+        rows = rows.unionByName(kept.join(hours, "_hour", "left_anti").drop("_hour"))
     (
         rows.hint("rebalance", *formats)
+        .sortWithinPartitions(*formats, "city_slug", at)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*formats)

@@ -3,27 +3,25 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from stationcast.schemas import FEATURES
 
 
-def save_artifacts(model: PipelineModel, medians: DataFrame, path: str) -> None:
+def save_artifacts(spark: SparkSession, model: PipelineModel, medians: Mapping[str, float], path: str) -> None:
     """Write the model, the feature order and the medians below one folder."""
-    spark = medians.sparkSession
     model.write().overwrite().save(f"{path}/model")
-    medians.coalesce(1).write.mode("overwrite").json(f"{path}/medians")
-    spark.createDataFrame([(json.dumps(FEATURES),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/features"
-    )
+    for name, value in (("medians", dict(medians)), ("features", FEATURES)):
+        text = spark.createDataFrame([(json.dumps(value),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
 def load_artifacts(spark: SparkSession, path: str) -> tuple[PipelineModel, dict[str, float]]:
-    """The model and its medians (one number per feature)."""
-    if json.loads(spark.read.text(f"{path}/features").first()[0]) != FEATURES:
+    """The model and its medians, one number per feature."""
+    medians, features = (json.loads(spark.read.text(f"{path}/{name}").first()[0]) for name in ("medians", "features"))
+    if features != FEATURES:
         raise ValueError(f"{path} was fitted on other features")
-    schema = ", ".join(f"{f} double" for f in FEATURES)
-    row = spark.read.schema(schema).json(f"{path}/medians").first()
-    return PipelineModel.load(f"{path}/model"), {k: v for k, v in row.asDict().items() if v is not None}
+    return PipelineModel.load(f"{path}/model"), medians

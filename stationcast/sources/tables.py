@@ -40,7 +40,7 @@ def read_mixed_bulk(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
 
 
 def read_hourly(spark: SparkSession, root: str, year: str | None = None, month: str | None = None) -> DataFrame:
-    """Hourly bronze in ``year=/month=/day=/hour=`` folders, values as zero-padded text."""
+    """Hourly bronze in ``year=/month=/day=`` folders, values as zero-padded text."""
     rows = with_position(spark.read.schema(BRONZE_HOURLY).parquet(root))
     for name, value in (("year", year), ("month", month)):
         if value is not None:

@@ -10,6 +10,13 @@ ORACLE: dict[str, str] = {}
 _PI2 = "2 * pi()"
 
 
+def _settled(x: str, digits: int) -> str:
+    """Half-even rounding of a value first settled to five more digits, in whole numbers."""
+    v = f"CAST(round(abs({x}) * 1e{digits + 5}) AS BIGINT)"
+    up = f"{v} % 100000 > 50000 OR ({v} % 100000 = 50000 AND {v} // 100000 % 2 = 1)"
+    return f"(({v} // 100000 + CASE WHEN {up} THEN 1 ELSE 0 END) / 1e{digits} * sign({x}) + 0.0)"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
 
@@ -241,11 +248,11 @@ scores AS (
 def _overall(by: str = "") -> str:
     keys = f"{by}, " if by else ""
     total = ", ".join(
-        f'round(round_even(sum({m} * support) / max(n_predictions), 4), 6) + 0.0 AS {m}' for m in ('"precision"', "recall", "f1")
+        f'{_settled(f"sum({m} * support) / max(n_predictions)", 4)} AS {m}' for m in ('"precision"', "recall", "f1")
     )
     return (
         f"SELECT {keys}max(n_predictions) AS n_predictions, {total}, "
-        f"round(round_even(sum(f1) / 5, 4), 6) + 0.0 AS f1_macro FROM scores {'GROUP BY ' + by if by else 'HAVING count(*) > 0'}"
+        f"{_settled('sum(f1) / 5', 4)} AS f1_macro FROM scores {'GROUP BY ' + by if by else 'HAVING count(*) > 0'}"
     )
 
 
@@ -273,9 +280,9 @@ ORACLE["accuracy_summary"] = _with(*_B, DAILY, "numbered AS (SELECT *, row_numbe
     """sides AS (
   SELECT avg(accuracy) FILTER (rn <= 7) AS a, CASE WHEN count(*) >= 14 THEN avg(accuracy) FILTER (rn BETWEEN 8 AND 14) END AS b
   FROM numbered HAVING count(*) >= 2
-)""") + """
-SELECT round(round_even(a, 4), 6) + 0.0 AS last_7d_accuracy, round(round_even(b, 4), 6) + 0.0 AS prior_7d_accuracy,
-  round(round_even(a - b, 4), 6) + 0.0 AS wow_delta, coalesce(round_even(a - b, 4) < -0.10, false) AS concept_drift_flag
+)""") + f"""
+SELECT {_settled('a', 4)} AS last_7d_accuracy, {_settled('b', 4)} AS prior_7d_accuracy,
+  {_settled('a - b', 4)} AS wow_delta, coalesce({_settled('a - b', 4)} < -0.10, false) AS concept_drift_flag
 FROM sides"""
 
 # --- drift ----------------------------------------------------------------------------------------
@@ -314,12 +321,11 @@ def _drift_features(days: int, pooled: bool) -> str:
     return _with(*_two_windows(days, pooled), f"long AS ({long})", f"""
 scored AS (
   SELECT {key} feature, m, r,
-    round_even(CASE WHEN r IS NOT NULL THEN
-      greatest(-10, least(10, (r - m) / greatest(s, 0.01::DOUBLE * greatest(abs(m), 1.0::DOUBLE)))) END, 3) AS drift_score
+    {_settled("CASE WHEN r IS NOT NULL THEN greatest(-10, least(10, (r - m) / "
+              "greatest(s, 0.01::DOUBLE * greatest(abs(m), 1.0::DOUBLE)))) END", 3)} AS drift_score
   FROM long WHERE n >= 2 AND {gate}
 )""") + f"""
-SELECT {key} feature, round(round_even(m, 4), 6) + 0.0 AS ref_mean, round(round_even(r, 4), 6) + 0.0 AS recent_mean,
-  round(drift_score, 6) + 0.0 AS drift_score, coalesce(abs(drift_score) > 1.0, false) AS flag
+SELECT {key} feature, {_settled('m', 4)} AS ref_mean, {_settled('r', 4)} AS recent_mean, drift_score, coalesce(abs(drift_score) > 1.0, false) AS flag
 FROM scored"""
 
 

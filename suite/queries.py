@@ -40,6 +40,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Written once, for queries that pass over it several times."""
+    path = workspace(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # --- features -------------------------------------------------------------------------------------
 
 
@@ -71,7 +78,8 @@ def features_max_gap(spark, d):
 @query
 def feature_medians(spark, d):
     """A1"""
-    return quantiles.medians_long(feature_ops.training_features(readings(spark, d)), FEATURES)
+    values = quantiles.median_values(_stored(spark, feature_ops.training_features(readings(spark, d))), FEATURES)
+    return spark.createDataFrame(list(values.items()), "feature string, median double")
 
 
 @query
@@ -120,8 +128,8 @@ def transition_weights(spark, d):
 @query
 def training_rows(spark, d):
     """A4, A5, W8, P12, J6, H19"""
-    rows = training.with_weights(_labelled(spark, d))
-    filled = training.impute(rows, quantiles.medians(rows, FEATURES))
+    rows = _stored(spark, training.with_weights(_labelled(spark, d)))
+    filled = training.impute(rows, quantiles.median_values(rows, FEATURES))
     return filled.select("city_slug", "timestamp", "label", "kind", "weight", *FEATURES)
 
 
@@ -226,49 +234,49 @@ def accuracy_summary(spark, d):
 @query
 def drift_features_keyed(spark, d):
     """A8"""
-    return drift_ops.drift(readings(spark, d), 7).features
+    return drift_ops.Drift(readings(spark, d), 7).features()
 
 
 @query
 def drift_features_pooled(spark, d):
     """A8, C11"""
-    return drift_ops.drift(readings(spark, d), 7, pooled=True).features
+    return drift_ops.Drift(readings(spark, d), 7, pooled=True).features()
 
 
 @query
 def drift_features_pooled_1d(spark, d):
     """A8 with one-day windows"""
-    return drift_ops.drift(readings(spark, d), 1, pooled=True).features
+    return drift_ops.Drift(readings(spark, d), 1, pooled=True).features()
 
 
 @query
 def drift_class_share(spark, d):
     """A9"""
-    return drift_ops.drift(readings(spark, d), 7).classes
+    return drift_ops.Drift(readings(spark, d), 7).classes()
 
 
 @query
 def drift_class_share_pooled(spark, d):
     """A9"""
-    return drift_ops.drift(readings(spark, d), 7, pooled=True).classes
+    return drift_ops.Drift(readings(spark, d), 7, pooled=True).classes()
 
 
 @query
 def drift_prediction_share(spark, d):
     """A10"""
-    return drift_ops.drift(readings(spark, d), 7).predictions
+    return drift_ops.Drift(readings(spark, d), 7).predictions()
 
 
 @query
 def drift_prediction_share_pooled(spark, d):
     """A10"""
-    return drift_ops.drift(readings(spark, d), 7, pooled=True).predictions
+    return drift_ops.Drift(readings(spark, d), 7, pooled=True).predictions()
 
 
 @query
 def drift_windows(spark, d):
     """A11, W7"""
-    return drift_ops.drift(readings(spark, d), 7).windows
+    return drift_ops.Drift(readings(spark, d), 7).windows()
 
 
 # --- cleaning and sources -------------------------------------------------------------------------
@@ -336,10 +344,11 @@ def clean_bronze(spark, d):
 
 @query
 def hourly_partitions(spark, d):
-    """K2, S2, S4"""
+    """K2, S2, S4; the afternoons are delivered a second time"""
     path = workspace(spark, "hourly")
-    rows = silver(spark, d).withColumn("dt", F.unix_timestamp("timestamp")).drop("source")
-    sinks.write_hourly(rows, path)
+    rows = silver(spark, d).withColumn("dt", F.unix_timestamp("timestamp"))
+    sinks.write_hourly(spark, rows, path)
+    sinks.write_hourly(spark, rows.where(F.hour("timestamp") >= 12), path)
     back = sources.read_hourly(spark, path)
     parts = [c.alias(f"path_{n}") for c, n in zip(sources.partition_of("_file"), ("year", "month", "day"))]
     return back.select("*", *parts).groupBy("year", "month", "day", "path_year", "path_month", "path_day").agg(
@@ -549,13 +558,10 @@ def coverage(spark, d):
 
 
 def _fitted(spark, d, path):
-    prepared = workspace(spark, "training")
-    rows = training.with_weights(_labelled(spark, d))
-    rows.write.parquet(prepared)
-    rows = spark.read.parquet(prepared)
-    medians = quantiles.medians(rows, FEATURES)
+    rows = _stored(spark, training.with_weights(_labelled(spark, d)))
+    medians = quantiles.median_values(rows, FEATURES)
     model = training.fit(training.impute(rows, medians), training.random_forest(trees=10, depth=5))
-    artifacts.save_artifacts(model, medians, path)
+    artifacts.save_artifacts(spark, model, medians, path)
     return artifacts.load_artifacts(spark, path)
 
 
