@@ -58,9 +58,15 @@ def table_or_none(spark: SparkSession, path: str, schema: StructType | None = No
     return spark.read.schema(schema).parquet(path) if schema is not None else found
 
 
-def touched(source: DataFrame, partition: str) -> list[str]:
-    """Partition values in a batch: calendar months, so a short list."""
-    return sorted(r[0] for r in source.select(partition).distinct().collect() if r[0] is not None)
+def touched(source: DataFrame, partition: str) -> list[str | None]:
+    """Partition values in a batch: calendar months or days, so a short list."""
+    return [r[0] for r in source.select(partition).distinct().collect()]
+
+
+def in_partitions(df: DataFrame, partition: str, values: list[str | None]) -> DataFrame:
+    """Rows of the given partitions; other folders are not read."""
+    among = F.col(partition).isin([v for v in values if v is not None])
+    return df.where(among | F.col(partition).isNull() if None in values else among)
 
 
 def upsert_table(
@@ -91,7 +97,7 @@ def upsert_table(
     existing = table_or_none(spark, path, schema)
     if existing is None:
         existing = spark.createDataFrame([], schema)
-    current = existing.where(F.col(partition).isin(months))
+    current = in_partitions(existing, partition, months)
     merged = upsert(current.select(*data_columns, partition), batch, keys, [*keep, partition], source_order)
     write_months(merged, path, partition, list(keys))
 

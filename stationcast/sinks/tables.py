@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stationcast.functions import year_month
 from stationcast.operators.cleaning import dedup_keep_first
-from stationcast.operators.upsert import KEYS, table_or_none, touched, upsert_table, write_months
+from stationcast.operators.upsert import KEYS, in_partitions, table_or_none, touched, upsert_table, write_months
 from stationcast.schemas import BRONZE_HOURLY, GOLD, PREDICTION, SILVER
 
 
@@ -37,7 +37,8 @@ def write_hourly(spark: SparkSession, df: DataFrame, path: str, at: str = "times
     if existing is not None:
         hours = rows.select(F.date_trunc("HOUR", at).alias("_hour")).distinct()
         days = touched(rows.select(F.concat(*formats).alias("_day")), "_day")
-        kept = existing.where(F.concat(*formats).isin(days)).withColumn("_hour", F.date_trunc("HOUR", at))
+        among = existing.where(F.concat(*formats).isin([d for d in days if d is not None]))
+        kept = among.withColumn("_hour", F.date_trunc("HOUR", at))
         rows = rows.unionByName(kept.join(hours, "_hour", "left_anti").drop("_hour"))
     (
         rows.hint("rebalance", *formats)
@@ -67,7 +68,7 @@ def append_predictions(
     existing = table_or_none(spark, path, GOLD)
     if existing is not None:
         months = touched(batch, "ym")
-        batch = batch.join(existing.where(F.col("ym").isin(months)).select(*keys), list(keys), "left_anti")
+        batch = batch.join(in_partitions(existing, "ym", months).select(*keys), list(keys), "left_anti")
     batch.hint("rebalance", "ym").write.mode("append").partitionBy("ym").parquet(path)
 
 

@@ -79,6 +79,15 @@ def read_silver(
     return readable(rows) if clamp else rows
 
 
+def newest_time(spark: SparkSession, path: str) -> dt.datetime:
+    """The newest time in silver, read from its newest month only."""
+    rows = spark.read.schema(SILVER).parquet(path)
+    months = [r[0] for r in rows.select("ym").distinct().collect() if r[0] is not None]
+    if not months:
+        raise ValueError(f"{path} holds no readings")
+    return rows.where(F.col("ym") == max(months)).agg(F.max("timestamp")).first()[0]
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Gold forecasts."""
     return spark.read.schema(GOLD).parquet(path)
