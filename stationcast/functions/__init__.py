@@ -3,7 +3,6 @@ from stationcast.functions.scalars import (
     cyclic,
     dew_point,
     drop_nan,
-    floored_scale,
     half_even,
     iso_seconds,
     path_value,
@@ -19,7 +18,6 @@ __all__ = [
     "cyclic",
     "dew_point",
     "drop_nan",
-    "floored_scale",
     "half_even",
     "iso_seconds",
     "path_value",

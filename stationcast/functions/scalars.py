@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -35,10 +35,10 @@ def settled(c: ColumnLike, digits: int) -> Column:
     return F.bround(F.round(_col(c), digits + 5), digits)
 
 
-def cyclic(c: ColumnLike, period: int) -> tuple[Column, Column]:
-    """Sine and cosine of a position on a cycle of the given length (H4)."""
-    angle = _col(c) * F.lit(2 * math.pi / period)
-    return F.sin(angle), F.cos(angle)
+def cyclic(expression: str, period: int) -> tuple[Column, Column]:
+    """Sine and cosine of a position on a cycle of the given length, from a SQL expression (H4)."""
+    angle = f"({expression}) * {2 * math.pi / period!r}D"
+    return F.expr(f"sin({angle})"), F.expr(f"cos({angle})")
 
 
 def to_class(c: ColumnLike) -> Column:
@@ -55,35 +55,26 @@ def clamp_class(c: ColumnLike, lowest: int | None = None, highest: int = 5) -> C
     return F.when(value.isNotNull(), cut.cast("int"))
 
 
-def share_of_total(part: ColumnLike, others: list[ColumnLike], nulls: str = "zero") -> Column:
-    """``part / (part + others)`` (H7).
+def share_of_total(part: str, others: Sequence[str], nulls: str = "zero") -> Column:
+    """``part / (part + others)`` over named columns (H7).
 
     ``nulls='zero'`` counts a missing other as 0; ``nulls='null'`` makes the share null. A missing
     part gives null in both.
     """
     if nulls not in ("zero", "null"):
         raise ValueError(f"nulls must be 'zero' or 'null', not {nulls!r}")
-    terms = [_col(part), *map(_col, others)]
-    if nulls == "zero":
-        terms = [F.coalesce(t, F.lit(0.0)) for t in terms]
-    return _col(part) / (reduce(lambda a, b: a + b, terms) + F.lit(RATIO_EPSILON))
-
-
-def sample_std(values: list[ColumnLike], at_least: int = 2) -> Column:
-    """Sample standard deviation over the non-null values of one row."""
-    cols = [_col(v).cast("double") for v in values]
-    zero = F.lit(0.0)
-    n = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cols])
-    mean = F.try_divide(reduce(lambda a, b: a + b, [F.coalesce(c, zero) for c in cols]), n)
-    squares = reduce(
-        lambda a, b: a + b, [F.coalesce((c - mean) * (c - mean), zero) for c in cols]
-    )
-    return F.when(n >= at_least, F.sqrt(F.try_divide(squares, n - 1)))
-
-
-def floored_scale(std: ColumnLike, mean: ColumnLike, fraction: float = 0.01) -> Column:
-    """A deviation that is never below a fraction of the scale of the mean."""
-    return F.greatest(_col(std), F.lit(fraction) * F.greatest(F.abs(_col(mean)), F.lit(1.0)))
+    form = "coalesce(`{}`, 0D)" if nulls == "zero" else "`{}`"
+    total = " + ".join(form.format(c) for c in (part, *others))
+    return F.expr(f"`{part}` / ({total} + {RATIO_EPSILON!r}D)")
+
+
+def sample_std(values: Sequence[str], at_least: int = 2) -> Column:
+    """Sample standard deviation over the non-null values of named columns of one row."""
+    cols = [f"CAST(`{v}` AS DOUBLE)" for v in values]
+    n = " + ".join(f"CAST(`{v}` IS NOT NULL AS INT)" for v in values)
+    mean = f"try_divide({' + '.join(f'coalesce({c}, 0D)' for c in cols)}, {n})"
+    squares = " + ".join(f"coalesce(({c} - {mean}) * ({c} - {mean}), 0D)" for c in cols)
+    return F.expr(f"CASE WHEN {n} >= {at_least} THEN sqrt(try_divide({squares}, {n} - 1)) END")
 
 
 def dew_point(temp: ColumnLike, humidity: ColumnLike) -> Column:

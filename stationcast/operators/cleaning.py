@@ -31,10 +31,8 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     """
     columns = df.columns
     rest = [c for c in columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(first.alias("_first")).select(
-        *[F.col(c) if c in keys else F.col(f"_first.`{c}`").alias(c) for c in columns]
-    )
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    return df.groupBy(*keys).agg(first).selectExpr(*_unpacked(columns, keys, "_first"))
 
 
 def newest_forecast(df: DataFrame, key: str = "city_slug") -> DataFrame:
@@ -43,11 +41,12 @@ def newest_forecast(df: DataFrame, key: str = "city_slug") -> DataFrame:
     rest = [c for c in columns if c not in (key, "forecast_for")]
     # Equal as_of: fall back on the remaining values, so the choice is repeatable.
     order = F.struct("as_of", *[c for c in rest if c != "as_of"])
-    return (
-        df.groupBy(key, "forecast_for")
-        .agg(F.max_by(F.struct(*rest), order).alias("_last"))
-        .select(*[F.col(c) if c in (key, "forecast_for") else F.col(f"_last.`{c}`").alias(c) for c in columns])
-    )
+    last = F.max_by(F.struct(*rest), order).alias("_last")
+    return df.groupBy(key, "forecast_for").agg(last).selectExpr(*_unpacked(columns, (key, "forecast_for"), "_last"))
+
+
+def _unpacked(columns: Sequence[str], keys: Sequence[str], struct: str) -> list[str]:
+    return [f"`{c}`" if c in keys else f"`{struct}`.`{c}` AS `{c}`" for c in columns]
 
 
 def clean_readings(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from stationcast.functions import clamp_class, floored_scale, half_even, settled
+from stationcast.functions import clamp_class
 from stationcast.operators.features import Medians, drift_features
 from stationcast.operators.scoring import Forecaster, backtest, persistence
 from stationcast.operators.series import MAX_SERIES_ROWS, Profile, profile, with_key_values
@@ -53,99 +53,85 @@ def _gate(rows: DataFrame) -> DataFrame:
     return rows.where(enough)
 
 
-def _summary(rows: DataFrame, by: list[str], aggregates: list[Column]) -> DataFrame:
-    sizes = [F.count_if(~F.col("recent")).alias("ref_rows"), F.count_if("recent").alias("recent_rows")]
-    return _gate(rows.groupBy(*by).agg(*sizes, *aggregates))
+def _summary(rows: DataFrame, by: list[str], aggregates: list[str]) -> DataFrame:
+    sizes = ["count_if(NOT recent) AS ref_rows", "count_if(recent) AS recent_rows"]
+    return _gate(rows.groupBy(*by).agg(*map(F.expr, [*sizes, *aggregates])))
+
+
+def _settled(expression: str, digits: int) -> str:
+    return f"bround(round({expression}, {digits + 5}), {digits})"
 
 
 def feature_drift(rows: DataFrame, by: list[str], flag_above: float = 1.0) -> DataFrame:
     """Shift of each input's mean in units of its reference deviation.
 
-    One aggregate with all inputs side by side; only its result is turned into long form. Inputs with
-    fewer than two reference values are left out, inputs without recent values score null.
+    One aggregate with all inputs side by side; only its result is turned into long form. The
+    deviation is never taken below 1 % of the scale of the mean. Inputs with fewer than two reference
+    values are left out, inputs without recent values score null.
     """
-    old, new = ~F.col("recent"), F.col("recent")
-    aggregates = []
+    aggregates, long = [], []
     for f in DRIFT_FEATURES:
         aggregates += [
-            F.count(F.when(old, F.col(f))).alias(f"n_{f}"),
-            F.avg(F.when(old, F.col(f))).alias(f"mean_{f}"),
-            F.stddev_samp(F.when(old, F.col(f))).alias(f"std_{f}"),
-            F.avg(F.when(new, F.col(f))).alias(f"new_{f}"),
-        ]
-
-    def score(f):
-        raw = (F.col(f"new_{f}") - F.col(f"mean_{f}")) / floored_scale(f"std_{f}", f"mean_{f}")
-        cut = F.greatest(F.lit(-SCORE_LIMIT), F.least(F.lit(SCORE_LIMIT), raw))
-        return F.when(raw.isNotNull(), settled(cut, 3))
-
-    long = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.col(f"n_{f}").alias("ref_n"),
-                settled(f"mean_{f}", 4).alias("ref_mean"),
-                settled(f"new_{f}", 4).alias("recent_mean"),
-                score(f).alias("drift_score"),
-            )
-            for f in DRIFT_FEATURES
+            f"count({f}) FILTER (WHERE NOT recent) AS n_{f}",
+            f"avg({f}) FILTER (WHERE NOT recent) AS mean_{f}",
+            f"stddev_samp({f}) FILTER (WHERE NOT recent) AS std_{f}",
+            f"avg({f}) FILTER (WHERE recent) AS new_{f}",
         ]
-    )
+        scale = f"greatest(std_{f}, 0.01D * greatest(abs(mean_{f}), 1D))"
+        raw = f"(new_{f} - mean_{f}) / {scale}"
+        # least and greatest skip nulls.
+        score = f"CASE WHEN new_{f} IS NOT NULL THEN greatest({-SCORE_LIMIT}D, least({SCORE_LIMIT}D, {raw})) END"
+        long.append(
+            f"struct('{f}' AS feature, n_{f} AS ref_n, {_settled(f'mean_{f}', 4)} AS ref_mean, "
+            f"{_settled(f'new_{f}', 4)} AS recent_mean, {_settled(score, 3)} AS drift_score)"
+        )
     return (
         _summary(rows, by, aggregates)
-        .select(*by, F.inline(long))
+        .selectExpr(*by, f"inline(array({', '.join(long)}))")
         .where(F.col("ref_n") >= MIN_REFERENCE_VALUES)
         .drop("ref_n")
         .withColumn("flag", F.coalesce(F.abs("drift_score") > flag_above, F.lit(False)))
     )
 
 
-def _percent(part: Column, whole: Column) -> Column:
-    return half_even(F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0)) * 100, 1)
-
-
-def _shares(column: str) -> tuple[list[Column], Column]:
+def _shares(column: str) -> tuple[list[str], str]:
     """Counts per window and class, and the long form built from them."""
-    old, new = ~F.col("recent"), F.col("recent")
     aggregates = [
-        F.count(F.when(old, F.col(column))).alias("n_ref"),
-        F.count(F.when(new, F.col(column))).alias("n_new"),
+        f"count({column}) FILTER (WHERE NOT recent) AS n_ref",
+        f"count({column}) FILTER (WHERE recent) AS n_new",
     ]
     for c in _LABELS:
         aggregates += [
-            F.count_if(old & (F.col(column) == c)).alias(f"ref_{c}"),
-            F.count_if(new & (F.col(column) == c)).alias(f"new_{c}"),
-        ]
-    long = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("class"),
-                _percent(F.col(f"ref_{c}"), F.col("n_ref")).alias("ref_pct"),
-                _percent(F.col(f"new_{c}"), F.col("n_new")).alias("recent_pct"),
-            )
-            for c in _LABELS
+            f"count_if(NOT recent AND {column} = {c}) AS ref_{c}",
+            f"count_if(recent AND {column} = {c}) AS new_{c}",
         ]
+
+    def percent(part: str, whole: str) -> str:
+        return f"bround(coalesce(try_divide(CAST({part} AS DOUBLE), {whole}), 0D) * 100, 1)"
+
+    long = ", ".join(
+        f"struct({c} AS class, {percent(f'ref_{c}', 'n_ref')} AS ref_pct, {percent(f'new_{c}', 'n_new')} AS recent_pct)"
+        for c in _LABELS
     )
-    return aggregates, long
+    return aggregates, f"inline(array({long}))"
 
 
 def class_shift(rows: DataFrame, by: list[str]) -> DataFrame:
     """Percentage of each class 1-5 in both windows, absent classes as 0."""
     aggregates, long = _shares("aqi")
-    return _summary(rows, by, aggregates).select(*by, F.inline(long))
+    return _summary(rows, by, aggregates).selectExpr(*by, long)
 
 
 def window_bounds(rows: DataFrame, by: list[str], ts: str = "timestamp") -> DataFrame:
     """Row counts and time span of both windows."""
-    old, new = ~F.col("recent"), F.col("recent")
     return _summary(
         rows,
         by,
         [
-            F.min(F.when(old, F.col(ts))).alias("ref_from"),
-            F.max(F.when(old, F.col(ts))).alias("ref_to"),
-            F.min(F.when(new, F.col(ts))).alias("recent_from"),
-            F.max(F.when(new, F.col(ts))).alias("recent_to"),
+            f"min(`{ts}`) FILTER (WHERE NOT recent) AS ref_from",
+            f"max(`{ts}`) FILTER (WHERE NOT recent) AS ref_to",
+            f"min(`{ts}`) FILTER (WHERE recent) AS recent_from",
+            f"max(`{ts}`) FILTER (WHERE recent) AS recent_to",
         ],
     )
 
@@ -169,14 +155,14 @@ def prediction_shift(
     made = backtest(split, forecast, medians, "_series", ts, stats, max_rows)
     flat = made.select(F.col(f"_series.{key}").alias(key), F.col("_series.recent").alias("recent"), "predicted")
     aggregates, long = _shares("predicted")
-    shares = flat.groupBy(*by).agg(*aggregates).where((F.col("n_ref") > 0) & (F.col("n_new") > 0))
+    shares = flat.groupBy(*by).agg(*map(F.expr, aggregates)).where("n_ref > 0 AND n_new > 0")
     if by:
         passed = _summary(rows, by, []).select(*by)
         shares = shares.join(passed, by, "left_semi")
     else:
         passed = _summary(rows, by, []).agg(F.count("*")).scalar()
         shares = shares.where(passed == 1)
-    return shares.select(*by, F.inline(long))
+    return shares.selectExpr(*by, long)
 
 
 @dataclass(frozen=True)

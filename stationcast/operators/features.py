@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stationcast.functions import clamp_class, cyclic, half_even, sample_std, share_of_total
-from stationcast.operators.series import MAX_SERIES_ROWS, Profile, WindowExpr, over_series
+from stationcast.operators.series import MAX_SERIES_ROWS, Profile, over_series
 from stationcast.schemas import DEFAULT_MEDIANS, FEATURES, RATIO_EPSILON, TARGET
 
 # One number per feature.
@@ -17,25 +17,25 @@ LOOK_BACK, LOOK_AHEAD = 3, 2
 NEED = ["pm10_lag1", "aqi_lag3", "aqi_roll_std4", TARGET]
 
 
-def median_of(medians: Medians | None, feature: str) -> Column:
+def median_of(medians: Medians | None, feature: str) -> float:
     known = DEFAULT_MEDIANS if medians is None else medians
-    return F.lit(float(known.get(feature, 0.1 if feature == "pm25_ratio" else 0.0)))
+    return float(known.get(feature, 0.1 if feature == "pm25_ratio" else 0.0))
 
 
-def neighbour_columns(ts: str) -> dict[str, WindowExpr]:
+def neighbour_columns(ts: str) -> dict[str, str]:
     """Everything the features need from neighbouring rows, by position."""
     return {
-        "aqi_lag1": lambda w: F.lag("aqi", 1).over(w),
-        "aqi_lag2": lambda w: F.lag("aqi", 2).over(w),
-        "aqi_lag3": lambda w: F.lag("aqi", 3).over(w),
-        "pm10_lag1": lambda w: F.lag("pm10", 1).over(w),
-        "pm25_lag1": lambda w: F.lag("pm2_5", 1).over(w),
-        "aqi_next": lambda w: F.lead("aqi", 1).over(w),
-        "aqi_next2": lambda w: F.lead("aqi", 2).over(w),
-        "ts_lag1": lambda w: F.lag(ts, 1).over(w),
-        "ts_lag2": lambda w: F.lag(ts, 2).over(w),
-        "ts_lag3": lambda w: F.lag(ts, 3).over(w),
-        "ts_next": lambda w: F.lead(ts, 1).over(w),
+        "aqi_lag1": "lag(aqi, 1)",
+        "aqi_lag2": "lag(aqi, 2)",
+        "aqi_lag3": "lag(aqi, 3)",
+        "pm10_lag1": "lag(pm10, 1)",
+        "pm25_lag1": "lag(pm2_5, 1)",
+        "aqi_next": "lead(aqi, 1)",
+        "aqi_next2": "lead(aqi, 2)",
+        "ts_lag1": f"lag(`{ts}`, 1)",
+        "ts_lag2": f"lag(`{ts}`, 2)",
+        "ts_lag3": f"lag(`{ts}`, 3)",
+        "ts_next": f"lead(`{ts}`, 1)",
     }
 
 
@@ -68,11 +68,15 @@ def with_neighbours(
 
 
 def _calendar(ts: str, digits: int | None) -> dict[str, Column]:
-    hour, month = cyclic(F.hour(ts), 24), cyclic(F.month(ts), 12)
+    hour, month = cyclic(f"hour(`{ts}`)", 24), cyclic(f"month(`{ts}`)", 12)
     columns = {"hour_sin": hour[0], "hour_cos": hour[1], "month_sin": month[0], "month_cos": month[1]}
     return columns if digits is None else {n: half_even(c, digits) for n, c in columns.items()}
 
 
+def _sql(expressions: Mapping[str, str]) -> dict[str, Column]:
+    return {name: F.expr(e) for name, e in expressions.items()}
+
+
 def training_features(
     df: DataFrame,
     key: str = "city_slug",
@@ -86,16 +90,19 @@ def training_features(
     Other nulls stay and are imputed later. ``aqi`` must be clamped already.
     """
     rows = with_neighbours(df, key, ts, stats, max_rows, max_gap)
-    aqi = F.col("aqi").cast("double")
     made = {
         "pm25_ratio": half_even(share_of_total("pm2_5", ["pm10", "no2", "o3", "so2"]), 4),
         **_calendar(ts, 6),
-        "aqi_delta_1h": aqi - F.col("aqi_lag1"),
-        "aqi_delta_2h": aqi - F.col("aqi_lag2"),
-        "aqi_delta_3h": aqi - F.col("aqi_lag3"),
-        "pm10_delta_1h": F.col("pm10") - F.col("pm10_lag1"),
-        "pm25_delta_1h": F.col("pm2_5") - F.col("pm25_lag1"),
         "aqi_roll_std4": half_even(sample_std(["aqi", "aqi_lag1", "aqi_lag2", "aqi_lag3"]), 4),
+        **_sql(
+            {
+                "aqi_delta_1h": "CAST(aqi - aqi_lag1 AS DOUBLE)",
+                "aqi_delta_2h": "CAST(aqi - aqi_lag2 AS DOUBLE)",
+                "aqi_delta_3h": "CAST(aqi - aqi_lag3 AS DOUBLE)",
+                "pm10_delta_1h": "pm10 - pm10_lag1",
+                "pm25_delta_1h": "pm2_5 - pm25_lag1",
+            }
+        ),
     }
     return (
         rows.withColumns(made)
@@ -120,46 +127,48 @@ def serving_features(
     rows = with_neighbours(
         df, key, ts, stats, max_rows,
         only=["aqi_lag1", "aqi_lag2", "aqi_lag3", "pm10_lag1", "pm25_lag1", "aqi_next", "ts_next", "ts_lag3"],
-    ).where(F.col("ts_lag3").isNotNull())
-    med = {f: median_of(medians, f) for f in FEATURES}
-
-    plain = {c: F.coalesce(c, med[c]) for c in ["co", "no", "no2", "o3", "so2", "nh3", "pm10"]}
-    filled = rows.withColumns({f"_{c}": v for c, v in plain.items()})
-    others = F.col("_pm10") + F.col("_no2") + F.col("_o3") + F.col("_so2") + F.lit(RATIO_EPSILON)
-    filled = filled.withColumns(
-        {
-            "_pm2_5": F.coalesce("pm2_5", med["pm25_ratio"] * others),
-            "_ratio": F.when(
-                F.col("pm2_5").isNotNull(),
-                half_even(share_of_total("pm2_5", ["_pm10", "_no2", "_o3", "_so2"]), 4),
-            ).otherwise(half_even(med["pm25_ratio"], 4)),
-            "_aqi": F.coalesce(F.col("aqi").cast("double"), med["aqi_delta_1h"]),
-            "_lag1": F.coalesce(F.col("aqi_lag1").cast("double"), med["aqi_delta_1h"]),
-            "_pm10_lag1": F.coalesce("pm10_lag1", med["pm10_lag1"]),
-        }
+    ).where("ts_lag3 IS NOT NULL")
+    med = {f: f"{median_of(medians, f)!r}D" for f in FEATURES}
+    plain = ["co", "no", "no2", "o3", "so2", "nh3", "pm10"]
+
+    filled = rows.withColumns(
+        _sql(
+            {
+                **{f"_{c}": f"coalesce({c}, {med[c]})" for c in plain},
+                # A missing class is taken as the median of the one-hour change.
+                "_aqi": f"coalesce(CAST(aqi AS DOUBLE), {med['aqi_delta_1h']})",
+                "_lag1": f"coalesce(CAST(aqi_lag1 AS DOUBLE), {med['aqi_delta_1h']})",
+                "_pm10_lag1": f"coalesce(pm10_lag1, {med['pm10_lag1']})",
+            }
+        )
     )
     filled = filled.withColumns(
-        {
-            "_lag2": F.coalesce(F.col("aqi_lag2").cast("double"), F.col("_lag1")),
-            "_lag3": F.coalesce(F.col("aqi_lag3").cast("double"), F.col("_lag1")),
-            "_pm25_lag1": F.coalesce("pm25_lag1", "_pm2_5"),
-        }
+        _sql(
+            {
+                "_pm2_5": f"coalesce(pm2_5, {med['pm25_ratio']} * (_pm10 + _no2 + _o3 + _so2 + {RATIO_EPSILON!r}D))",
+                "_lag2": "coalesce(CAST(aqi_lag2 AS DOUBLE), _lag1)",
+                "_lag3": "coalesce(CAST(aqi_lag3 AS DOUBLE), _lag1)",
+            }
+        )
     )
+    share = share_of_total("pm2_5", ["_pm10", "_no2", "_o3", "_so2"])
     made = {
-        "pm10_lag1": F.col("_pm10_lag1"),
-        "aqi_delta_1h": half_even(F.col("_aqi") - F.col("_lag1"), 4),
-        "pm10_delta_1h": half_even(F.col("_pm10") - F.col("_pm10_lag1"), 4),
-        "aqi_delta_2h": half_even(F.col("_aqi") - F.col("_lag2"), 4),
-        "aqi_delta_3h": half_even(F.col("_aqi") - F.col("_lag3"), 4),
         "aqi_roll_std4": half_even(sample_std(["_lag3", "_lag2", "_lag1", "_aqi"]), 4),
-        "pm25_delta_1h": half_even(F.col("_pm2_5") - F.col("_pm25_lag1"), 4),
+        "pm25_ratio": half_even(F.coalesce(share, F.expr(med["pm25_ratio"])), 4),
         **_calendar(ts, None),
-        "pm25_ratio": F.col("_ratio"),
-        **{c: F.col(f"_{c}") for c in plain},
+        **_sql(
+            {
+                "pm10_lag1": "_pm10_lag1",
+                "aqi_delta_1h": "bround(_aqi - _lag1, 4)",
+                "aqi_delta_2h": "bround(_aqi - _lag2, 4)",
+                "aqi_delta_3h": "bround(_aqi - _lag3, 4)",
+                "pm10_delta_1h": "bround(_pm10 - _pm10_lag1, 4)",
+                "pm25_delta_1h": "bround(_pm2_5 - coalesce(pm25_lag1, _pm2_5), 4)",
+                **{c: f"_{c}" for c in plain},
+            }
+        ),
     }
-    return filled.select(
-        key, ts, "aqi", TARGET, "ts_next", *[made[f].alias(f) for f in FEATURES]
-    )
+    return filled.select(key, ts, "aqi", TARGET, "ts_next", *[made[f].alias(f) for f in FEATURES])
 
 
 def drift_features(

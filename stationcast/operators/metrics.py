@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stationcast.functions import half_even, settled
 from stationcast.operators.cleaning import as_of_column, look_back
@@ -20,37 +20,29 @@ def labelled(predictions: DataFrame) -> DataFrame:
 
 def _tally(predictions: DataFrame, by: list[str]) -> DataFrame:
     """True and false positives and support of every class in one aggregate, no class left out."""
-    hit = F.col("actual") == F.col("predicted")
-    counts = [F.count("*").alias("n_predictions")]
+    counts = ["count(*) AS n_predictions"]
     for c in _LABELS:
         counts += [
-            F.count_if(hit & (F.col("actual") == c)).alias(f"tp_{c}"),
-            F.count_if(F.col("predicted") == c).alias(f"said_{c}"),
-            F.count_if(F.col("actual") == c).alias(f"support_{c}"),
+            f"count_if(actual = {c} AND predicted = {c}) AS tp_{c}",
+            f"count_if(predicted = {c}) AS said_{c}",
+            f"count_if(actual = {c}) AS support_{c}",
         ]
     rows = labelled(predictions)
-    tally = rows.groupBy(*by).agg(*counts) if by else rows.agg(*counts)
-    return tally.where(F.col("n_predictions") >= MIN_LABELLED)
+    return rows.groupBy(*by).agg(*map(F.expr, counts)).where(F.col("n_predictions") >= MIN_LABELLED)
 
 
-def _ratio(a, b):
-    return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+def _ratio(a: str, b: str) -> str:
+    return f"coalesce(try_divide(CAST({a} AS DOUBLE), {b}), 0D)"
 
 
 def _scores(tally: DataFrame, by: list[str]) -> DataFrame:
-    per_class = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("class"),
-                _ratio(F.col(f"tp_{c}"), F.col(f"said_{c}")).alias("precision"),
-                _ratio(F.col(f"tp_{c}"), F.col(f"support_{c}")).alias("recall"),
-                _ratio(2 * F.col(f"tp_{c}"), F.col(f"said_{c}") + F.col(f"support_{c}")).alias("f1"),
-                F.col(f"support_{c}").alias("support"),
-            )
-            for c in _LABELS
-        ]
+    per_class = ", ".join(
+        f"struct({c} AS class, {_ratio(f'tp_{c}', f'said_{c}')} AS precision, "
+        f"{_ratio(f'tp_{c}', f'support_{c}')} AS recall, "
+        f"{_ratio(f'2 * tp_{c}', f'said_{c} + support_{c}')} AS f1, support_{c} AS support)"
+        for c in _LABELS
     )
-    return tally.select(*by, "n_predictions", per_class.alias("scores"))
+    return tally.selectExpr(*by, "n_predictions", f"array({per_class}) AS scores")
 
 
 def per_class_scores(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -68,11 +60,11 @@ def overall_scores(predictions: DataFrame, by: list[str] | None = None) -> DataF
     by = by or []
     rows = _scores(_tally(predictions, by), by)
 
-    def weighted(name):
-        total = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s[name] * s["support"])
-        return settled(_ratio(total, F.col("n_predictions")), 4).alias(name)
+    def weighted(name: str) -> Column:
+        total = f"aggregate(scores, 0D, (acc, s) -> acc + s.{name} * s.support)"
+        return settled(F.expr(_ratio(total, "n_predictions")), 4).alias(name)
 
-    macro = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s["f1"]) / len(_LABELS)
+    macro = F.expr(f"aggregate(scores, 0D, (acc, s) -> acc + s.f1) / {len(_LABELS)}")
     return rows.select(
         *by, "n_predictions", weighted("precision"), weighted("recall"), weighted("f1"),
         settled(macro, 4).alias("f1_macro"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import DataFrame, functions as F
 
 _BINS = 4096
 _SKETCH = 1000
@@ -18,72 +20,69 @@ def median_values(df: DataFrame, columns: list[str]) -> dict[str, float]:
     A few numbers per column come to the driver after each pass. A table that is costly to compute is
     best written first.
     """
-    names = dict(enumerate(columns))
-    numbers = df.select(*[_number(c).alias(f"c{i}") for i, c in names.items()])
-    ends = numbers.agg(
-        *[F.percentile_approx(f"c{i}", [0.497, 0.503], _SKETCH).alias(f"e{i}") for i in names],
-        *[F.count(f"c{i}").alias(f"n{i}") for i in names],
+    numbers = df.selectExpr(*[f"{_number(c)} AS c{i}" for i, c in enumerate(columns)])
+    ends = numbers.selectExpr(
+        *[f"percentile_approx(c{i}, array(0.497, 0.503), {_SKETCH}) AS e{i}" for i in range(len(columns))],
+        *[f"count(c{i}) AS n{i}" for i in range(len(columns))],
     ).first()
-    names = {i: c for i, c in names.items() if ends[f"n{i}"] > 0}
-    if not names:
+    used = [i for i in range(len(columns)) if ends[f"n{i}"] > 0]
+    if not used:
         return {}
-    ranks = {i: sorted({(ends[f"n{i}"] - 1) // 2, ends[f"n{i}"] // 2}) for i in names}
-    bins = {i: _bin(f"c{i}", *ends[f"e{i}"]) for i in names}
+    ranks = {i: sorted({(ends[f"n{i}"] - 1) // 2, ends[f"n{i}"] // 2}) for i in used}
+    bins = {i: _bin(f"c{i}", *ends[f"e{i}"]) for i in used}
+    ranks_of = "CASE i " + " ".join(f"WHEN {i} THEN array({', '.join(f'{r}L' for r in ranks[i])})" for i in used) + " END"
+    here = "before <= rank AND rank < before + n"
 
     sizes = (
-        numbers.select(*[b.alias(str(i)) for i, b in bins.items()])
-        .unpivot([], [str(i) for i in names], "i", "bin")
-        .where(F.col("bin").isNotNull())
+        numbers.selectExpr(f"inline(array({', '.join(f'struct({i} AS i, {bins[i]} AS bin)' for i in used)}))")
+        .where("bin IS NOT NULL")
         .groupBy("i", "bin")
         .agg(F.count("*").alias("n"))
     )
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("bin"))
-    wanted = F.create_map(*[x for i, r in ranks.items() for x in (F.lit(str(i)), F.array(*[F.lit(k) for k in r]))])
-    ranked = sizes.withColumn("before", upto - F.col("n")).withColumn("rank", F.explode(F.element_at(wanted, F.col("i"))))
-    hits = ranked.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).collect()
-    middle = {i: [h for h in hits if h["i"] == str(i)] for i in names}
-
-    held = [
-        F.when(bins[i].isin([h["bin"] for h in middle[i]]), F.struct(bins[i].alias("bin"), F.col(f"c{i}").alias("value")))
-        for i in names
-    ]
+    hits = (
+        sizes.selectExpr("*", "sum(n) OVER (PARTITION BY i ORDER BY bin) - n AS before")
+        .selectExpr("*", f"explode({ranks_of}) AS rank")
+        .where(here)
+        .select("i", "bin", "before")
+        .distinct()
+        .collect()
+    )
+    held = ", ".join(f"struct({i} AS i, {bins[i]} AS bin, c{i} AS value)" for i in used)
+    wanted = " OR ".join(f"(i = {h.i} AND bin = {h.bin})" for h in hits)
+    start = "CASE " + " ".join(f"WHEN i = {h.i} AND bin = {h.bin} THEN {h.before}L" for h in hits) + " END"
     counted = (
-        numbers.select(*[h.alias(str(i)) for h, i in zip(held, names)])
-        .unpivot([], [str(i) for i in names], "i", "held")
-        .where(F.col("held").isNotNull())
-        .groupBy("i", "held")
+        numbers.selectExpr(f"inline(array({held}))")
+        .where(wanted)
+        .groupBy("i", "bin", "value")
         .agg(F.count("*").alias("n"))
-        .select("i", "held.*", "n")
-    )
-    # Distinct values of one narrow bin.
-    inside = F.sum("n").over(Window.partitionBy("i", "bin").orderBy("value"))
-    offset = {i: {h["bin"]: h["before"] for h in middle[i]} for i in names}
-    starts = F.create_map(
-        *[x for i in names for b, n in offset[i].items() for x in (F.lit(f"{i}/{b}"), F.lit(n))]
     )
-    before = F.element_at(starts, F.concat_ws("/", "i", "bin"))
+    # The window sees the distinct values of one narrow bin.
     rows = (
-        counted.withColumn("upto", before + inside)
-        .withColumn("rank", F.explode(F.element_at(wanted, F.col("i"))))
-        .where((F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+        counted.selectExpr("*", f"{start} + sum(n) OVER (PARTITION BY i, bin ORDER BY value) - n AS before")
+        .selectExpr("*", f"explode({ranks_of}) AS rank")
+        .where(here)
         .groupBy("i")
         .agg(F.avg("value").alias("median"))
         .collect()
     )
-    return {names[int(i)]: m for i, m in rows}
+    return {columns[r.i]: r.median for r in rows}
 
 
-def _number(c: str) -> Column:
-    return F.nanvl(F.col(c).cast("double"), F.lit(None))
+def _number(c: str) -> str:
+    return f"nanvl(CAST(`{c}` AS DOUBLE), NULL)"
 
 
-def _bin(c: str, lo: float, hi: float) -> Column:
+def _bin(c: str, lo: float, hi: float) -> str:
     """Position of a value in the bracket: -1 below, ``_BINS`` above, rising with the value."""
-    v, width = F.col(c), (hi - lo) / _BINS
-    inside = F.least(F.floor((v - lo) / width), F.lit(_BINS - 1)) if width > 0 else F.lit(0)
-    return F.when(v.isNotNull(), F.when(v < lo, -1).when(v > hi, _BINS).otherwise(inside).cast("int"))
+    width = (hi - lo) / _BINS
+    low, high = f"double('{lo!r}')", f"double('{hi!r}')"
+    inside = f"least(floor(({c} - {low}) / double('{width!r}')), {_BINS - 1})" if 0 < width < math.inf else "0"
+    return (
+        f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} < {low} THEN -1 WHEN {c} > {high} THEN {_BINS} "
+        f"ELSE CAST({inside} AS INT) END"
+    )
 
 
 def approximate_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:
     """One pass, rank error at most ``1/accuracy``: for runs where the exact value does not matter."""
-    return df.agg(*[F.percentile_approx(_number(c), 0.5, accuracy).alias(c) for c in columns])
+    return df.selectExpr(*[f"percentile_approx({_number(c)}, 0.5, {accuracy}) AS `{c}`" for c in columns])

@@ -8,10 +8,10 @@ the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Rows of one series that one window task may hold.
 MAX_SERIES_ROWS = 5_000_000
@@ -22,8 +22,6 @@ _UNITS = ["YEAR", "MONTH", "DAY", "HOUR", "MINUTE"]
 # A second holds at most a million distinct microsecond timestamps.
 _LAST_UNIT = "SECOND"
 
-WindowExpr = Callable[[WindowSpec], Column]
-
 
 @dataclass(frozen=True)
 class Profile:
@@ -59,11 +57,10 @@ def long_series(
         .groupBy(key, F.date_trunc("MINUTE", F.col(ts)).alias("m"))
         .agg(F.count("*").alias("n"))
     )
-    levels = F.array(
-        *[
-            F.struct(F.lit(i).alias("level"), F.lit(u).alias("unit"), F.date_trunc(u, "m").alias("at"))
-            for i, u in enumerate(_UNITS)
-        ]
+    levels = F.expr(
+        "array("
+        + ", ".join(f"struct({i} AS level, '{u}' AS unit, date_trunc('{u}', m) AS at)" for i, u in enumerate(_UNITS))
+        + ")"
     )
     pieces = (
         minutes.select(key, "n", F.explode(levels).alias("l"))
@@ -82,7 +79,7 @@ def over_series(
     df: DataFrame,
     key: str,
     ts: str,
-    columns: dict[str, WindowExpr],
+    columns: Mapping[str, str],
     back: int,
     ahead: int,
     stats: Profile | None = None,
@@ -90,13 +87,12 @@ def over_series(
 ) -> DataFrame:
     """Add window columns that look at most ``back`` rows back and ``ahead`` rows ahead.
 
-    Each entry of ``columns`` gets the window (key, time order) and returns a column. All of them
-    share one exchange and one sort. ``(key, ts)`` must be unique.
+    ``columns`` maps a new name to a SQL window function such as ``lag(aqi, 1)``. All of them share
+    one exchange and one sort. ``(key, ts)`` must be unique.
     """
     stats = stats or profile(df, key)
     if stats.longest <= max_rows:
-        w = Window.partitionBy(key).orderBy(ts)
-        return df.select("*", *[fn(w).alias(name) for name, fn in columns.items()])
+        return df.selectExpr("*", *_windowed(columns, [key], ts))
 
     cuts = long_series(df, key, ts, stats, max_rows)
     # At most MAX_BROADCAST_ROWS rows by construction.
@@ -110,14 +106,18 @@ def over_series(
     for part in borrowed:
         if part is not None:
             whole = whole.unionByName(part)
-    w = Window.partitionBy(key, "_cut").orderBy(ts)
     return (
-        whole.select("*", *[fn(w).alias(name) for name, fn in columns.items()])
+        whole.selectExpr("*", *_windowed(columns, [key, "_cut"], ts))
         .where(~F.col("_lent"))
         .drop("_unit", "_cut", "_lent")
     )
 
 
+def _windowed(columns: Mapping[str, str], keys: Sequence[str], ts: str) -> list[str]:
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{ts}`)"
+    return [f"{function} {over} AS `{name}`" for name, function in columns.items()]
+
+
 def _lend(rows: DataFrame, key: str, ts: str, n: int, forward: bool) -> DataFrame | None:
     """Copies of the border rows of each piece for the pieces that need them as neighbours.
 

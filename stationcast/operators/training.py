@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stationcast.operators.features import Medians, median_of
 from stationcast.schemas import FEATURES, SINGLE_HOP_BOOST, TARGET, TRANSITION_BOOST
@@ -30,17 +30,17 @@ def label_rows(features: DataFrame) -> DataFrame:
 def weight_table(rows: DataFrame, boost: float = TRANSITION_BOOST, hop_boost: float = SINGLE_HOP_BOOST) -> DataFrame:
     """``(label, kind, n, weight)``: balanced class weight times boost, mean 1 over all rows (A4, A5).
 
-    The weight depends on label and kind only, so three numbers per combination are enough: at most
-    15 rows for five classes.
+    The weight depends on label and kind only, so one count per combination is enough: at most 15 for
+    five classes.
     """
-    cells = rows.groupBy("label", "kind").agg(F.count("*").alias("n"))
-    totals = cells.agg(F.struct(F.sum("n").alias("rows"), F.count_distinct("label").alias("classes"))).scalar()
-    factor = F.when(F.col("kind") == "sustained", boost).when(F.col("kind") == "single_hop", hop_boost).otherwise(1.0)
-    raw = cells.withColumn("class_n", F.sum("n").over(Window.partitionBy("label"))).withColumn(
-        "raw", factor * totals["rows"] / (totals["classes"] * F.col("class_n"))
-    )
-    mean = raw.agg(F.sum(F.col("raw") * F.col("n")) / F.sum("n")).scalar()
-    return raw.select("label", "kind", "n", (F.col("raw") / mean).alias("weight"))
+    counted = rows.groupBy("label", "kind").agg(F.count("*").alias("n")).collect()
+    total = sum(c.n for c in counted)
+    sizes = {label: sum(c.n for c in counted if c.label == label) for label in {c.label for c in counted}}
+    factor = {"sustained": boost, "single_hop": hop_boost}
+    raw = {c: factor.get(c.kind, 1.0) * total / (len(sizes) * sizes[c.label]) for c in counted}
+    mean = sum(w * c.n for c, w in raw.items()) / total if total else 1.0
+    table = [(c.label, c.kind, c.n, w / mean) for c, w in raw.items()]
+    return rows.sparkSession.createDataFrame(table, "label double, kind string, n long, weight double")
 
 
 def with_weights(rows: DataFrame, **boosts: float) -> DataFrame:
@@ -77,9 +77,8 @@ def load_stats(df: DataFrame, key: str = "city_slug", aqi: str = "aqi", highest:
 
 def impute(df: DataFrame, medians: Medians, columns: list[str] = FEATURES) -> DataFrame:
     """Fill missing features with their medians."""
-    return df.withColumns(
-        {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), median_of(medians, c)) for c in columns}
-    )
+    filled = "coalesce(nanvl(CAST(`{0}` AS DOUBLE), NULL), {1!r}D)"
+    return df.withColumns({c: F.expr(filled.format(c, median_of(medians, c))) for c in columns})
 
 
 def random_forest(trees: int = 40, depth: int = 6, seed: int = 42) -> RandomForestClassifier:

@@ -31,19 +31,21 @@ def upsert(
     fresh = dedup_keep_first(
         source.select(*dict.fromkeys([*columns, *(source_order or [])])), list(keys), list(source_order or columns)
     ).select(*columns)
+    # A flag on each side tells a null value from a missing row.
     old = target.withColumn("_old", F.lit(True))
-    new = fresh.withColumn("_new", F.lit(True))
-    renamed = new.select(*keys, "_new", *[F.col(c).alias(f"_new_{c}") for c in columns if c not in keys])
-    joined = old.join(renamed, list(keys), "full_outer")
+    new = fresh.selectExpr(
+        *[f"`{k}`" for k in keys], "true AS _new", *[f"`{c}` AS `_new_{c}`" for c in columns if c not in keys]
+    )
+    joined = old.join(new, list(keys), "full_outer")
 
-    def pick(c: str):
+    def pick(c: str) -> str:
         if c in keys:
-            return F.col(c)
+            return f"`{c}`"
         if c in keep:
-            return F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c)
-        return F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+            return f"CASE WHEN _old THEN `{c}` ELSE `_new_{c}` END AS `{c}`"
+        return f"CASE WHEN _new THEN `_new_{c}` ELSE `{c}` END AS `{c}`"
 
-    return joined.select(*[pick(c) for c in columns])
+    return joined.selectExpr(*[pick(c) for c in columns])
 
 
 def table_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:

@@ -15,25 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events_as_readings(events: DataFrame) -> DataFrame:
     """One series per user; classes 1-6, some pollutants missing."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    v = F.col("value")
-    kind = F.col("event_type")
-    rows = events.withColumn("k", k)
-    k = F.col("k")
-    return rows.select(
-        F.col("ts").cast("timestamp").alias("timestamp"),
-        F.concat(F.lit("User "), F.col("user_id")).alias("city"),
-        F.concat(F.lit("user-"), F.col("user_id")).alias("city_slug"),
-        (1 + k % 6).cast("int").alias("aqi"),
-        F.when(k % 17 != 0, 100.0 + 3.0 * k).alias("co"),
-        (F.lit(0.5) * (k % 7)).alias("no"),
-        F.when(k % 10 != 0, v * 0.25).alias("no2"),
-        (F.lit(1.0) + k).alias("o3"),
-        (v * 0.125).alias("so2"),
-        F.when(kind != "error", v * 0.5).alias("pm2_5"),
-        v.alias("pm10"),
-        F.when(kind != "view", v * 0.0625).alias("nh3"),
-        F.when(kind == "click", "hourly").otherwise("pipeline").alias("source"),
+    rows = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return rows.selectExpr(
+        "CAST(ts AS TIMESTAMP) AS timestamp",
+        "concat('User ', user_id) AS city",
+        "concat('user-', user_id) AS city_slug",
+        "CAST(1 + k % 6 AS INT) AS aqi",
+        "CASE WHEN k % 17 <> 0 THEN 100D + 3D * k END AS co",
+        "0.5D * (k % 7) AS no",
+        "CASE WHEN k % 10 <> 0 THEN value * 0.25D END AS no2",
+        "1D + k AS o3",
+        "value * 0.125D AS so2",
+        "CASE WHEN event_type <> 'error' THEN value * 0.5D END AS pm2_5",
+        "value AS pm10",
+        "CASE WHEN event_type <> 'view' THEN value * 0.0625D END AS nh3",
+        "CASE WHEN event_type = 'click' THEN 'hourly' ELSE 'pipeline' END AS source",
     )
 
 
@@ -66,12 +62,8 @@ raw AS (
 
 def for_compare(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to a fixed number of digits, without negative zero."""
-    return df.select(
-        *[
-            (F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    double = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    return df.selectExpr(*[f"round(`{c}`, {digits}) + 0D AS `{c}`" if c in double else f"`{c}`" for c in df.columns])
 
 
 def sql_round(*columns: str, digits: int = 6) -> str:

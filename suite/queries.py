@@ -86,7 +86,7 @@ def feature_medians(spark, d):
 def cyclic_time(spark, d):
     """H3, H4"""
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    hour, month = cyclic(F.hour("ts"), 24), cyclic(F.month("ts"), 12)
+    hour, month = cyclic("hour(ts)", 24), cyclic("month(ts)", 12)
     return rows.select(
         "event_id", hour[0].alias("hour_sin"), hour[1].alias("hour_cos"),
         month[0].alias("month_sin"), month[1].alias("month_cos"),
@@ -128,7 +128,7 @@ def transition_weights(spark, d):
 @query
 def training_rows(spark, d):
     """A4, A5, W8, P12, J6, H19"""
-    rows = _stored(spark, training.with_weights(_labelled(spark, d)))
+    rows = training.with_weights(_stored(spark, _labelled(spark, d)))
     filled = training.impute(rows, quantiles.median_values(rows, FEATURES))
     return filled.select("city_slug", "timestamp", "label", "kind", "weight", *FEATURES)
 
@@ -558,7 +558,7 @@ def coverage(spark, d):
 
 
 def _fitted(spark, d, path):
-    rows = _stored(spark, training.with_weights(_labelled(spark, d)))
+    rows = training.with_weights(_stored(spark, _labelled(spark, d)))
     medians = quantiles.median_values(rows, FEATURES)
     model = training.fit(training.impute(rows, medians), training.random_forest(trees=10, depth=5))
     artifacts.save_artifacts(spark, model, medians, path)

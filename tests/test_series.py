@@ -50,11 +50,7 @@ def test_only_long_series_are_cut_and_pieces_fit(spark):
 def test_any_times(spark, rows):
     start = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
     df = spark.createDataFrame([(k, start + dt.timedelta(minutes=m), m) for k, m in rows], "k string, t timestamp, v int")
-    columns = {
-        "l1": lambda w: F.lag("v", 1).over(w),
-        "l3": lambda w: F.lag("v", 3).over(w),
-        "n2": lambda w: F.lead("v", 2).over(w),
-    }
+    columns = {"l1": "lag(v, 1)", "l3": "lag(v, 3)", "n2": "lead(v, 2)"}
     cut = series.over_series(df, "k", "t", columns, 3, 2, max_rows=2)
     assert rows_of(cut) == rows_of(series.over_series(df, "k", "t", columns, 3, 2))
 
