@@ -22,7 +22,7 @@ def median_of(medians: Medians | None, feature: str) -> float:
     return float(known.get(feature, 0.1 if feature == "pm25_ratio" else 0.0))
 
 
-def neighbour_columns(ts: str) -> dict[str, str]:
+def neighbour_columns(ts: str) -> dict[str, str | tuple[str, str]]:
     """Everything the features need from neighbouring rows, by position."""
     return {
         "aqi_lag1": "lag(aqi, 1)",
@@ -30,6 +30,7 @@ def neighbour_columns(ts: str) -> dict[str, str]:
         "aqi_lag3": "lag(aqi, 3)",
         "pm10_lag1": "lag(pm10, 1)",
         "pm25_lag1": "lag(pm2_5, 1)",
+        "aqi_std4": ("stddev_samp(aqi)", "ROWS BETWEEN 3 PRECEDING AND CURRENT ROW"),
         "aqi_next": "lead(aqi, 1)",
         "aqi_next2": "lead(aqi, 2)",
         "ts_lag1": f"lag(`{ts}`, 1)",
@@ -64,7 +65,8 @@ def with_neighbours(
     blank = {f"aqi_lag{k}": near[k] for k in near}
     blank |= {"pm10_lag1": near[1], "pm25_lag1": near[1]}
     blank["aqi_next"] = F.col("ts_next") - F.col(ts) <= gap
-    return rows.withColumns({name: F.when(ok, F.col(name)) for name, ok in blank.items()})
+    rows = rows.withColumns({name: F.when(ok, F.col(name)) for name, ok in blank.items()})
+    return rows.withColumn("aqi_std4", sample_std(["aqi", "aqi_lag1", "aqi_lag2", "aqi_lag3"]))
 
 
 def _calendar(ts: str, digits: int | None) -> dict[str, Column]:
@@ -93,7 +95,7 @@ def training_features(
     made = {
         "pm25_ratio": half_even(share_of_total("pm2_5", ["pm10", "no2", "o3", "so2"]), 4),
         **_calendar(ts, 6),
-        "aqi_roll_std4": half_even(sample_std(["aqi", "aqi_lag1", "aqi_lag2", "aqi_lag3"]), 4),
+        "aqi_roll_std4": half_even("aqi_std4", 4),
         **_sql(
             {
                 "aqi_delta_1h": "CAST(aqi - aqi_lag1 AS DOUBLE)",
@@ -150,10 +152,18 @@ def serving_features(
                 "_lag3": "coalesce(CAST(aqi_lag3 AS DOUBLE), _lag1)",
             }
         )
+    ).withColumns(
+        _sql(
+            {
+                # The four values are whole numbers or a median, so this loses no digits that count.
+                "_sum": "_aqi + _lag1 + _lag2 + _lag3",
+                "_squares": "_aqi * _aqi + _lag1 * _lag1 + _lag2 * _lag2 + _lag3 * _lag3",
+            }
+        )
     )
     share = share_of_total("pm2_5", ["_pm10", "_no2", "_o3", "_so2"])
     made = {
-        "aqi_roll_std4": half_even(sample_std(["_lag3", "_lag2", "_lag1", "_aqi"]), 4),
+        "aqi_roll_std4": half_even(F.sqrt(F.greatest((F.col("_squares") - F.col("_sum") * F.col("_sum") / 4) / 3, F.lit(0.0))), 4),
         "pm25_ratio": half_even(F.coalesce(share, F.expr(med["pm25_ratio"])), 4),
         **_calendar(ts, None),
         **_sql(
@@ -180,12 +190,12 @@ def drift_features(
 ) -> DataFrame:
     """Inputs as the drift monitor reads them: nothing filled, nothing rounded."""
     rows = with_neighbours(
-        df, key, ts, stats, max_rows, only=["aqi_lag1", "aqi_lag2", "aqi_lag3", "pm10_lag1"]
+        df, key, ts, stats, max_rows, only=["pm10_lag1", "aqi_std4"]
     )
     return rows.withColumns(
         {
             "pm25_ratio": share_of_total("pm2_5", ["pm10", "no2", "o3", "so2"], nulls="null"),
-            "aqi_roll_std4": sample_std(["aqi", "aqi_lag1", "aqi_lag2", "aqi_lag3"]),
+            "aqi_roll_std4": F.col("aqi_std4"),
         }
     )
 

@@ -20,46 +20,43 @@ def median_values(df: DataFrame, columns: list[str]) -> dict[str, float]:
     A few numbers per column come to the driver after each pass. A table that is costly to compute is
     best written first.
     """
-    numbers = df.selectExpr(*[f"{_number(c)} AS c{i}" for i, c in enumerate(columns)])
-    ends = numbers.selectExpr(
-        *[f"percentile_approx(c{i}, array(0.497, 0.503), {_SKETCH}) AS e{i}" for i in range(len(columns))],
-        *[f"count(c{i}) AS n{i}" for i in range(len(columns))],
+    ends = df.selectExpr(
+        *[f"percentile_approx({_number(c)}, array(0.497, 0.503), {_SKETCH}) AS e{i}" for i, c in enumerate(columns)],
+        *[f"count({_number(c)}) AS n{i}" for i, c in enumerate(columns)],
     ).first()
-    used = [i for i in range(len(columns)) if ends[f"n{i}"] > 0]
-    if not used:
+    filled = [i for i in range(len(columns)) if ends[f"n{i}"] > 0]
+    if not filled:
         return {}
-    ranks = {i: sorted({(ends[f"n{i}"] - 1) // 2, ends[f"n{i}"] // 2}) for i in used}
-    bins = {i: _bin(f"c{i}", *ends[f"e{i}"]) for i in used}
-    ranks_of = "CASE i " + " ".join(f"WHEN {i} THEN array({', '.join(f'{r}L' for r in ranks[i])})" for i in used) + " END"
+    columns, counts = [columns[i] for i in filled], [ends[f"n{i}"] for i in filled]
+    brackets = [ends[f"e{i}"] for i in filled]
+    ranks = [sorted({(n - 1) // 2, n // 2}) for n in counts]
+
+    long = df.selectExpr(f"posexplode(array({', '.join(map(_number, columns))})) AS (i, value)").where("value IS NOT NULL")
+    binned = long.selectExpr("i", "value", f"{_bin(brackets)} AS bin")
+    asked = f"explode({_nested(ranks, 'BIGINT')}[i]) AS rank"
     here = "before <= rank AND rank < before + n"
 
-    sizes = (
-        numbers.selectExpr(f"inline(array({', '.join(f'struct({i} AS i, {bins[i]} AS bin)' for i in used)}))")
-        .where("bin IS NOT NULL")
-        .groupBy("i", "bin")
-        .agg(F.count("*").alias("n"))
-    )
     hits = (
-        sizes.selectExpr("*", "sum(n) OVER (PARTITION BY i ORDER BY bin) - n AS before")
-        .selectExpr("*", f"explode({ranks_of}) AS rank")
+        binned.groupBy("i", "bin")
+        .agg(F.count("*").alias("n"))
+        .selectExpr("*", "sum(n) OVER (PARTITION BY i ORDER BY bin) - n AS before")
+        .selectExpr("*", asked)
         .where(here)
         .select("i", "bin", "before")
         .distinct()
         .collect()
     )
-    held = ", ".join(f"struct({i} AS i, {bins[i]} AS bin, c{i} AS value)" for i in used)
-    wanted = " OR ".join(f"(i = {h.i} AND bin = {h.bin})" for h in hits)
-    start = "CASE " + " ".join(f"WHEN i = {h.i} AND bin = {h.bin} THEN {h.before}L" for h in hits) + " END"
-    counted = (
-        numbers.selectExpr(f"inline(array({held}))")
-        .where(wanted)
-        .groupBy("i", "bin", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    bins = [[h.bin for h in hits if h.i == i] for i in range(len(columns))]
+    before = [[h.before for h in hits if h.i == i] for i in range(len(columns))]
+    place = f"CAST(array_position({_nested(bins, 'INT')}[i], bin) AS INT)"
     # The window sees the distinct values of one narrow bin.
     rows = (
-        counted.selectExpr("*", f"{start} + sum(n) OVER (PARTITION BY i, bin ORDER BY value) - n AS before")
-        .selectExpr("*", f"explode({ranks_of}) AS rank")
+        binned.where(f"{place} > 0")
+        .groupBy("i", "bin", "value")
+        .agg(F.count("*").alias("n"))
+        .withColumn("start", F.expr(f"element_at({_nested(before, 'BIGINT')}[i], {place})"))
+        .selectExpr("*", "start + sum(n) OVER (PARTITION BY i, bin ORDER BY value) - n AS before")
+        .selectExpr("*", asked)
         .where(here)
         .groupBy("i")
         .agg(F.avg("value").alias("median"))
@@ -72,14 +69,25 @@ def _number(c: str) -> str:
     return f"nanvl(CAST(`{c}` AS DOUBLE), NULL)"
 
 
-def _bin(c: str, lo: float, hi: float) -> str:
-    """Position of a value in the bracket: -1 below, ``_BINS`` above, rising with the value."""
-    width = (hi - lo) / _BINS
-    low, high = f"double('{lo!r}')", f"double('{hi!r}')"
-    inside = f"least(floor(({c} - {low}) / double('{width!r}')), {_BINS - 1})" if 0 < width < math.inf else "0"
+def _nested(lists: list[list[int]], kind: str) -> str:
+    """A constant array of arrays, looked up by position."""
+    inner = ", ".join(f"array({', '.join(f'CAST({v} AS {kind})' for v in values)})" for values in lists)
+    return f"array({inner})"
+
+
+def _bin(brackets: list[list[float]]) -> str:
+    """Position of a value in its column's bracket: -1 below, ``_BINS`` above, rising with the value."""
+
+    def constants(values):
+        return f"array({', '.join(f'double({v!r})' for v in map(repr, values))})[i]"
+
+    widths = [(hi - lo) / _BINS for lo, hi in brackets]
+    widths = [w if 0 < w < math.inf else math.inf for w in widths]
+    low, high = constants(lo for lo, _ in brackets), constants(hi for _, hi in brackets)
+    width = constants(widths)
     return (
-        f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} < {low} THEN -1 WHEN {c} > {high} THEN {_BINS} "
-        f"ELSE CAST({inside} AS INT) END"
+        f"CASE WHEN value < {low} THEN -1 WHEN value > {high} THEN {_BINS} WHEN {width} = double('inf') THEN 0 "
+        f"ELSE CAST(least(floor((value - {low}) / {width}), {_BINS - 1}) AS INT) END"
     )
 
 

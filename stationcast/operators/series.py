@@ -79,7 +79,7 @@ def over_series(
     df: DataFrame,
     key: str,
     ts: str,
-    columns: Mapping[str, str],
+    columns: Mapping[str, str | tuple[str, str]],
     back: int,
     ahead: int,
     stats: Profile | None = None,
@@ -87,8 +87,8 @@ def over_series(
 ) -> DataFrame:
     """Add window columns that look at most ``back`` rows back and ``ahead`` rows ahead.
 
-    ``columns`` maps a new name to a SQL window function such as ``lag(aqi, 1)``. All of them share
-    one exchange and one sort. ``(key, ts)`` must be unique.
+    ``columns`` maps a new name to a SQL window function such as ``lag(aqi, 1)``, or to a function and
+    its frame. All of them share one exchange and one sort. ``(key, ts)`` must be unique.
     """
     stats = stats or profile(df, key)
     if stats.longest <= max_rows:
@@ -113,9 +113,10 @@ def over_series(
     )
 
 
-def _windowed(columns: Mapping[str, str], keys: Sequence[str], ts: str) -> list[str]:
-    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{ts}`)"
-    return [f"{function} {over} AS `{name}`" for name, function in columns.items()]
+def _windowed(columns: Mapping[str, str | tuple[str, str]], keys: Sequence[str], ts: str) -> list[str]:
+    window = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{ts}`"
+    pairs = {name: (f, "") if isinstance(f, str) else f for name, f in columns.items()}
+    return [f"{f} OVER ({window} {frame}) AS `{name}`" for name, (f, frame) in pairs.items()]
 
 
 def _lend(rows: DataFrame, key: str, ts: str, n: int, forward: bool) -> DataFrame | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from stationcast.functions import dew_point, half_even, iso_seconds
 from stationcast.schemas import AIR_RESPONSE, POLLUTANTS, PREDICTION, PREDICTION_LINE, WEATHER_RESPONSE
@@ -17,6 +18,14 @@ def read_weather(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     return flatten_weather(spark.read.schema(WEATHER_RESPONSE).option("multiLine", str(multi_line).lower()).json(path))
 
 
+def parse_responses(lines: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
+    """Responses held as text, one per row, for the flatten functions.
+
+    A generator, so that filters and projections cannot be pushed past it and parse a line again.
+    """
+    return lines.select(F.inline_outer(F.array(F.from_json(column, schema))))
+
+
 def _records(responses: DataFrame) -> DataFrame:
     keep = [c for c in responses.columns if c != "list"]
     return responses.select(*keep, F.explode("list").alias("r"))
@@ -75,17 +84,18 @@ def parse_predictions(lines: DataFrame, column: str = "value") -> tuple[DataFram
 
     A line is rejected when it is not JSON, lacks a field, or holds a time that cannot be read.
     """
-    parsed = lines.select(
-        F.col(column).alias("line"),
-        F.from_json(column, PREDICTION_LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"),
+    parse = F.from_json(
+        column, PREDICTION_LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     )
+    # A generator, so that the filters below cannot be pushed past it and parse each line again.
+    parsed = lines.select(F.col(column).alias("line"), F.inline_outer(F.array(parse)))
     rows = parsed.select(
         "line",
-        iso_seconds("p.forecast_for").alias("forecast_for"),
-        "p.city_slug",
-        "p.predicted",
-        half_even("p.confidence", 6).alias("confidence"),
-        iso_seconds("p.as_of").alias("as_of"),
+        iso_seconds("forecast_for").alias("forecast_for"),
+        "city_slug",
+        "predicted",
+        half_even("confidence", 6).alias("confidence"),
+        iso_seconds("as_of").alias("as_of"),
     )
     complete = F.lit(True)
     for f in PREDICTION.fieldNames():

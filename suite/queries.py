@@ -376,8 +376,7 @@ def json_flatten(spark, d):
         F.struct(*POLLUTANTS).alias("components"),
     )
     lines = rows.select(F.to_json(F.struct("city", "city_slug", F.array(record).alias("list"))).alias("value"))
-    parsed = lines.select(F.from_json("value", AIR_RESPONSE).alias("j")).select("j.*")
-    return responses.flatten_air(parsed)
+    return responses.flatten_air(responses.parse_responses(lines, AIR_RESPONSE))
 
 
 @query
@@ -394,8 +393,7 @@ def weather_flatten(spark, d):
     lines = table(spark, d, "events").select(
         F.to_json(F.struct(F.col("event_id").cast("string").alias("city_slug"), F.array(record).alias("list"))).alias("value")
     )
-    parsed = lines.select(F.from_json("value", WEATHER_RESPONSE).alias("j")).select("j.*")
-    return responses.flatten_weather(parsed).select(
+    return responses.flatten_weather(responses.parse_responses(lines, WEATHER_RESPONSE)).select(
         "city_slug", "dt", "timestamp", "temp_c", "humidity_pct", "dew_point_c", "wind_speed_ms", "wind_gust_ms",
         "rain_1h_mm", "snow_1h_mm", "weather_id", "weather_main",
     )
