@@ -20,17 +20,17 @@ def upsert(
     keys: Sequence[str] = KEYS,
     keep: Sequence[str] = ("city",),
     source_order: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Target with the source merged in.
 
     A matched row takes every source value, nulls included, except the ``keep`` columns. Unmatched
     source rows are added. Several source rows with one key count as the first of them by
-    ``source_order`` (default: by all columns). Null keys match nothing and are added.
+    ``source_order`` (default: by all columns); ``unique`` says there are none. Null keys match
+    nothing and are added.
     """
     columns = target.columns
-    fresh = dedup_keep_first(
-        source.select(*dict.fromkeys([*columns, *(source_order or [])])), list(keys), list(source_order or columns)
-    ).select(*columns)
+    fresh = source.select(*columns) if unique else _first_by_key(source, columns, keys, source_order)
     # A flag on each side tells a null value from a missing row.
     old = target.withColumn("_old", F.lit(True))
     new = fresh.selectExpr(
@@ -48,6 +48,17 @@ def upsert(
     return joined.selectExpr(*[pick(c) for c in columns])
 
 
+def _first_by_key(
+    source: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str] | None
+) -> DataFrame:
+    order = list(order or columns)
+    # Rows without a whole key match nothing, so they are no copies of each other either.
+    whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    rows = source.select(*dict.fromkeys([*columns, *order]))
+    first = dedup_keep_first(rows.where(whole), list(keys), order).select(*columns)
+    return first.unionByName(rows.where(f"NOT ({whole})").select(*columns))
+
+
 def table_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """The table at a path, or None where nothing has been written yet."""
     try:
@@ -81,6 +92,7 @@ def upsert_table(
     time: str = "timestamp",
     partition: str = "ym",
     source_order: Sequence[str] | None = None,
+    unique: bool = False,
 ) -> None:
     """Merge a batch into the Parquet table at ``path``, which is partitioned by month.
 
@@ -90,17 +102,18 @@ def upsert_table(
     gives the whole result, since the merge is keyed. Where the table lives in a catalog that supports
     ``MERGE INTO``, that statement is the better choice.
     """
-    data_columns = [f.name for f in schema.fields if f.name != partition]
-    order = [c for c in source_order or [] if c not in data_columns]
-    batch = source.select(*data_columns, *order).withColumn(partition, year_month(time))
-    months = touched(batch, partition)
-    if not months:
-        return
+    columns = [f.name for f in schema.fields]
+    order = [c for c in source_order or [] if c not in columns]
+    batch = source.select(*[c for c in columns if c != partition], *order).withColumn(partition, year_month(time))
     existing = table_or_none(spark, path, schema)
     if existing is None:
-        existing = spark.createDataFrame([], schema)
-    current = in_partitions(existing, partition, months)
-    merged = upsert(current.select(*data_columns, partition), batch, keys, [*keep, partition], source_order)
+        merged = batch.select(*columns) if unique else _first_by_key(batch, columns, keys, source_order)
+    else:
+        months = touched(batch, partition)
+        if not months:
+            return
+        current = in_partitions(existing, partition, months).select(*columns)
+        merged = upsert(current, batch, keys, [*keep, partition], source_order, unique)
     write_months(merged, path, partition, list(keys))
 
 

@@ -65,6 +65,17 @@ def result_tables(
     return tables
 
 
+def history_documents(history: DataFrame, hours: tuple[int, ...] = HISTORY_HOURS, key: str = "city_slug") -> DataFrame:
+    """One JSON text per station and window, oldest row first (H17): at most 168 rows each."""
+    in_window = F.filter(F.array(*[F.lit(h) for h in hours]), lambda h: F.col("rn") <= h)
+    entry = F.struct("timestamp", "predicted", "actual", "current_aqi")
+    return (
+        history.withColumn("hours", F.explode(in_window))
+        .groupBy(key, "hours")
+        .agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("document"))
+    )
+
+
 def warm(
     spark: SparkSession,
     silver_path: str,
@@ -90,6 +101,8 @@ def warm(
         tables = result_tables(readings, stations, forecast, medians, predictions)
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{out_path}/{name}")
+        history = spark.read.parquet(f"{out_path}/history")
+        history_documents(history).write.mode("overwrite").parquet(f"{out_path}/history_documents")
         if gold_path is not None:
             rows = spark.read.parquet(f"{out_path}/latest").select(*PREDICTION.fieldNames())
             append_predictions(spark, rows, gold_path)
@@ -98,5 +111,5 @@ def warm(
         predictions.unpersist()
         readings.unpersist()
     return spark.createDataFrame(
-        [(*counts, len(tables))], "cached long, skipped long, rows_fetched long, tables_written int"
+        [(*counts, len(tables) + 1)], "cached long, skipped long, rows_fetched long, tables_written int"
     )

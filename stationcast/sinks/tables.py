@@ -51,8 +51,8 @@ def write_hourly(spark: SparkSession, df: DataFrame, path: str, at: str = "times
 
 
 def seed_silver(spark: SparkSession, clean: DataFrame, path: str) -> None:
-    """Fill silver from cleaned bulk readings (K3): an upsert, so it can be repeated."""
-    upsert_table(spark, path, clean, SILVER)
+    """Fill silver from cleaned bulk readings, whose keys are unique (K3): an upsert, so it can be repeated."""
+    upsert_table(spark, path, clean, SILVER, unique=True)
 
 
 def append_predictions(

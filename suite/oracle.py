@@ -276,6 +276,11 @@ daily AS (
   FROM preds GROUP BY 1
 )"""
 ORACLE["daily_accuracy"] = _with(*_B, DAILY) + "SELECT day, total, round(accuracy, 6) + 0.0 AS accuracy FROM daily"
+ORACLE["accuracy_trend"] = _with(
+    READINGS_SQL, LAGGED, BACKTEST.replace("preds AS", "every_pred AS", 1),
+    'preds AS (SELECT * FROM every_pred WHERE "timestamp" >= (SELECT max("timestamp") FROM every_pred) - INTERVAL 336 HOURS)',
+    DAILY,
+) + "SELECT day, total, round(accuracy, 6) + 0.0 AS accuracy FROM daily"
 ORACLE["accuracy_summary"] = _with(*_B, DAILY, "numbered AS (SELECT *, row_number() OVER (ORDER BY day DESC) AS rn FROM daily)",
     """sides AS (
   SELECT avg(accuracy) FILTER (rn <= 7) AS a, CASE WHEN count(*) >= 14 THEN avg(accuracy) FILTER (rn BETWEEN 8 AND 14) END AS b
@@ -454,6 +459,21 @@ texts AS (
 SELECT CAST(length(CASE WHEN k % 11 = 0 THEN substring(whole, 1, 20) ELSE whole END) AS INTEGER) AS chars, count(*) AS n
 FROM texts GROUP BY 1"""
 
+ORACLE["stream_upsert"] = _with(READINGS_SQL) + f"""
+SELECT "timestamp", CASE WHEN event_id % 2 = 0 THEN 'old' ELSE city END AS city, city_slug, aqi_raw AS aqi,
+  {sql_round(*POLLUTANTS)}, source, strftime("timestamp", '%Y-%m') AS ym FROM raw"""
+ORACLE["stream_forecasts"] = _with(
+    READINGS_SQL.replace("raw AS", "every AS", 1),
+    'raw AS (SELECT * FROM every WHERE "timestamp" >= (SELECT max("timestamp") FROM every) - INTERVAL 340 HOURS)',
+    RANKED,
+) + """
+SELECT "timestamp" + INTERVAL 1 HOUR AS forecast_for, city_slug, aqi AS predicted, 1.0::DOUBLE AS confidence,
+  "timestamp" AS as_of, strftime("timestamp" + INTERVAL 1 HOUR, '%Y-%m') AS ym
+FROM ranked WHERE rn = 1 AND n_rows >= 4"""
+ORACLE["stream_predictions"] = _with(LINES) + """
+SELECT *, strftime(forecast_for, '%Y-%m') AS ym, (SELECT count(*) FROM lines WHERE NOT good) AS rejected FROM gold
+QUALIFY row_number() OVER (PARTITION BY city_slug, as_of ORDER BY forecast_for, predicted, confidence) = 1"""
+
 # --- joins and reports ----------------------------------------------------------------------------
 
 FORECASTS = """

@@ -25,6 +25,7 @@ from stationcast.operators import (
 from stationcast.schemas import AIR_RESPONSE, FEATURES, POLLUTANTS, SILVER, WEATHER_RESPONSE
 from stationcast.sinks import tables as sinks
 from stationcast.sources import artifacts, chunks, responses, tables as sources
+from stationcast.streaming import ingest, predictions as drain
 from suite.adapter import events_as_readings, for_compare, readings, silver, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -222,6 +223,12 @@ def daily_accuracy(spark, d):
     return metrics.daily_accuracy(scoring.backtest(readings(spark, d)))
 
 
+@query
+def accuracy_trend(spark, d):
+    """A13 over the last two weeks"""
+    return metrics.accuracy_trend(scoring.backtest(readings(spark, d)), weeks=2)
+
+
 @query
 def accuracy_summary(spark, d):
     """A14"""
@@ -552,6 +559,49 @@ def coverage(spark, d):
     return reports.coverage(readings(spark, d))
 
 
+# --- streams --------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return ingest.new_readings(spark, d, schema, glob="events.parquet")
+
+
+@query
+def stream_upsert(spark, d):
+    """The events as a stream, merged into a table that already holds half of them"""
+    path = workspace(spark, "silver")
+    events = table(spark, d, "events")
+    half = events_as_readings(events.where(F.col("event_id") % 2 == 0)).withColumn("city", F.lit("old"))
+    sinks.seed_silver(spark, half.withColumn("aqi", F.lit(6)), path)
+    query = ingest.upsert_stream(
+        _event_stream(spark, d), path, workspace(spark, "checkpoint"), to_reading=events_as_readings
+    )
+    query.awaitTermination()
+    return sources.read_silver(spark, path, clamp=False)
+
+
+@query
+def stream_forecasts(spark, d):
+    """Forecasts appended after the micro-batch"""
+    silver_path, gold_path = workspace(spark, "silver"), workspace(spark, "gold")
+    query = ingest.upsert_stream(
+        _event_stream(spark, d), silver_path, workspace(spark, "checkpoint"), gold_path, to_reading=events_as_readings
+    )
+    query.awaitTermination()
+    return sources.read_predictions(spark, gold_path)
+
+
+@query
+def stream_predictions(spark, d):
+    """Buffered lines drained to gold; the number of rejects rides along"""
+    land, gold, rejects = (workspace(spark, n) for n in ("land", "gold", "rejects"))
+    _prediction_lines(spark, d).write.text(land)
+    drain.drain(drain.prediction_lines(spark, land), gold, rejects, workspace(spark, "checkpoint")).awaitTermination()
+    rejected = spark.read.parquet(rejects).agg(F.count("*").alias("rejected"))
+    return sources.read_predictions(spark, gold).withColumn("rejected", rejected.scalar())
+
+
 # --- models (no SQL form) -------------------------------------------------------------------------
 
 

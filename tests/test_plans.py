@@ -110,6 +110,11 @@ def test_warm(spark, lake):
     assert {tuple(r) for r in spark.read.parquet(f"{out}/history").groupBy("city_slug").count().collect()} == {
         ("tokyo", 168), ("delhi", 168), ("cairo", 168)
     }
+    documents = {(r.city_slug, r.hours): json.loads(r.document) for r in spark.read.parquet(f"{out}/history_documents").collect()}
+    assert {k: len(v) for k, v in documents.items()} == {
+        (s, h): h for s in ("tokyo", "delhi", "cairo") for h in (24, 48, 72, 168)
+    }
+    assert documents["tokyo", 24] == documents["tokyo", 168][-24:]
     scores = spark.read.parquet(f"{out}/metrics")
     assert {r.window_hours: r.n_predictions for r in scores.collect()} == {h: 3 * (h + 3) for h in (24, 48, 72, 168)}
     assert spark.read.parquet(f"{out}/drift_features").select("window").distinct().count() == 2

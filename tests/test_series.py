@@ -5,7 +5,7 @@ import datetime as dt
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from stationcast.operators import features, scoring, series
+from stationcast.operators import drift, features, scoring, series
 
 
 def rows_of(df):
@@ -33,6 +33,14 @@ def test_cut_series_equal_whole_series(spark):
         assert rows_of(build(df, max_rows=100)) == rows_of(build(df)), build.__name__
 
 
+def test_drift_over_cut_series(spark):
+    df = skewed(spark).cache()
+    for pooled in (False, True):
+        cut, whole = (drift.Drift(df, 30, pooled, max_rows=n) for n in (50, 5_000_000))
+        for part in ("features", "predictions"):
+            assert rows_of(getattr(cut, part)()) == rows_of(getattr(whole, part)()), (pooled, part)
+
+
 def test_only_long_series_are_cut_and_pieces_fit(spark):
     df = skewed(spark)
     stats = series.profile(df, "city_slug")

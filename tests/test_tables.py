@@ -32,6 +32,23 @@ def test_upsert_null_keys_are_added(frame):
     assert upsert.upsert(target, source).count() == 2
 
 
+def test_upsert_takes_the_first_of_several(frame):
+    target = frame([reading("a", 1, 2)])
+    source = frame([reading("a", 1, 5), reading("a", 1, 4), reading("b", 1, 3)])
+    found = upsert.upsert(target, source, source_order=["aqi"]).select("city_slug", "aqi")
+    assert rows_of(found) == [("a", 4), ("b", 3)]
+
+
+def test_rows_without_time_stay_in_their_own_folder(spark, frame, tmp_path):
+    path = str(tmp_path / "silver")
+    none = F.lit(None).cast("timestamp")
+    upsert.upsert_table(spark, path, frame([reading("a", 1, 2), reading("a", 2, 3)]).withColumn("timestamp", none), SILVER)
+    upsert.upsert_table(spark, path, frame([reading("a", 1, 2)]), SILVER)
+    assert sources.read_silver(spark, path).count() == 3
+    upsert.upsert_table(spark, path, frame([reading("b", 1, 2)]).withColumn("timestamp", none), SILVER)
+    assert sources.read_silver(spark, path).where("timestamp IS NULL").count() == 3
+
+
 KEYS = st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 5), st.integers(1, 6)), max_size=8, unique_by=lambda r: r[:2])
 
 
