@@ -148,21 +148,16 @@ def prediction_shift(
 ) -> DataFrame:
     """Percentage of each forecast class in both windows (A10).
 
-    Each window is back-tested on its own, so each loses its first rows. Series whose windows are too
-    small, or give no forecast in one of them, have no output.
+    Each window is back-tested on its own, so each loses its first rows. There is no output unless
+    both windows give forecasts; since that takes five rows in a window, the row gates hold then.
     """
     split = rows.withColumn("_series", F.struct(key, "recent"))
     made = backtest(split, forecast, medians, "_series", ts, stats, max_rows)
     flat = made.select(F.col(f"_series.{key}").alias(key), F.col("_series.recent").alias("recent"), "predicted")
     aggregates, long = _shares("predicted")
-    shares = flat.groupBy(*by).agg(*map(F.expr, aggregates)).where("n_ref > 0 AND n_new > 0")
-    if by:
-        passed = _summary(rows, by, []).select(*by)
-        shares = shares.join(passed, by, "left_semi")
-    else:
-        passed = _summary(rows, by, []).agg(F.count("*")).scalar()
-        shares = shares.where(passed == 1)
-    return shares.selectExpr(*by, long)
+    return (
+        flat.groupBy(*by).agg(*map(F.expr, aggregates)).where("n_ref > 0 AND n_new > 0").selectExpr(*by, long)
+    )
 
 
 @dataclass(frozen=True)

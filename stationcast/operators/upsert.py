@@ -30,7 +30,7 @@ def upsert(
     nothing and are added.
     """
     columns = target.columns
-    fresh = source.select(*columns) if unique else _first_by_key(source, columns, keys, source_order)
+    fresh, keyless = _first_by_key(source, columns, keys, source_order, unique)
     # A flag on each side tells a null value from a missing row.
     old = target.withColumn("_old", F.lit(True))
     new = fresh.selectExpr(
@@ -45,18 +45,25 @@ def upsert(
             return f"CASE WHEN _old THEN `{c}` ELSE `_new_{c}` END AS `{c}`"
         return f"CASE WHEN _new THEN `_new_{c}` ELSE `{c}` END AS `{c}`"
 
-    return joined.selectExpr(*[pick(c) for c in columns])
+    merged = joined.selectExpr(*[pick(c) for c in columns])
+    return merged if keyless is None else merged.unionByName(keyless)
 
 
 def _first_by_key(
-    source: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str] | None
-) -> DataFrame:
+    source: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str] | None, unique: bool
+) -> tuple[DataFrame, DataFrame | None]:
+    """One source row per key, and apart from them the rows without a whole key.
+
+    The latter match nothing, so they are no copies of each other. Kept apart they leave the join the
+    partitioning of the aggregate, and as a filter on null keys they are cheap to find.
+    """
+    if unique:
+        return source.select(*columns), None
     order = list(order or columns)
-    # Rows without a whole key match nothing, so they are no copies of each other either.
     whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
     rows = source.select(*dict.fromkeys([*columns, *order]))
     first = dedup_keep_first(rows.where(whole), list(keys), order).select(*columns)
-    return first.unionByName(rows.where(f"NOT ({whole})").select(*columns))
+    return first, rows.where(f"NOT ({whole})").select(*columns)
 
 
 def table_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
@@ -107,7 +114,8 @@ def upsert_table(
     batch = source.select(*[c for c in columns if c != partition], *order).withColumn(partition, year_month(time))
     existing = table_or_none(spark, path, schema)
     if existing is None:
-        merged = batch.select(*columns) if unique else _first_by_key(batch, columns, keys, source_order)
+        merged, keyless = _first_by_key(batch, columns, keys, source_order, unique)
+        merged = merged if keyless is None else merged.unionByName(keyless)
     else:
         months = touched(batch, partition)
         if not months:
