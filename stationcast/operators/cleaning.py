@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stationcast.functions import drop_nan, to_class, year_month
 from stationcast.schemas import POLLUTANTS, READING
@@ -26,27 +26,22 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the first by ``order``.
 
-    An aggregate, so copies are already dropped before the exchange and a key with very many copies
-    stays cheap. ``order`` must be total for the result to be repeatable.
+    Copies are dropped before the exchange as well, so a task gets at most one row per key from each
+    map task, however many copies there are. ``order`` must be total for the result to be repeatable.
     """
-    columns = df.columns
-    rest = [c for c in columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
-    return df.groupBy(*keys).agg(first).selectExpr(*_unpacked(columns, keys, "_first"))
+    return _first(df, keys, [F.asc(c) for c in order if c not in keys] or [F.asc(keys[0])])
 
 
 def newest_forecast(df: DataFrame, key: str = "city_slug") -> DataFrame:
     """One row per key and forecast hour, the one made last."""
-    columns = df.columns
-    rest = [c for c in columns if c not in (key, "forecast_for")]
     # Equal as_of: fall back on the remaining values, so the choice is repeatable.
-    order = F.struct("as_of", *[c for c in rest if c != "as_of"])
-    last = F.max_by(F.struct(*rest), order).alias("_last")
-    return df.groupBy(key, "forecast_for").agg(last).selectExpr(*_unpacked(columns, (key, "forecast_for"), "_last"))
+    rest = [c for c in df.columns if c not in (key, "forecast_for", "as_of")]
+    return _first(df, [key, "forecast_for"], [F.desc(c) for c in ("as_of", *rest)])
 
 
-def _unpacked(columns: Sequence[str], keys: Sequence[str], struct: str) -> list[str]:
-    return [f"`{c}`" if c in keys else f"`{struct}`.`{c}` AS `{c}`" for c in columns]
+def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
 def clean_readings(

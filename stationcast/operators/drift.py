@@ -37,7 +37,7 @@ def two_windows(
         return rows.where(F.col(ts) >= last - span).withColumn("recent", F.col(ts) >= last - half)
     newest = readings.groupBy(key).agg(F.max(ts).alias("_last"))
     return (
-        with_key_values(rows, newest, key, stats.series if stats else None)
+        with_key_values(rows, newest, key, stats.series if stats else None, spread_by=ts)
         .where(F.col(ts) >= F.col("_last") - span)
         .withColumn("recent", F.col(ts) >= F.col("_last") - half)
         .drop("_last")

@@ -166,18 +166,20 @@ def with_key_values(
     key: str,
     n_keys: int | None = None,
     how: str = "inner",
+    spread_by: str | None = None,
     salts: int = 32,
 ) -> DataFrame:
     """Join one row per key to all rows of the key.
 
     Up to ``MAX_BROADCAST_ROWS`` keys the small side is broadcast. Beyond that both sides are spread
-    over ``salts`` parts of each key, so that the rows of a frequent key go to many tasks.
+    over ``salts`` parts of each key, so that the rows of a frequent key go to many tasks. The part
+    comes from the ``spread_by`` column, else from all columns.
     """
     if n_keys is None:
         n_keys = per_key.limit(MAX_BROADCAST_ROWS + 1).count()
     if n_keys <= MAX_BROADCAST_ROWS:
         return rows.join(F.broadcast(per_key), key, how)
-    others = [c for c in rows.columns if c != key]
+    others = [spread_by] if spread_by else [c for c in rows.columns if c != key]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], how).drop("_salt")

@@ -17,12 +17,12 @@ from stationcast.sources.tables import newest_time, read_silver
 
 
 def prepare(readings: DataFrame, max_gap: str | None = None) -> DataFrame:
-    """Labelled and weighted training rows, written once: medians, weights and fitting all read them."""
+    """Labelled training rows, written once: medians, weights and fitting all read them."""
     spark = readings.sparkSession
     rows = training.label_rows(features.training_features(readings, max_gap=max_gap))
     path = workspace(spark, "training")
     rows.write.parquet(path)
-    return training.with_weights(spark.read.schema(rows.schema).parquet(path))
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def train(
@@ -41,7 +41,7 @@ def train(
     as_of = as_of or newest_time(spark, silver_path)
     rows = prepare(read_silver(spark, silver_path, lookback_days * 24, as_of=as_of))
     medians = quantiles.median_values(rows, FEATURES)
-    model = training.fit(training.impute(rows, medians), learner)
+    model = training.fit(training.impute(training.with_weights(rows), medians), learner)
     save_artifacts(spark, model, medians, model_dir)
     if snapshots_path is not None:
         nodes = importance.read_nodes(spark, f"{model_dir}/model")
@@ -69,7 +69,7 @@ def search(readings: DataFrame, learners: Mapping[str, Estimator], folds: int =
     scores = []
     for train_rows, test_rows in time_folds(rows, folds):
         medians = quantiles.median_values(train_rows, FEATURES)
-        known, unseen = (training.impute(r, medians) for r in (train_rows, test_rows))
+        known, unseen = training.impute(training.with_weights(train_rows), medians), training.impute(test_rows, medians)
         for name, learner in learners.items():
             made = scoring.forecaster(training.fit(known, learner))(unseen)
             scored = metrics.overall_scores(made.withColumn("actual", F.col("aqi_next"))).select("f1").first()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stationcast.functions import drop_nan, path_value
 from stationcast.operators.cleaning import look_back, union_all
@@ -53,7 +53,7 @@ def only_file(df: DataFrame, path: str) -> DataFrame:
     return df.where(F.col("_metadata.file_path").endswith(path))
 
 
-def partition_of(path: str | F.Column) -> list[F.Column]:
+def partition_of(path: str | Column) -> list[Column]:
     """Year, month and day from a file path."""
     return [path_value(path, name).alias(name) for name in ("year", "month", "day")]
 
@@ -68,11 +68,12 @@ def read_silver(
 ) -> DataFrame:
     """Silver over a look-back, for one, some or all stations.
 
-    The class is cut at 5 on reading only; the table keeps what was delivered.
+    The look-back ends at ``as_of``, by default the newest time in the table. The class is cut at 5 on
+    reading only; the table keeps what was delivered.
     """
     rows = spark.read.schema(SILVER).parquet(path)
     if hours is not None:
-        rows = look_back(rows, hours, "timestamp", as_of)
+        rows = look_back(rows, hours, "timestamp", as_of or newest_time(spark, path))
     if keys is not None:
         rows = rows.where(F.col("city_slug").isin(list(keys)))
     rows = rows.withColumns({c: drop_nan(c) for c in POLLUTANTS})

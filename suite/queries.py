@@ -129,8 +129,8 @@ def transition_weights(spark, d):
 @query
 def training_rows(spark, d):
     """A4, A5, W8, P12, J6, H19"""
-    rows = training.with_weights(_stored(spark, _labelled(spark, d)))
-    filled = training.impute(rows, quantiles.median_values(rows, FEATURES))
+    rows = _stored(spark, _labelled(spark, d))
+    filled = training.impute(training.with_weights(rows), quantiles.median_values(rows, FEATURES))
     return filled.select("city_slug", "timestamp", "label", "kind", "weight", *FEATURES)
 
 
@@ -606,9 +606,9 @@ def stream_predictions(spark, d):
 
 
 def _fitted(spark, d, path):
-    rows = training.with_weights(_stored(spark, _labelled(spark, d)))
+    rows = _stored(spark, _labelled(spark, d))
     medians = quantiles.median_values(rows, FEATURES)
-    model = training.fit(training.impute(rows, medians), training.random_forest(trees=10, depth=5))
+    model = training.fit(training.impute(training.with_weights(rows), medians), training.random_forest(trees=10, depth=5))
     artifacts.save_artifacts(spark, model, medians, path)
     return artifacts.load_artifacts(spark, path)
 

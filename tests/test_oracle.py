@@ -25,3 +25,10 @@ def test_query(spark, db, name):
         assert difference(found, db, ORACLE[name]) is None
     else:
         assert found.count() > 0
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 5
+    assert set(entry.oracle_sql()) <= set(entry.queries())

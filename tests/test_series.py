@@ -68,7 +68,8 @@ def test_salted_join_equals_plain_join(spark, monkeypatch):
     newest = df.groupBy("city_slug").agg(F.max("timestamp").alias("last"))
     plain = rows_of(series.with_key_values(df, newest, "city_slug"))
     monkeypatch.setattr(series, "MAX_BROADCAST_ROWS", 5)
-    assert rows_of(series.with_key_values(df, newest, "city_slug", salts=4)) == plain
+    for by in (None, "timestamp"):
+        assert rows_of(series.with_key_values(df, newest, "city_slug", spread_by=by, salts=4)) == plain
 
 
 def test_latest_rows_are_limited_before_the_exchange(spark):
