@@ -7,8 +7,12 @@
    only: pairs grow with the members, not with their square. Pairs whose signatures agree in too few minima
    go; the others are confirmed on full sets.
 3. A link that a centre misses joins two groups inside one bucket. Buckets whose members are not yet all in
-   one component are given further centres (drawn by a digest), and at last the pairs across components in
-   what is left are all compared. So every pair that shares a band is either compared or already connected.
+   one component get a second centre each, drawn by a digest and compared across components only. In what
+   is left every pair across components is compared inside the bucket's task: by signatures first, which
+   leaves members with a likely partner, then on full sets, likeliest pairs first, until the pair's groups
+   are one. Tasks give members and confirmed links, never the pairs; a bucket above ``PART`` members is cut
+   into parts, and pairs of parts are tasks of their own. So every pair that shares a band is either
+   compared or already connected.
 4. Components by alternating large-star and small-star.
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no band with probability 5e-8, and one in 1e5
@@ -36,7 +40,7 @@ from stationcast.llm.components import components
 BANDS = 32
 ROWS = 4
 SIGNATURE_SLACK = 0.16
-ROUNDS = 2
+PART = 512
 BLOCK = 1 << 15
 
 
@@ -131,16 +135,23 @@ def _sets(words: int):
     return run
 
 
+def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    """(texts, bands): bucket of every band."""
+    parts = sig.reshape(len(sig), bands, -1)
+    key = np.zeros(parts.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(parts.shape[2]):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+    return key
+
+
 def _buckets(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, bands, rows)
-            key = np.zeros(sig.shape[:2], np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                for r in range(rows):
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            key = band_keys(sig, bands)
             reps = np.repeat(batch.column("rep").to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(reps)], ["bucket", "rep"])
 
@@ -166,18 +177,116 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("set_a"), batch.column("set_b")
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                if len(x) and len(y) and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            sets = ((np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)) for i in range(batch.num_rows))
+            ok = np.array([alike(x, y, percent) for x, y in sets], bool)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
+def _pairs_across(table: pa.Table, key: tuple, bands: int, least: float):
+    """(estimates, i, j) of likely pairs across components between two parts of a bucket, or inside one.
+
+    A pair that shares several buckets counts in the one of its first shared band only.
+    """
+    bucket, first, second = (k.as_py() for k in key)
+    component, part = table.column("component").to_numpy(), table.column("part").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(table.num_rows, -1)
+    keys = band_keys(sig, bands)
+    band = int(np.flatnonzero(keys[0].view(np.int64) == bucket)[0])
+    left = np.flatnonzero(part == first)
+    right = left if first == second else np.flatnonzero(part == second)
+    for i in left:
+        others = right[(component[right] != component[i]) & ((right > i) | (first != second))]
+        others = others[(keys[others, : band + 1] == keys[i, : band + 1]).argmax(axis=1) == band]
+        near = (sig[others] == sig[i]).mean(axis=1)
+        ok = near >= least
+        yield near[ok], np.full(ok.sum(), i), others[ok]
+
+
+def _likely(bands: int, least: float):
+    """Members of a bucket that have a likely partner in another component."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keep = np.zeros(table.num_rows, bool)
+        for _, i, j in _pairs_across(table, key, bands, least):
+            keep[i], keep[j] = True, True
+        table = table.filter(pa.array(keep))
+        bucket = pa.array(np.full(table.num_rows, key[0].as_py()), pa.int64())
+        return pa.table([bucket, table.column("rep"), table.column("component")], ["bucket", "rep", "component"])
+
+    return run
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * |x and y| >= percent * |x or y| for sorted sets."""
+    if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _links_across(bands: int, percent: int, least: float):
+    """Confirmed links of a bucket that join components, likeliest pairs first."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        found = list(_pairs_across(table, key, bands, least))
+        near, i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        reps, component = table.column("rep").to_pylist(), table.column("component").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        out = []
+        for k in np.argsort(-near, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            p, q = top(component[x]), top(component[y])
+            if p != q and alike(sets[x], sets[y], percent):
+                root[max(p, q)] = min(p, q)
+                out.append((reps[x], reps[y]))
+        return pa.table([pa.array([o[n] for o in out], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def in_parts(rows: DataFrame, columns: list[str]):
+    """Groups (bucket, part, part) of ``rows``: a bucket with more than ``PART`` members is dealt by digest."""
+    parts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("bucket", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"), "part", *columns).groupBy(
+        "bucket", "p1", "p2"
+    )
+
+
+def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, rep, component) of the buckets that hold more than one component."""
+    labelled = members.join(found, "rep")
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return labelled.join(split.select("bucket"), "bucket").select("bucket", "rep", "component")
+
+
+def merged(spark: SparkSession, found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (rep, component) after more links (a, b) between reps."""
+    links = stored(spark, links, "links")
+    if links.isEmpty():
+        return found
+    edges = links.join(found.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a", "left").join(
+        found.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b", "left"
+    )
+    ends = components(spark, edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    known = found.join(ends, found.component == ends.node, "left").select("rep", F.coalesce(ends.component, found.component).alias("component"))
+    # Ends that were no member of any bucket: repeated ids that tie classes together.
+    new = ends.join(found, ends.node == found.rep, "left_anti").select(F.col("node").alias("rep"), "component")
+    return known.unionByName(new)
+
+
 def near_duplicates(
     spark: SparkSession, df: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -218,31 +327,35 @@ def near_duplicates(
     repeated = usable.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 != d2").select("doc_id")
     links = stored(spark, ties.join(repeated, ties.a == repeated.doc_id, "left_semi"), "links")
 
-    found, open_members = None, members
-    for turn in range(ROUNDS + 1):
-        if found is not None:
-            labelled = open_members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-                "component", F.coalesce("component", "rep")
-            )
-            split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-            open_members = stored(spark, labelled.join(split.select("bucket"), "bucket").select("bucket", "rep", "component"), "open")
-        if turn < ROUNDS:
-            # The smallest id first, then another centre by a digest of the id and the turn.
-            rank = F.struct("rep", F.col("rep").alias("id")) if not turn else F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("id"))
-            centres = open_members.groupBy("bucket").agg(F.min(rank)["id"].alias("centre"))
-            pairs = open_members.join(centres, "bucket").where("rep != centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
-        else:
-            left = open_members.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            right = open_members.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
-            pairs = right.join(left, "bucket").where("a > b and ca != cb").select("a", "b")
-        new = stored(spark, confirmed(pairs.distinct()), "links")
-        links = links.unionByName(new)
-        if turn == 0 or not new.isEmpty():
-            found = stored(spark, components(spark, links), "components")
-        open_members = open_members.select("bucket", "rep")
-
-    classes = classes.select("digest", "rep").alias("c").join(found.alias("f"), F.col("c.rep") == F.col("f.node"), "left").select(
-        "digest", F.coalesce("component", "rep").alias("component")
+    found = stored(spark, merged(spark, members.select("rep").distinct().withColumn("component", F.col("rep")), links), "components")
+
+    # The smallest id of each bucket is its first centre.
+    centres = shared.select("bucket", F.col("low").alias("centre"))
+    pairs = members.join(centres, "bucket").where("rep != centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
+    found = stored(spark, merged(spark, found, confirmed(pairs.distinct())), "components")
+
+    # The second is drawn; only members of other components are compared with it.
+    left = stored(spark, unsettled(members, found), "open")
+    drawn = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket").alias("h"), "rep", "component")).alias("m")).select(
+        "bucket", F.col("m.rep").alias("centre"), F.col("m.component").alias("own")
+    )
+    pairs = left.join(drawn, "bucket").where("component != own").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"))
+    found = stored(spark, merged(spark, found, confirmed(pairs.distinct())), "components")
+
+    # What is left is compared inside the buckets.
+    left = unsettled(left.select("bucket", "rep"), found)
+    likely = in_parts(left.join(signs.select("rep", "signature"), "rep"), ["rep", "component", "signature"]).applyInArrow(
+        _likely(bands, percent / 100 - SIGNATURE_SLACK), "bucket long, rep long, component long"
+    )
+    likely = stored(spark, likely.distinct(), "likely")
+    rows = likely.join(signs.select("rep", "signature"), "rep").join(sets, "rep")
+    last = in_parts(rows, ["rep", "component", "signature", "shingles"]).applyInArrow(
+        _links_across(bands, percent, percent / 100 - SIGNATURE_SLACK), "a long, b long"
+    )
+    found = stored(spark, merged(spark, found, last), "components")
+
+    classes = classes.select("digest", "rep").alias("c").join(found.alias("f"), F.col("c.rep") == F.col("f.rep"), "left").select(
+        "digest", F.coalesce("component", "c.rep").alias("component")
     )
     out = profile.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
