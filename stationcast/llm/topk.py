@@ -24,8 +24,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 QUERY_BLOCK = 1024
 ROW_BLOCK = 8192
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
 CHUNK = 64
+# Up to this share of surviving pairs a level works on the pairs, above it on the whole block.
+SPARSE = 0.02
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> DataFrame:
@@ -45,6 +47,17 @@ def segment_features(m: np.ndarray, segments: int) -> np.ndarray:
     return np.stack([f(p, axis=1) * np.sqrt(p.shape[1]) for p in parts for f in (np.mean, np.std)], axis=1)
 
 
+def _threshold(queries: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int) -> np.ndarray:
+    """A score that ``k`` rows of each query reach: the k-th best among the rows with the largest bounds."""
+    likely = min(2 * k, len(rows))
+    if likely < k:
+        return np.full(len(queries), -np.inf)
+    top = np.argpartition(-bound, likely - 1, axis=1)[:, :likely]
+    scores = np.einsum("qd,qnd->qn", queries, rows[top]).astype(float)
+    scores[np.isneginf(np.take_along_axis(bound, top, axis=1))] = -np.inf
+    return -np.sort(-scores, axis=1)[:, k - 1]
+
+
 def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, levels=LEVELS):
     """(query position, row position, score) of the k best rows per query, the query's own id left out."""
     exact_q, exact_r = queries.astype(np.int64), rows.astype(np.int64)
@@ -55,20 +68,23 @@ def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
     found = []
     for start in range(0, len(queries), CHUNK):
         q = np.arange(start, min(start + CHUNK, len(queries)))
-        bound = q_feat[0][q] @ r_feat[0].T
-        bound[query_ids[q][:, None] == row_ids[None, :]] = -np.inf
-        likely = min(2 * k, len(rows))
-        top = np.argpartition(-bound, likely - 1, axis=1)[:, :likely]
-        scores = np.einsum("qd,qnd->qn", exact_q[q], exact_r[top]).astype(float)
-        scores[np.isneginf(np.take_along_axis(bound, top, axis=1))] = -np.inf
-        least = -np.sort(-scores, axis=1)[:, min(k, likely) - 1] if likely >= k else np.full(len(q), -np.inf)
-        qi, ri = np.nonzero((bound >= least[:, None] - slack) & ~np.isneginf(bound))
-        for fq, fr in zip(q_feat[1:], r_feat[1:]):
-            ok = np.zeros(len(qi), bool)
-            for a in range(0, len(qi), 1 << 17):
-                i, j = qi[a : a + (1 << 17)], ri[a : a + (1 << 17)]
-                ok[a : a + len(i)] = np.einsum("nd,nd->n", fq[q[i]], fr[j]) >= least[i] - slack
-            qi, ri = qi[ok], ri[ok]
+        alive = query_ids[q][:, None] != row_ids[None, :]
+        least, qi, ri = np.full(len(q), -np.inf), None, None
+        for fq, fr in zip(q_feat, r_feat):
+            if qi is None:
+                bound = np.where(alive, fq[q] @ fr.T, -np.inf)
+                least = np.maximum(least, _threshold(exact_q[q], exact_r, bound, k))
+                alive &= bound >= least[:, None] - slack
+                if alive.mean() <= SPARSE:
+                    qi, ri = np.nonzero(alive)
+            else:
+                ok = np.zeros(len(qi), bool)
+                for a in range(0, len(qi), 1 << 17):
+                    i, j = qi[a : a + (1 << 17)], ri[a : a + (1 << 17)]
+                    ok[a : a + len(i)] = np.einsum("nd,nd->n", fq[q[i]], fr[j]) >= least[i] - slack
+                qi, ri = qi[ok], ri[ok]
+        if qi is None:
+            qi, ri = np.nonzero(alive)
         score = np.empty(len(qi), np.int64)
         for a in range(0, len(qi), 1 << 17):
             i, j = qi[a : a + (1 << 17)], ri[a : a + (1 << 17)]
