@@ -27,9 +27,11 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     """One row per key, the first by ``order``.
 
     Copies are dropped before the exchange as well, so a task gets at most one row per key from each
-    map task, however many copies there are. ``order`` must be total for the result to be repeatable.
+    map task, however many copies there are. ``order`` must be total for the result to be repeatable; a
+    name with a leading minus is ordered downwards.
     """
-    return _first(df, keys, [F.asc(c) for c in order if c not in keys] or [F.asc(keys[0])])
+    by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order if c not in keys]
+    return _first(df, keys, by or [F.asc(keys[0])])
 
 
 def newest_forecast(df: DataFrame, key: str = "city_slug") -> DataFrame:

@@ -26,7 +26,7 @@ def upsert(
 
     A matched row takes every source value, nulls included, except the ``keep`` columns. Unmatched
     source rows are added. Several source rows with one key count as the first of them by
-    ``source_order`` (default: by all columns); ``unique`` says there are none. Null keys match
+    ``source_order`` (default: by all columns; a leading minus orders downwards); ``unique`` says there are none. Null keys match
     nothing and are added.
     """
     columns = target.columns
@@ -61,7 +61,7 @@ def _first_by_key(
         return source.select(*columns), None
     order = list(order or columns)
     whole = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
-    rows = source.select(*dict.fromkeys([*columns, *order]))
+    rows = source.select(*dict.fromkeys([*columns, *[c.removeprefix("-") for c in order]]))
     first = dedup_keep_first(rows.where(whole), list(keys), order).select(*columns)
     return first, rows.where(f"NOT ({whole})").select(*columns)
 
@@ -110,7 +110,7 @@ def upsert_table(
     ``MERGE INTO``, that statement is the better choice.
     """
     columns = [f.name for f in schema.fields]
-    order = [c for c in source_order or [] if c not in columns]
+    order = [c for c in (o.removeprefix("-") for o in source_order or []) if c not in columns]
     batch = source.select(*[c for c in columns if c != partition], *order).withColumn(partition, year_month(time))
     existing = table_or_none(spark, path, schema)
     if existing is None:

@@ -30,16 +30,16 @@ def train(
     silver_path: str,
     model_dir: str,
     as_of: dt.datetime | None = None,
-    lookback_days: int = 365,
+    lookback_days: int | None = 365,
     learner: Estimator | None = None,
     snapshots_path: str | None = None,
 ) -> DataFrame:
-    """Fit on the last ``lookback_days`` and save the model with its medians (M1, M2, M8, K7, K8).
+    """Fit on the last ``lookback_days`` (None: on all readings) and save the model with its medians (M1, M2, M8, K7, K8).
 
     Returns the transition statistics of the training rows.
     """
     as_of = as_of or newest_time(spark, silver_path)
-    rows = prepare(read_silver(spark, silver_path, lookback_days * 24, as_of=as_of))
+    rows = prepare(read_silver(spark, silver_path, None if lookback_days is None else lookback_days * 24, as_of=as_of))
     medians = quantiles.median_values(rows, FEATURES)
     model = training.fit(training.impute(training.with_weights(rows), medians), learner)
     save_artifacts(spark, model, medians, model_dir)

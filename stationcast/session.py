@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -38,13 +37,11 @@ def tune(spark: SparkSession) -> SparkSession:
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder path for one run below the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where the session names none (tests on one
-    machine) is a temporary folder made and set as the session's checkpoint folder.
+    The folder comes from ``spark.checkpoint.dir``; without that setting there is none that all executors see.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="stationcast-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -27,19 +27,19 @@ def write_bulk(df: DataFrame, path: str) -> None:
 def write_hourly(spark: SparkSession, df: DataFrame, path: str, at: str = "timestamp") -> None:
     """Hourly bronze in zero-padded ``year=/month=/day=`` folders (K2).
 
-    The hours in the batch are replaced, so an hour that is delivered again does not double; other
-    hours of the same days are kept.
+    The hours of each station in the batch are replaced, so an hour that is delivered again does not double;
+    other hours of the same days and other stations of the same hour are kept.
     """
     formats = {"year": "yyyy", "month": "MM", "day": "dd"}
     columns = [f.name for f in BRONZE_HOURLY.fields if f.name not in formats]
     rows = df.select(*columns).withColumns({name: F.date_format(at, f) for name, f in formats.items()})
     existing = table_or_none(spark, path, BRONZE_HOURLY)
     if existing is not None:
-        hours = rows.select(F.date_trunc("HOUR", at).alias("_hour")).distinct()
+        hours = rows.select("city_slug", F.date_trunc("HOUR", at).alias("_hour")).distinct()
         days = touched(rows.select(F.concat(*formats).alias("_day")), "_day")
         among = existing.where(F.concat(*formats).isin([d for d in days if d is not None]))
         kept = among.withColumn("_hour", F.date_trunc("HOUR", at))
-        rows = rows.unionByName(kept.join(hours, "_hour", "left_anti").drop("_hour"))
+        rows = rows.unionByName(kept.join(hours, ["city_slug", "_hour"], "left_anti").select(*rows.columns))
     (
         rows.hint("rebalance", *formats)
         .sortWithinPartitions(*formats, "city_slug", at)
@@ -56,11 +56,12 @@ def seed_silver(spark: SparkSession, clean: DataFrame, path: str) -> None:
 
 
 def append_predictions(
-    spark: SparkSession, predictions: DataFrame, path: str, keys: tuple[str, ...] = ("city_slug", "as_of")
+    spark: SparkSession, predictions: DataFrame, path: str, keys: tuple[str, ...] = ("city_slug", "forecast_for", "as_of")
 ) -> None:
     """Append forecasts that are not in gold yet (K5).
 
-    Keyed by station and the moment the forecast was made from, so a replayed batch adds nothing.
+    Keyed by station, forecast hour and the moment the forecast was made from: every hour that was forecast at
+    one moment is kept, and a replayed batch adds nothing.
     """
     columns = PREDICTION.fieldNames()
     rows = predictions.select(*columns).withColumn("confidence", F.bround("confidence", 6))

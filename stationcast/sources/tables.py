@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -50,7 +51,8 @@ def read_hourly(spark: SparkSession, root: str, year: str | None = None, month:
 
 def only_file(df: DataFrame, path: str) -> DataFrame:
     """Rows of exactly one file; other files are not opened (S3)."""
-    return df.where(F.col("_metadata.file_path").endswith(path))
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return df.where(bare(F.col("_metadata.file_path")) == bare(F.lit(path)))
 
 
 def partition_of(path: str | Column) -> list[Column]:
@@ -81,9 +83,10 @@ def read_silver(
 
 
 def newest_time(spark: SparkSession, path: str) -> dt.datetime:
-    """The newest time in silver, read from its newest month only."""
+    """The newest time in silver: months come from the file listing, only the newest one is read."""
     rows = spark.read.schema(SILVER).parquet(path)
-    months = [r[0] for r in rows.select("ym").distinct().collect() if r[0] is not None]
+    found = (re.search(r"/ym=(\d{4}-\d{2})/", f) for f in rows.inputFiles())
+    months = [m[1] for m in found if m]
     if not months:
         raise ValueError(f"{path} holds no readings")
     return rows.where(F.col("ym") == max(months)).agg(F.max("timestamp")).first()[0]

@@ -16,20 +16,30 @@ from stationcast.schemas import BRONZE_HOURLY, POLLUTANTS, READING, SILVER, WARM
 from stationcast.sinks.tables import append_predictions
 from stationcast.sources.tables import read_silver
 
+# Columns that tell which of two deliveries of a reading is the newer one.
+DELIVERY = {"_delivered": "file_modification_time", "_file": "file_path", "_row": "row_index"}
+NEWEST_FIRST = [f"-{c}" for c in DELIVERY]
+
 
 def new_readings(
     spark: SparkSession, root: str, schema: StructType = BRONZE_HOURLY, files_per_batch: int = 1000, glob: str | None = None
 ) -> DataFrame:
-    """Bronze files as a stream; each file is taken once."""
+    """Bronze files as a stream; each file is taken once.
+
+    The place of every row rides along: when its file was written, which file, which row.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(root)
+    place = [F.col(f"_metadata.{of}").alias(name) for name, of in DELIVERY.items()]
+    return reader.parquet(root).select("*", *place)
 
 
 def as_reading(rows: DataFrame, source: str = "hourly") -> DataFrame:
     """Bronze columns to silver columns with the lineage value (P10)."""
+    place = [c for c in DELIVERY if c in rows.columns]
     return rows.select(
+        *place,
         *[F.lit(source).alias(f.name) if f.name == "source" else F.col(f.name).cast(f.dataType) for f in READING.fields]
     ).withColumns({c: drop_nan(c) for c in POLLUTANTS})
 
@@ -47,7 +57,8 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Merge every micro-batch into silver (R2) and, with ``gold_path``, append forecasts.
 
-    Both steps are keyed, so a batch that is run again after a failure changes nothing. Lags are not
+    Of several deliveries of a reading in one batch the newest wins, as it does across batches, so the size
+    of a batch changes nothing. Both steps are keyed, so a batch that is run again after a failure changes nothing. Lags are not
     kept as stream state: the last rows of the touched series are read back from silver, which also
     takes late rows into account (R6).
     """
@@ -59,7 +70,8 @@ def upsert_stream(
             newest = rows.agg(F.max("timestamp")).first()[0]
             if newest is None:
                 return
-            upsert_table(spark, silver_path, rows, SILVER)
+            placed = set(DELIVERY) <= set(rows.columns)
+            upsert_table(spark, silver_path, rows, SILVER, source_order=NEWEST_FIRST if placed else None)
             if gold_path is not None:
                 touched = rows.select("city_slug").distinct()
                 recent = read_silver(spark, silver_path, hours=hours, as_of=newest)

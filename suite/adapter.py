@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from stationcast.operators.features import readable
 from stationcast.schemas import POLLUTANTS
+from stationcast.streaming.ingest import DELIVERY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,7 @@ def events_as_readings(events: DataFrame) -> DataFrame:
         "value AS pm10",
         "CASE WHEN event_type <> 'view' THEN value * 0.0625D END AS nh3",
         "CASE WHEN event_type = 'click' THEN 'hourly' ELSE 'pipeline' END AS source",
+        *[c for c in DELIVERY if c in events.columns],
     )
 
 

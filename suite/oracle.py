@@ -447,7 +447,19 @@ gold AS (
 ORACLE["parse_predictions"] = _with(LINES) + "SELECT * FROM gold"
 ORACLE["append_predictions"] = _with(LINES) + """
 SELECT *, strftime(forecast_for, '%Y-%m') AS ym FROM gold
-QUALIFY row_number() OVER (PARTITION BY city_slug, as_of ORDER BY forecast_for, predicted, confidence) = 1"""
+QUALIFY row_number() OVER (PARTITION BY city_slug, forecast_for, as_of ORDER BY predicted, confidence) = 1"""
+ORACLE["append_horizons"] = _with(LINES) + """
+SELECT forecast_for + h * INTERVAL 1 HOUR AS forecast_for, city_slug, predicted, confidence, as_of,
+  strftime(forecast_for + h * INTERVAL 1 HOUR, '%Y-%m') AS ym
+FROM gold CROSS JOIN (SELECT unnest([0, 1, 2]) AS h)
+QUALIFY row_number() OVER (PARTITION BY city_slug, gold.forecast_for, as_of, h ORDER BY predicted, confidence) = 1"""
+ORACLE["hourly_split_delivery"] = _with(READINGS_SQL) + f"""
+SELECT city_slug, "timestamp", aqi_raw AS aqi, {sql_round('pm10')}, strftime("timestamp", '%Y') AS year,
+  strftime("timestamp", '%m') AS month, strftime("timestamp", '%d') AS day FROM raw"""
+ORACLE["stream_redelivery"] = _with(READINGS_SQL) + """
+SELECT city_slug, "timestamp", CASE WHEN event_id % 2 = 0 THEN 1 ELSE aqi_raw END AS aqi,
+  CASE WHEN event_id % 2 = 0 THEN 0.0::DOUBLE ELSE no END AS no, files
+FROM raw CROSS JOIN (SELECT CAST(unnest([1, 1000]) AS INTEGER) AS files)"""
 ORACLE["rejected_predictions"] = _with(LINES, """
 texts AS (
   SELECT '{"city_slug":"user-' || user_id || '","as_of":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
@@ -472,7 +484,7 @@ SELECT "timestamp" + INTERVAL 1 HOUR AS forecast_for, city_slug, aqi AS predicte
 FROM ranked WHERE rn = 1 AND n_rows >= 4"""
 ORACLE["stream_predictions"] = _with(LINES) + """
 SELECT *, strftime(forecast_for, '%Y-%m') AS ym, (SELECT count(*) FROM lines WHERE NOT good) AS rejected FROM gold
-QUALIFY row_number() OVER (PARTITION BY city_slug, as_of ORDER BY forecast_for, predicted, confidence) = 1"""
+QUALIFY row_number() OVER (PARTITION BY city_slug, forecast_for, as_of ORDER BY predicted, confidence) = 1"""
 
 # --- joins and reports ----------------------------------------------------------------------------
 

@@ -26,6 +26,7 @@ from stationcast.schemas import AIR_RESPONSE, FEATURES, POLLUTANTS, SILVER, WEAT
 from stationcast.sinks import tables as sinks
 from stationcast.sources import artifacts, chunks, responses, tables as sources
 from stationcast.streaming import ingest, predictions as drain
+from suite.folder import with_folder
 from suite.adapter import events_as_readings, for_compare, readings, silver, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +35,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return for_compare(fn(tune(spark), sf_dir))
+        return for_compare(fn(with_folder(tune(spark)), sf_dir))
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run
@@ -446,6 +447,31 @@ def append_predictions(spark, d):
     return sources.read_predictions(spark, path)
 
 
+@query
+def append_horizons(spark, d):
+    """K5: three hours forecast at each moment, appended twice"""
+    path = workspace(spark, "gold")
+    good = responses.parse_predictions(_prediction_lines(spark, d))[0]
+    hours = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    later = F.col("forecast_for") + F.make_interval(hours=F.col("h"))
+    rows = good.withColumn("h", hours).withColumn("forecast_for", later).drop("h")
+    for _ in range(2):
+        sinks.append_predictions(spark, rows, path)
+    return sources.read_predictions(spark, path)
+
+
+@query
+def hourly_split_delivery(spark, d):
+    """K2: stations of the same hours arrive in two batches, the first batch twice"""
+    path = workspace(spark, "hourly")
+    rows = silver(spark, d).withColumn("dt", F.unix_timestamp("timestamp"))
+    first = F.crc32(F.col("city_slug").cast("binary")) % 2 == 0
+    for part in (first, ~first, first):
+        sinks.write_hourly(spark, rows.where(part), path)
+    back = sources.read_hourly(spark, path)
+    return back.select("city_slug", "timestamp", "aqi", "pm10", "year", "month", "day")
+
+
 # --- joins and reports ----------------------------------------------------------------------------
 
 
@@ -581,6 +607,26 @@ def stream_upsert(spark, d):
     return sources.read_silver(spark, path, clamp=False)
 
 
+def _redelivered(spark, d, files_per_batch):
+    """The events as a file, then those with an even id again with class 1; merged as a stream."""
+    land = workspace(spark, "land")
+    events = table(spark, d, "events")
+    events.coalesce(1).write.mode("append").parquet(land)
+    events.where(F.col("event_id") % 2 == 0).withColumn("props", F.lit('{"k": 0}')).coalesce(1).write.mode("append").parquet(land)
+    path = workspace(spark, "silver")
+    stream = ingest.new_readings(spark, land, events.schema, files_per_batch)
+    ingest.upsert_stream(stream, path, workspace(spark, "checkpoint"), to_reading=events_as_readings).awaitTermination()
+    return sources.read_silver(spark, path, clamp=False).select("city_slug", "timestamp", "aqi", "no")
+
+
+@query
+def stream_redelivery(spark, d):
+    """R2: the newest delivery wins, file by file and in one batch"""
+    return _redelivered(spark, d, 1).withColumn("files", F.lit(1)).unionByName(
+        _redelivered(spark, d, 1000).withColumn("files", F.lit(1000))
+    )
+
+
 @query
 def stream_forecasts(spark, d):
     """Forecasts appended after the micro-batch"""
