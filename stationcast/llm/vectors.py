@@ -6,8 +6,8 @@ bounded sample of ``SAMPLE`` classes (drawn by digest), the trees go to every ta
 in all of them. A node whose rows would mostly take both sides is not split, so a dense group stays whole.
 
 Inside a leaf all pairs are compared by cosine in double precision. Large leaves are cut into blocks and
-the pairs of blocks are tasks of their own, so no task holds more than two blocks. A pair is counted in the first tree where
-it shares a leaf, whatever the number of others. Leaves give counts per vector and a spanning forest of
+the pairs of blocks are tasks of their own, so no task holds more than two blocks. A pair is counted in the
+first leaf it shares, whatever the number of others. Leaves give counts per vector and a spanning forest of
 their links, never the pairs; components by alternating large-star and small-star.
 
 A pair at cosine 0.9 is parted by one tree of depth 8 with a probability of about 0.35 in 64 dimensions, by
@@ -95,9 +95,9 @@ def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[lis
     return ids, copies, unit(values), table.column("leaves").to_pylist()
 
 
-def _padded(leaves: list[list[int]], tree: int) -> np.ndarray:
-    """(rows, slots) leaves in trees before ``tree``; -1 fills up."""
-    early = [[x for x in row if x >> 40 < tree] for row in leaves]
+def _padded(leaves: list[list[int]], leaf: int) -> np.ndarray:
+    """(rows, slots) leaves before ``leaf``, in earlier trees or by spill in the same one; -1 fills up."""
+    early = [[x for x in row if x < leaf] for row in leaves]
     width = max([1, *map(len, early)])
     return np.array([row + [-1] * (width - len(row)) for row in early], np.int64)
 
@@ -107,12 +107,11 @@ def compare_blocks(threshold: float):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         first, second = key[1].as_py(), key[2].as_py()
-        tree = key[0].as_py() >> 40
         ids, copies, m, leaves = _rows(table)
         part = table.column("part").to_numpy()
         left = np.flatnonzero(part == first)
         right = left if first == second else np.flatnonzero(part == second)
-        early = _padded(leaves, tree)
+        early = _padded(leaves, key[0].as_py())
         counts = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
 
@@ -130,7 +129,7 @@ def compare_blocks(threshold: float):
             once = i < j if first == second else np.ones(len(i), bool)
             i, j = i[once], j[once]
             shared = np.zeros(len(i), bool)
-            for s in range(early.shape[1] if tree else 0):
+            for s in range(early.shape[1]):
                 one = early[i, s][:, None]
                 shared |= ((one == early[j]) & (one >= 0)).any(axis=1)
             i, j = i[~shared], j[~shared]
