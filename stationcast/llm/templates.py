@@ -32,13 +32,14 @@ SEGMENTS = 4
 LEAST_TOKENS = 4
 WILD_TOKENS = 8
 VARIABLE = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+HAS_DIGIT = re.compile("[0-9]").search
 
 
 def template_keys(line: str) -> list[int]:
     """64-bit keys of the templates of a line: its own path, then one path per wild run."""
     import xxhash
 
-    tokens = VARIABLE.sub("<*>", line).split()
+    tokens = (VARIABLE.sub("<*>", line) if HAS_DIGIT(line) else line).split()
     if len(tokens) < LEAST_TOKENS:
         return []
     digest = xxhash.xxh3_64_intdigest
