@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stationcast.llm.common import flat_text, offsets_of, slices, texts, worker_state
 
 SHORT = 64
-CACHE = 400_000
+CACHE = 120_000
+PART_BYTES = 3 << 20
 LONGEST_KEPT = 64
 # Characters from here on may belong to another class in the installed regex module than in the tokenizer's.
 NEWER_CHARACTERS = "԰"
@@ -99,7 +100,7 @@ class Codec:
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         described = json.loads(spec)
         to_byte = byte_characters()
@@ -117,7 +118,7 @@ class Codec:
         self.findall = regex.compile(pattern).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.whole = f"[ ][{WHITE_SPACE}]" + "".join("|" + regex.escape(t).replace("<", "\\x3c").replace(">", "\\x3e") for t in self.added)
-        self.pre_tokenize = Tokenizer.from_str(spec).pre_tokenizer.pre_tokenize_str
+        self.pre_tokenize = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.kept: dict[str, bytes] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -198,9 +199,10 @@ def encode_texts(spark: SparkSession, df: DataFrame, tokenizer_path: str, patter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 ids = pa.array(codec.encode_all(flat_text(part)), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
+        pa.default_memory_pool().release_unused()
 
     return texts(df).mapInArrow(run, "doc_id long, ids binary")
 
@@ -212,7 +214,7 @@ def decode_ids(spark: SparkSession, df: DataFrame, tokenizer_path: str, pattern:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
         for batch in batches:
-            for part in slices(batch, "ids"):
+            for part in slices(batch, "ids", PART_BYTES):
                 decoded = [codec.decode(x or b"") for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("ids"), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
