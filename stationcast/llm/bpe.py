@@ -207,6 +207,10 @@ def encode_texts(spark: SparkSession, df: DataFrame, tokenizer_path: str, patter
     return texts(df).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _decoded(codec: Codec, ids: pa.Array) -> pa.Array:
+    return pa.array([codec.decode(x or b"") for x in ids.to_pylist()], pa.string())
+
+
 def decode_ids(spark: SparkSession, df: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
     """doc_id, ids and the decoded text for every row of ``df`` (doc_id, ids)."""
     sent = _sent(spark, tokenizer_path, pattern)
@@ -215,9 +219,22 @@ def decode_ids(spark: SparkSession, df: DataFrame, tokenizer_path: str, pattern:
         codec = _codec(sent)
         for batch in batches:
             for part in slices(batch, "ids", PART_BYTES):
-                decoded = [codec.decode(x or b"") for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("ids"), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
-                )
+                ids = part.column("ids")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _decoded(codec, ids)], ["doc_id", "ids", "decoded"])
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
+
+
+def encode_and_decode(spark: SparkSession, df: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
+    """``decode_ids`` of ``encode_texts`` in one pass, so a task needs one Python worker and one codec."""
+    sent = _sent(spark, tokenizer_path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(sent)
+        for batch in batches:
+            for part in slices(batch, "text", PART_BYTES):
+                ids = pa.array(codec.encode_all(flat_text(part)), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _decoded(codec, ids)], ["doc_id", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
+
+    return texts(df).mapInArrow(run, "doc_id long, ids binary, decoded string")

@@ -95,7 +95,7 @@ def op9_secret_ledger(spark, d):
 def round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Ids and decoded text of every document, with the digests of both."""
     how = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    decoded = bpe.decode_ids(spark, bpe.encode_texts(spark, docs, *how), *how)
+    decoded = bpe.encode_and_decode(spark, docs, *how)
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -45,7 +45,9 @@ def test_bpe_round_trip_equals_the_library(spark):
         ids = lib.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids
         assert r.decoded == lib.decode(ids, skip_special_tokens=False)
-    assert bpe.encode_texts(spark, df.limit(0), *how).count() == 0
+    both = bpe.encode_and_decode(spark, df, *how)
+    assert sorted(tuple(r) for r in both.collect()) == sorted(tuple(r) for r in found)
+    assert bpe.encode_texts(spark, df.limit(0), *how).count() == bpe.encode_and_decode(spark, df.limit(0), *how).count() == 0
 
 
 def test_token_counts_equal_the_library_with_and_without_the_first_tier(spark):
