@@ -31,6 +31,8 @@ LEADING = 3
 SEGMENTS = 4
 LEAST_TOKENS = 4
 WILD_TOKENS = 8
+# Paths held before they are handed on, also within one long text.
+ROWS = 20_000
 VARIABLE = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 HAS_DIGIT = re.compile("[0-9]").search
 
@@ -75,9 +77,9 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     near = (lines[i - 1] if i else "") + "\n" + (lines[i + 1] if i + 1 < len(lines) else "")
                     cell = signed(1 << (xxhash.xxh3_64_intdigest(near) & 63))
                     rows.extend((signed(k), cell, doc, body, i) for k in keys)
-            if len(rows) > 100_000:
-                yield batch_of(rows)
-                rows = []
+                if len(rows) >= ROWS:
+                    yield batch_of(rows)
+                    rows = []
         if rows:
             yield batch_of(rows)
 
