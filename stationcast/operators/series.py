@@ -1,9 +1,10 @@
 """Neighbours inside a series (rows of one key in time order), safe for very long series.
 
 A window partitioned by the key alone puts a whole series into one task. Where one key holds a large
-part of all rows, such a series is cut into calendar pieces that are small enough, each piece gets the
-few rows just before and after it, and the window runs per piece. The result is the same as that of
-the plain window.
+part of all rows, such a series is cut at quantiles of its own times into pieces of about equally many
+rows, whatever their pattern in time. Each piece gets the few rows just before and after it, and the window
+runs per piece. The result is the same as that of the plain window, also for a null time (it comes first)
+and for the rows without a key (a series like any other).
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 MAX_SERIES_ROWS = 5_000_000
 # Rows a side may have to be broadcast.
 MAX_BROADCAST_ROWS = 100_000
-
-_UNITS = ["YEAR", "MONTH", "DAY", "HOUR", "MINUTE"]
-# A second holds at most a million distinct microsecond timestamps.
-_LAST_UNIT = "SECOND"
+# Times drawn per ``max_rows`` rows to find the quantiles.
+_DRAWN = 128
+# Bounds that one look at the heads skips.
+_STRIDE = 256
 
 
 @dataclass(frozen=True)
@@ -41,40 +42,32 @@ def profile(df: DataFrame, key: str) -> Profile:
     return Profile(*row)
 
 
-def long_series(
-    df: DataFrame, key: str, ts: str, stats: Profile, max_rows: int = MAX_SERIES_ROWS
-) -> DataFrame:
-    """One row ``(key, _unit)`` per series with more than ``max_rows`` rows.
+def long_series(df: DataFrame, key: str, ts: str, max_rows: int = MAX_SERIES_ROWS) -> DataFrame:
+    """One row ``(key, _bounds, _heads)`` per series with more than ``max_rows`` rows.
 
-    ``_unit`` is the coarsest calendar unit at which the fullest piece still fits. The limit is raised
-    with the table so that at most ``MAX_BROADCAST_ROWS`` series can exceed it.
+    ``_bounds`` are the times that cut it into pieces of about ``max_rows / 2`` rows, ``_heads`` is every
+    ``_STRIDE``-th of them. They come from rows drawn by a digest of key and time, so computing them again
+    gives the same cuts, and only about ``_DRAWN`` times per ``max_rows`` rows are gathered.
     """
-    limit = max(max_rows, stats.rows // MAX_BROADCAST_ROWS + 1)
-    hot = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key)
-    minutes = (
-        df.select(key, ts)
-        .join(F.broadcast(hot), key, "left_semi")
-        .groupBy(key, F.date_trunc("MINUTE", F.col(ts)).alias("m"))
-        .agg(F.count("*").alias("n"))
-    )
-    levels = F.expr(
-        "array("
-        + ", ".join(f"struct({i} AS level, '{u}' AS unit, date_trunc('{u}', m) AS at)" for i, u in enumerate(_UNITS))
-        + ")"
-    )
-    pieces = (
-        minutes.select(key, "n", F.explode(levels).alias("l"))
-        .groupBy(key, "l.level", "l.unit", "l.at")
-        .agg(F.sum("n").alias("n"))
-        .groupBy(key, "level", "unit")
-        .agg(F.max("n").alias("fullest"))
-    )
-    fits = F.when(F.col("fullest") <= limit, F.struct("level", "unit"))
-    return pieces.groupBy(key).agg(
-        F.coalesce(F.min(fits)["unit"], F.lit(_LAST_UNIT)).alias("_unit")
+    share = max(1, max_rows // _DRAWN)
+    every = max(1, max_rows // (2 * share))
+    drawn = F.when(F.pmod(F.xxhash64(key, ts), F.lit(share)) == 0, F.col(ts))
+    times = df.groupBy(key).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(drawn)).alias("_at"))
+    return (
+        times.where(F.col("_n") > max_rows)
+        .select(key, F.expr(f"filter(_at, (t, i) -> i % {every} = {every - 1})").alias("_bounds"))
+        .withColumn("_heads", F.expr(f"filter(_bounds, (t, i) -> i % {_STRIDE} = 0)"))
     )
 
 
+def _piece(ts: str) -> str:
+    """Number of bounds up to a time: heads first, then the bounds behind the last head passed."""
+    passed = f"size(filter(_heads, t -> t <= `{ts}`))"
+    near = f"slice(_bounds, ({passed} - 1) * {_STRIDE} + 1, {_STRIDE})"
+    found = f"({passed} - 1) * {_STRIDE} + size(filter({near}, t -> t <= `{ts}`))"
+    return f"CASE WHEN _bounds IS NULL THEN NULL WHEN {passed} = 0 THEN 0 ELSE {found} END"
+
+
 def over_series(
     df: DataFrame,
     key: str,
@@ -94,10 +87,13 @@ def over_series(
     if stats.longest <= max_rows:
         return df.selectExpr("*", *_windowed(columns, [key], ts))
 
-    cuts = long_series(df, key, ts, stats, max_rows)
-    # At most MAX_BROADCAST_ROWS rows by construction.
-    rows = df.join(F.broadcast(cuts), key, "left").withColumn("_cut", F.expr(f"date_trunc(_unit, `{ts}`)"))
-    cut_rows = rows.where(F.col("_unit").isNotNull())
+    cuts = long_series(df, key, ts, max_rows).withColumnRenamed(key, "_long")
+    # Long series and their bounds number about two for ``max_rows`` rows; a larger list is left to the optimizer.
+    if stats.rows // max_rows <= MAX_BROADCAST_ROWS:
+        cuts = F.broadcast(cuts)
+    rows = df.join(cuts, F.col(key).eqNullSafe(F.col("_long")), "left").withColumn("_cut", F.expr(_piece(ts)))
+    rows = rows.drop("_long", "_bounds", "_heads")
+    cut_rows = rows.where(F.col("_cut").isNotNull())
     borrowed = [
         _lend(cut_rows, key, ts, back, forward=True),
         _lend(cut_rows, key, ts, ahead, forward=False),
@@ -109,7 +105,7 @@ def over_series(
     return (
         whole.selectExpr("*", *_windowed(columns, [key, "_cut"], ts))
         .where(~F.col("_lent"))
-        .drop("_unit", "_cut", "_lent")
+        .drop("_cut", "_lent")
     )
 
 
@@ -134,7 +130,7 @@ def _lend(rows: DataFrame, key: str, ts: str, n: int, forward: bool) -> DataFram
         .where(F.col("_rn") <= n)
         .drop("_rn")
     )
-    # Only border rows meet here: n per piece.
+    # Only border rows meet here: n per piece of about max_rows / 2 rows.
     along = Window.partitionBy(key).orderBy(ts)
     step = F.lead if forward else F.lag
     near = F.array_distinct(F.array(*[step("_cut", i).over(along) for i in range(1, n + 1)]))

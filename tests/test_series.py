@@ -1,5 +1,6 @@
 """Cut series must give what the plain window gives."""
 
+import bisect
 import datetime as dt
 
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -45,19 +46,43 @@ def test_only_long_series_are_cut_and_pieces_fit(spark):
     df = skewed(spark)
     stats = series.profile(df, "city_slug")
     assert (stats.rows, stats.longest) == (3000, 1000)
-    cuts = series.long_series(df, "city_slug", "timestamp", stats, 100).collect()
+    cuts = series.long_series(df, "city_slug", "timestamp", 100).collect()
     assert [r.city_slug for r in cuts] == ["hot"]
-    fullest = (
-        df.where("city_slug = 'hot'").groupBy(F.date_trunc(cuts[0]._unit, "timestamp")).count().agg(F.max("count")).first()[0]
-    )
-    assert fullest <= 100
+    assert fullest_piece(df.where("city_slug = 'hot'"), cuts[0]._bounds) <= 100
+
+
+def fullest_piece(rows, bounds):
+    at = sorted(r[0] for r in rows.select("timestamp").collect())
+    sizes = [0] * (len(bounds) + 1)
+    for t in at:
+        sizes[bisect.bisect_right(bounds, t)] += 1
+    return max(sizes)
+
+
+def test_pieces_of_a_burst_fit_and_few_rows_are_borders(spark):
+    """20,000 rows a minute apart and 2,000 within a second: many bounds, more than one stride of heads."""
+    ids = spark.range(22_000)
+    at = F.when(F.col("id") < 20_000, F.col("id") * 60_000_000).otherwise(F.col("id") * 400 + F.lit(30_000_000_000))
+    df = ids.select(F.lit("x").alias("city_slug"), F.timestamp_micros(at).alias("timestamp"), "id").cache()
+    for limit in (60, 1000):
+        cuts = series.long_series(df, "city_slug", "timestamp", limit).first()
+        assert fullest_piece(df, cuts._bounds) <= limit
+        assert len(cuts._bounds) <= 3 * 22_000 / limit
+        columns = {"l1": "lag(id, 1)", "n2": "lead(id, 2)"}
+        cut = series.over_series(df, "city_slug", "timestamp", columns, 1, 2, max_rows=limit)
+        whole = series.over_series(df, "city_slug", "timestamp", columns, 1, 2)
+        assert cut.exceptAll(whole).isEmpty() and cut.count() == 22_000
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 400_000)), min_size=1, max_size=40, unique=True))
+@given(
+    st.lists(
+        st.tuples(st.sampled_from(["a", "b", None]), st.none() | st.integers(0, 400_000)), min_size=1, max_size=40, unique=True
+    )
+)
 def test_any_times(spark, rows):
     start = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
-    df = spark.createDataFrame([(k, start + dt.timedelta(minutes=m), m) for k, m in rows], "k string, t timestamp, v int")
+    df = spark.createDataFrame([(k, None if m is None else start + dt.timedelta(minutes=m), m) for k, m in rows], "k string, t timestamp, v int")
     columns = {"l1": "lag(v, 1)", "l3": "lag(v, 3)", "n2": "lead(v, 2)"}
     cut = series.over_series(df, "k", "t", columns, 3, 2, max_rows=2)
     assert rows_of(cut) == rows_of(series.over_series(df, "k", "t", columns, 3, 2))
