@@ -62,6 +62,7 @@ train AS (
 
 TRAIN = _with(READINGS_SQL, LAGGED, _train())
 ORACLE["features_train"] = f'{TRAIN} SELECT city_slug, "timestamp", aqi, aqi_next, aqi_next2, {sql_round(*FEATURES)} FROM train'
+ORACLE["features_train_cut"] = ORACLE["features_train"]
 
 _NEAR = """
 gapped AS (
@@ -204,6 +205,7 @@ preds AS (
 )"""
 _B = [READINGS_SQL, LAGGED, BACKTEST]
 ORACLE["backtest"] = _with(*_B) + "SELECT * FROM preds"
+ORACLE["backtest_cut"] = ORACLE["backtest"]
 ORACLE["history_window"] = (
     _with(READINGS_SQL.replace("raw AS", "every AS", 1),
           'raw AS (SELECT * FROM every WHERE "timestamp" >= (SELECT max("timestamp") FROM every) - INTERVAL 172 HOURS)',

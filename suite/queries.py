@@ -58,6 +58,12 @@ def features_train(spark, d):
     return feature_ops.training_features(readings(spark, d))
 
 
+@query
+def features_train_cut(spark, d):
+    """F1 train, W1-W4 with every series above 20 rows cut into pieces"""
+    return feature_ops.training_features(readings(spark, d), max_rows=20)
+
+
 @query
 def features_serve(spark, d):
     """F1 serve, P13"""
@@ -176,6 +182,12 @@ def backtest(spark, d):
     return scoring.backtest(readings(spark, d))
 
 
+@query
+def backtest_cut(spark, d):
+    """M5, W9 with every series above 20 rows cut into pieces"""
+    return scoring.backtest(readings(spark, d), max_rows=20)
+
+
 @query
 def history_window(spark, d):
     """M6, P2"""
@@ -654,7 +666,7 @@ def stream_predictions(spark, d):
 def _fitted(spark, d, path):
     rows = _stored(spark, _labelled(spark, d))
     medians = quantiles.median_values(rows, FEATURES)
-    model = training.fit(training.impute(training.with_weights(rows), medians), training.random_forest(trees=10, depth=5))
+    model = training.fit(training.impute(training.with_weights(rows), medians))
     artifacts.save_artifacts(spark, model, medians, path)
     return artifacts.load_artifacts(spark, path)
 
