@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stationcast.functions import clamp_class, cyclic, half_even, sample_std, share_of_total
 from stationcast.operators.series import MAX_SERIES_ROWS, Profile, over_series
-from stationcast.schemas import DEFAULT_MEDIANS, FEATURES, RATIO_EPSILON, TARGET
+from stationcast.schemas import DEFAULT_MEDIANS, FEATURES, POLLUTANTS, RATIO_EPSILON, TARGET
 
 # One number per feature.
 Medians = Mapping[str, float]
@@ -124,10 +124,10 @@ def serving_features(
     """Features for scoring every row that has three rows before it; missing inputs are filled.
 
     Next to the features come ``aqi`` as read, ``aqi_next`` and ``ts_next`` of the following row
-    (null for the last one).
+    (null for the last one). NaN counts as missing.
     """
     rows = with_neighbours(
-        df, key, ts, stats, max_rows,
+        without_nan(df), key, ts, stats, max_rows,
         only=["aqi_lag1", "aqi_lag2", "aqi_lag3", "pm10_lag1", "pm25_lag1", "aqi_next", "ts_next", "ts_lag3"],
     ).where("ts_lag3 IS NOT NULL")
     med = {f: f"{median_of(medians, f)!r}D" for f in FEATURES}
@@ -200,6 +200,12 @@ def drift_features(
     )
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """Readings with NaN as null."""
+    fractions = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float") and f.name in (*POLLUTANTS, "aqi")]
+    return df.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in fractions})
+
+
 def readable(df: DataFrame, known_low: bool = False) -> DataFrame:
     """Silver as the operators read it: class cut at 5 (P5)."""
     return df.withColumn("aqi", clamp_class("aqi", 1 if known_low else None))

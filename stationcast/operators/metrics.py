@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stationcast.functions import half_even, settled
 from stationcast.operators.cleaning import as_of_column, look_back
@@ -106,6 +106,13 @@ def daily_accuracy(predictions: DataFrame, ts: str = "timestamp") -> DataFrame:
     )
 
 
+def gated_trend(daily: DataFrame, readings: DataFrame, least_rows: int = 10, least_days: int = 2) -> DataFrame:
+    """Daily values, or none where there are too few readings or days for a trend (P14). ``daily`` has a row per day."""
+    enough = readings.limit(least_rows).agg(F.count("*") >= least_rows).scalar()
+    days = F.count("*").over(Window.partitionBy())
+    return daily.withColumn("_days", days).where(enough & (F.col("_days") >= least_days)).drop("_days")
+
+
 def accuracy_summary(daily: DataFrame, drop_of: float = 0.10) -> DataFrame:
     """Mean of the last seven daily values against the seven before.
 

@@ -43,7 +43,7 @@ def result_tables(
     made = scoring.backtest(readings, forecast, medians, stats=stats) if predictions is None else predictions
     latest = scoring.latest_forecast(readings, forecast, medians)
     names = stations.select("slug", F.col("name").alias("city"), "timezone")
-    trend = metrics.daily_accuracy(made)
+    trend = metrics.gated_trend(metrics.daily_accuracy(made), readings)
     tables = {
         "latest": lookup(latest, names, "city_slug", "slug", {"city": "—", "timezone": UNKNOWN_ZONE}),
         "history": scoring.last_forecasts(made, max(HISTORY_HOURS)),

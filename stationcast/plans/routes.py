@@ -88,7 +88,8 @@ class Routes:
     def accuracy_trend(self, weeks: int = 8) -> dict[str, DataFrame]:
         if not 2 <= weeks <= 12:
             raise ValueError(f"weeks must be within 2..12, not {weeks}")
-        daily = metrics.daily_accuracy(scoring.backtest(self._known(weeks * 168 + 4), self.forecast, self.medians))
+        readings = self._known(weeks * 168 + 4)
+        daily = metrics.gated_trend(metrics.daily_accuracy(scoring.backtest(readings, self.forecast, self.medians)), readings)
         return {"trend": daily.orderBy("day"), "summary": metrics.accuracy_summary(daily)}
 
     def feature_importance(self) -> DataFrame:

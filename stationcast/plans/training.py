@@ -9,6 +9,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stationcast.operators import features, importance, metrics, quantiles, scoring, training
+from stationcast.operators.series import over_series
 from stationcast.schemas import FEATURES
 from stationcast.session import workspace
 from stationcast.sinks.tables import append_snapshot
@@ -49,17 +50,22 @@ def train(
     return training.transition_stats(rows)
 
 
-def time_folds(rows: DataFrame, folds: int = 3, ts: str = "timestamp") -> list[tuple[DataFrame, DataFrame]]:
+def time_folds(
+    rows: DataFrame, folds: int = 3, ts: str = "timestamp", key: str = "city_slug"
+) -> list[tuple[DataFrame, DataFrame]]:
     """Forward-only folds: train on everything before a cut, validate on the stretch after it.
 
-    Cuts are quantiles of time, so the stretches are about equally large.
+    Cuts are quantiles of time, so the stretches are about equally large. The last row of a series before
+    a cut is not trained on: its label is from after the cut.
     """
+    followed = over_series(rows, key, ts, {"_next": f"lead(`{ts}`, 1)"}, 0, 1)
     shares = [i / (folds + 1) for i in range(1, folds + 1)]
     cuts = rows.agg(F.percentile_approx(ts, shares, 1000)).first()[0] + [None]
     pairs = []
     for start, end in zip(cuts[:-1], cuts[1:]):
         later = rows.where(F.col(ts) >= F.lit(start))
-        pairs.append((rows.where(F.col(ts) < F.lit(start)), later if end is None else later.where(F.col(ts) < F.lit(end))))
+        known = followed.where(F.col("_next") < F.lit(start)).drop("_next")
+        pairs.append((known, later if end is None else later.where(F.col(ts) < F.lit(end))))
     return pairs
 
 

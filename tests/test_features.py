@@ -62,6 +62,15 @@ def test_serving_fills_everything(frame):
     assert found.dropna(subset=FEATURES).count() == 1
 
 
+def test_serving_takes_nan_as_missing(frame):
+    columns = ["co", "no2", "pm2_5", "pm10"]
+    found, expected = (
+        features.serving_features(frame([reading("a", h, 2, **dict.fromkeys(columns, v)) for h in range(4)])).first()
+        for v in (float("nan"), None)
+    )
+    assert found == expected
+
+
 def test_serving_missing_class_takes_the_delta_median(frame):
     rows = [reading("a", 0, 4), reading("a", 1, 3), reading("a", 2, None), reading("a", 3, 2)]
     found = features.serving_features(frame(rows)).first()

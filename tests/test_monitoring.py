@@ -117,6 +117,13 @@ def test_drift_does_not_depend_on_partitions(frame):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_trend_needs_ten_readings_and_two_days(frame):
+    for hours, days in ((9, 0), (12, 0), (40, 2)):
+        df = frame([reading("a", h, 2) for h in range(hours)])
+        daily = metrics.daily_accuracy(scoring.backtest(df))
+        assert metrics.gated_trend(daily, df).count() == days, hours
+
+
 def test_window_limits(frame):
     df = frame([reading("a", h, 2) for h in range(100)])
     preds = scoring.backtest(df)

@@ -96,7 +96,12 @@ def test_search(spark, lake):
     found = search(readings, {"deep": training.random_forest(2, 4), "flat": training.random_forest(2, 1)}, folds=2).collect()
     assert {r.learner for r in found} == {"deep", "flat"} and found[0].f1 >= found[1].f1
     for before, after in time_folds(readings, 2):
-        assert before.agg(F.max("timestamp")).first()[0] < after.agg(F.min("timestamp")).first()[0]
+        start = after.agg(F.min("timestamp")).first()[0]
+        assert before.agg(F.max("timestamp")).first()[0] < start
+        # The newest reading before the cut has its label behind it.
+        earlier = readings.where(F.col("timestamp") < start).groupBy("city_slug").count()
+        known = before.groupBy("city_slug").count()
+        assert sorted((r.city_slug, r["count"] + 1) for r in known.collect()) == sorted(map(tuple, earlier.collect()))
 
 
 def test_warm(spark, lake):
