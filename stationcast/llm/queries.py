@@ -15,7 +15,7 @@ from suite.folder import with_folder
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TOKEN_LIMIT = 2048
-ARROW_ROWS = "2000"
+ARROW_ROWS = "1000"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
