@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array.
 
-A short pre-token holds the start of each part and the rank of each neighbouring pair in two plain lists.
-The smallest rank is searched by a scan, the boundary behind it is deleted and the two neighbouring ranks
-are refreshed, until no pair has a rank. Pre-tokens above ``SHORT`` bytes, where scanning would be
-quadratic, give the same parts through a heap of ranks over linked parts.
+A short pre-token holds its parts and the rank of each neighbouring pair in two contiguous arrays. The
+smallest rank is searched by a scan, the boundary behind it is deleted and the two neighbouring ranks are
+refreshed, until no pair has a rank. Pre-tokens up to ``LANE`` bytes do so side by side, one row of a matrix
+each: every step deletes one boundary in every row that is not done. Pre-tokens above ``SHORT`` bytes, where
+scanning would be quadratic, give the same parts through a heap of ranks over linked parts.
 
 Texts are cut at every space that no white space follows: no pre-token reaches across such a place, so the
-distinct pieces of an Arrow batch are encoded once and kept in a bounded cache of the Python worker. Texts
-with longer white space runs or special strings are pre-tokenized as a whole.
+distinct pieces of a part of an Arrow batch are pre-tokenized once, its distinct pre-tokens are merged once
+and kept in a bounded cache of the Python worker. Texts with longer white space runs or special strings are
+pre-tokenized as a whole.
 
 Null text counts as empty and gives no ids. Every input row gives one row, repeated ids included; extra
 columns are not read. Ids are packed as little-endian unsigned 32-bit integers.
@@ -16,6 +18,7 @@ columns are not read. Ids are packed as little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stationcast.llm.common import flat_text, offsets_of, slices, texts, worker_state
 
+LANE = 24
+LANES = 8192
 SHORT = 64
 CACHE = 120_000
 PART_BYTES = 3 << 20
@@ -93,6 +98,58 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+class Pairs:
+    """Rank of a pair of ids, and the id that a rank makes."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        """``merges``: left, right and merged id, by rank."""
+        left, right, self.made = (np.array(x, np.int64) for x in zip(*merges)) if merges else (np.zeros(0, np.int64),) * 3
+        # Of a pair that is listed twice the later rank counts, as in the library.
+        keys, rank = np.unique(((left << 32) | right)[::-1], return_index=True)
+        # One key above all others ends the search.
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        self.rank = np.append(len(left) - 1 - rank, NO_RANK)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks; ``NO_RANK`` for no merge or a right side of -1."""
+        wanted = (left.astype(np.int64) << 32) | right
+        at = np.searchsorted(self.keys[:-1], wanted)
+        return np.where(self.keys[at] == wanted, self.rank[at], NO_RANK)
+
+
+def merge_lanes(ids: np.ndarray, pairs: Pairs) -> list[bytes]:
+    """Packed ids of words side by side; ``ids`` (words, length) has the ids of their bytes, then -1."""
+    out: list[bytes] = [b""] * len(ids)
+    words = np.arange(len(ids))
+    ranks = np.full(ids.shape, NO_RANK)
+    for k in range(ids.shape[1] - 1):
+        ranks[:, k] = pairs.of(ids[:, k], ids[:, k + 1])
+    while len(words):
+        at = ranks.argmin(axis=1)
+        rows = np.arange(len(words))
+        smallest = ranks[rows, at]
+        live = smallest < NO_RANK
+        if not live.all():
+            done = ids[~live]
+            real = done >= 0
+            packed = done[real].astype("<u4").tobytes()
+            ends = 4 * np.cumsum(real.sum(axis=1))
+            for word, a, b in zip(words[~live].tolist(), [0, *ends.tolist()], ends.tolist()):
+                out[word] = packed[a:b]
+            ids, ranks, words, at, smallest = ids[live], ranks[live], words[live], at[live], smallest[live]
+            rows = rows[: len(words)]
+        made = pairs.made[smallest]
+        place = np.arange(ids.shape[1] - 1)
+        ids = np.where(place <= at[:, None], ids[:, :-1], ids[:, 1:])
+        ranks = np.where(place < at[:, None], ranks[:, :-1], ranks[:, 1:])
+        ids[rows, at] = made
+        following = np.where(at + 1 < ids.shape[1], ids[rows, np.minimum(at + 1, ids.shape[1] - 1)], -1)
+        ranks[rows, at] = pairs.of(made, following)
+        inner = np.flatnonzero(at)
+        ranks[inner, at[inner] - 1] = pairs.of(ids[inner, at[inner] - 1], made[inner])
+    return out
+
+
 class Codec:
     """Encoder and decoder made from the text of a byte-level tokenizer file and its pre-token pattern."""
 
@@ -107,8 +164,11 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in described["added_tokens"]}
         vocab = {t: i for t, i in described["model"]["vocab"].items() if t not in self.added}
         self.ids = {bytes(to_byte[c] for c in token): i for token, i in vocab.items()}
-        merged = [a + b for a, b in (m if isinstance(m, list) else m.split(" ") for m in described["model"]["merges"])]
-        self.ranks = {bytes(to_byte[c] for c in token): r for r, token in reversed(list(enumerate(merged)))}
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in described["model"]["merges"]]
+        merged = [bytes(to_byte[c] for c in a + b) for a, b in merges]
+        self.ranks = {token: r for r, token in reversed(list(enumerate(merged)))}
+        self.pairs = Pairs([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         size = max([*self.ids.values(), *self.added.values()]) + 1
         self.bytes = [b""] * size
         for token, i in self.ids.items():
@@ -126,33 +186,37 @@ class Codec:
             return self.findall(text)
         return [text[a:b] for _, (a, b) in self.pre_tokenize(text)]
 
-    def pre_token(self, token: str) -> bytes:
-        """Packed ids of one pre-token."""
-        found = self.kept.get(token)
-        if found is None:
-            word = token.encode()
-            if word in self.ids and (len(word) == 1 or word in self.ranks) and len(word) <= 2:
-                parts = [word]
-            else:
-                parts = (merge_short if len(word) <= SHORT else merge_long)(word, self.ranks)
-            found = np.array([self.ids[p] for p in parts], "<u4").tobytes()
-            if len(token) <= LONGEST_KEPT:
-                if len(self.kept) >= CACHE:
-                    self.kept.clear()
-                self.kept[token] = found
-        return found
-
-    def piece(self, text: str) -> bytes:
-        return b"".join(map(self.pre_token, self.pre_tokens(text)))
+    def merge(self, tokens: list[str]) -> list[bytes]:
+        """Packed ids of every pre-token (not empty)."""
+        words = [t.encode() for t in tokens]
+        sizes = np.array([len(w) for w in words], np.int64)
+        out: list[bytes] = [b""] * len(words)
+        order = np.argsort(sizes, kind="stable")
+        lanes = int((sizes <= LANE).sum())
+        for start in range(0, lanes, LANES):
+            chosen = order[start : min(start + LANES, lanes)]
+            held = np.arange(sizes[chosen].max()) < sizes[chosen][:, None]
+            ids = np.full(held.shape, -1, np.int64)
+            ids[held] = self.byte_ids[np.frombuffer(b"".join([words[i] for i in chosen.tolist()]), "u1")]
+            for i, packed in zip(chosen.tolist(), merge_lanes(ids, self.pairs)):
+                out[i] = packed
+        for i in order[lanes:].tolist():
+            parts = (merge_short if sizes[i] <= SHORT else merge_long)(words[i], self.ranks)
+            out[i] = np.array([self.ids[p] for p in parts], "<u4").tobytes()
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a whole text; special strings become their own ids."""
-        if not self.added:
-            return self.piece(text)
-        parts = self.special.split(text)
-        return b"".join(
-            np.array([self.added[p]], "<u4").tobytes() if i % 2 else self.piece(p) for i, p in enumerate(parts) if p
-        )
+    def packed(self, tokens: set[str]) -> dict[str, bytes]:
+        """Packed ids of pre-tokens by pre-token; new ones are merged and kept for later parts."""
+        found = {t: self.kept[t] for t in tokens if t in self.kept}
+        missing = sorted(tokens - found.keys())
+        new = dict(zip(missing, self.merge(missing)))
+        if len(self.kept) + len(new) > CACHE:
+            # Those met again in this part are the likeliest to come back.
+            self.kept = found.copy()
+        room = max(0, CACHE - len(self.kept))
+        self.kept.update(itertools.islice(((t, v) for t, v in new.items() if len(t) <= LONGEST_KEPT), room))
+        found.update(new)
+        return found
 
     def encode_all(self, text: pa.Array) -> list[bytes]:
         lists = pc.split_pattern(text, " ")
@@ -162,18 +226,37 @@ class Codec:
         first[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         whole = pc.match_substring_regex(text, self.whole).to_numpy(zero_copy_only=False)
         needed = ~first & ~np.repeat(whole, np.diff(offsets))
-        packed: list[bytes] = [b""] * len(pieces.dictionary)
-        used = np.flatnonzero(np.bincount(codes[needed], minlength=len(packed)))
-        for i, piece in zip(used.tolist(), pieces.dictionary.take(pa.array(used)).to_pylist()):
-            packed[i] = self.piece(" " + piece)
-        out, at = [], packed.__getitem__
-        for k in range(len(text)):
-            a, b = int(offsets[k]), int(offsets[k + 1])
-            if whole[k]:
-                out.append(self.encode(text[k].as_py()))
-            else:
-                head = pieces.dictionary[int(codes[a])].as_py() if b > a else ""
-                out.append(self.piece(head) + b"".join(map(at, codes[a + 1 : b].tolist())))
+        used = np.flatnonzero(np.bincount(codes[needed], minlength=len(pieces.dictionary))).tolist()
+        words = pieces.dictionary.to_pylist()
+        # Pre-tokens of each piece, of the first piece of each text, and of texts that are taken whole.
+        inner = {i: self.pre_tokens(" " + words[i]) for i in used}
+        heads = [
+            self.whole_tokens(text[k].as_py()) if whole[k] else self.pre_tokens(words[codes[offsets[k]]])
+            for k in range(len(text))
+        ]
+        known = self.packed({t for tokens in itertools.chain(inner.values(), heads) for t in tokens if isinstance(t, str)})
+
+        def join(tokens: list[str | bytes]) -> bytes:
+            return b"".join([known[t] if isinstance(t, str) else t for t in tokens])
+
+        ready: list[bytes] = [b""] * len(words)
+        for i, tokens in inner.items():
+            ready[i] = known[tokens[0]] if len(tokens) == 1 else join(tokens)
+        return [
+            join(head) if whole[k] else join(head) + b"".join(map(ready.__getitem__, codes[offsets[k] + 1 : offsets[k + 1]].tolist()))
+            for k, head in enumerate(heads)
+        ]
+
+    def whole_tokens(self, text: str) -> list[str | bytes]:
+        """Pre-tokens of a whole text; a special string is there as its packed id."""
+        if not self.added:
+            return self.pre_tokens(text)
+        out: list[str | bytes] = []
+        for i, part in enumerate(self.special.split(text)):
+            if i % 2:
+                out.append(np.array([self.added[part]], "<u4").tobytes())
+            elif part:
+                out += self.pre_tokens(part)
         return out
 
     def decode(self, packed: bytes) -> str:
