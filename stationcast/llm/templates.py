@@ -7,10 +7,10 @@ place, so lines that differ within one run share a template. A path is thus a te
 one 64-bit key: templates are counted by plain aggregation, whatever the order of lines, and no branch of
 the tree is ever gathered in one task.
 
-A template recurs across documents when it is seen in ``contexts`` or more cells out of 64, a cell being a
-digest of the lines before and after it, so a document copied whole does not make its own lines recur:
-copies are for the near-duplicate operator. (Distinct contexts that fall into one cell count once.) Lines
-of a recurring template go from every document but the one with the smallest id, so one instance stays.
+A template recurs across documents when it is seen in ``documents`` or more distinct whole texts, counted
+exactly and whatever lines stand around it. A document copied whole is one text, so it does not make its own
+lines recur: copies are for the near-duplicate operator. Lines of a recurring template go from every document
+but the one with the smallest id, so one instance stays.
 
 Lines are cut at line feeds. Lines under ``least_tokens`` tokens have no template and stay. Null and empty
 texts stay as they are. Rows with a repeated id lose lines each for itself; a null id is never the smallest.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-CONTEXTS = 4
+DOCUMENTS = 4
 LEADING = 3
 SEGMENTS = 4
 LEAST_TOKENS = 4
@@ -60,7 +60,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        names, kinds = ["template", "cell", "doc_id", "body", "line"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        names, kinds = ["template", "doc_id", "body", "line"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -73,10 +73,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = signed(xxhash.xxh3_64_intdigest(text))
             for i, line in enumerate(lines):
                 keys = template_keys(line)
-                if keys:
-                    near = (lines[i - 1] if i else "") + "\n" + (lines[i + 1] if i + 1 < len(lines) else "")
-                    cell = signed(1 << (xxhash.xxh3_64_intdigest(near) & 63))
-                    rows.extend((signed(k), cell, doc, body, i) for k in keys)
+                rows.extend((signed(k), doc, body, i) for k in keys)
                 if len(rows) >= ROWS:
                     yield batch_of(rows)
                     rows = []
@@ -113,13 +110,15 @@ def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("body", pa.array(np.array(digests, np.uint64).view(np.int64)))
 
 
-def drop_lines(df: DataFrame, columns: list[str] | None = None, contexts: int = CONTEXTS) -> DataFrame:
+def drop_lines(df: DataFrame, columns: list[str] | None = None, documents: int = DOCUMENTS) -> DataFrame:
     """``columns`` (doc_id and text among them) with recurring lines cut from text, then n_lines and n_dropped."""
     names = columns or ["doc_id", "text"]
     docs = df.select(*[F.col(c).cast({"doc_id": "long", "text": "string"}[c]).alias(c) if c in ("doc_id", "text") else F.col(c) for c in names])
-    paths = docs.select("doc_id", "text").mapInArrow(_paths, "template long, cell long, doc_id long, body long, line int")
-    seen = paths.groupBy("template").agg(F.bit_or("cell").alias("cells"), F.min("doc_id").alias("first"))
-    recurring = seen.where(F.bit_count("cells") >= contexts).select("template", "first")
+    paths = docs.select("doc_id", "text").mapInArrow(_paths, "template long, doc_id long, body long, line int")
+    # Partial sums before both exchanges: a pair is one row whatever its copies, a hot template's pairs are spread.
+    pairs = paths.groupBy("template", "body").agg(F.min("doc_id").alias("first"))
+    seen = pairs.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+    recurring = seen.where(F.col("texts") >= documents).select("template", "first")
     gone = (
         paths.select("template", "doc_id", "body", "line")
         .join(recurring, "template")

@@ -134,6 +134,18 @@ def test_recurring_templates_go_and_the_first_instance_stays(spark):
     assert templates.drop_lines(df.limit(0)).count() == 0
 
 
+def test_blocks_and_paragraphs_between_blank_lines_recur(spark):
+    block = [f"{w} line of the common licence text" for w in ("first", "second", "third", "fourth", "fifth")]
+    own = ["amber birch cedar", "delta ember fjord", "grove heron islet", "joker knoll larch", "maple north ocean"]
+    texts = ["\n".join([f"{o} opens this document", *block, f"{o} ends this document"]) for o in own]
+    texts += [f"{o} stands alone here\n\nparagraph between two blank lines\n\n{o} closes it all" for o in own]
+    texts += ["a text of one line only", *(f"a text of one line only\n{o} follows the line" for o in own)]
+    found = {r.doc_id: r for r in templates.drop_lines(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    assert [found[i].n_dropped for i in range(16)] == [0, 5, 5, 5, 5, 0, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1]
+    assert found[1].text == "delta ember fjord opens this document\ndelta ember fjord ends this document"
+    assert found[0].text == texts[0] and "between two blank" in found[5].text and "between two blank" not in found[6].text
+
+
 def test_template_keys_share_a_wild_run():
     a = templates.template_keys("alpha beta gamma one two three four five six seven eight nine")
     b = templates.template_keys("alpha beta gamma one two other words five six seven eight nine")
