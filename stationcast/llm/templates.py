@@ -7,10 +7,11 @@ place, so lines that differ within one run share a template. A path is thus a te
 one 64-bit key: templates are counted by plain aggregation, whatever the order of lines, and no branch of
 the tree is ever gathered in one task.
 
-A template recurs across documents when it is seen in ``documents`` or more distinct whole texts, counted
-exactly and whatever lines stand around it. A document copied whole is one text, so it does not make its own
-lines recur: copies are for the near-duplicate operator. Lines of a recurring template go from every document
-but the one with the smallest id, so one instance stays.
+A template recurs across documents when it is seen in two or more distinct whole texts, whatever lines stand
+around it: the smallest and the largest digest of its texts differ, which is exact but for equal 64-bit
+digests. A document copied whole is one text, so it does not make its own lines recur: copies are for the
+near-duplicate operator. Lines of a recurring template go from every document but the one with the smallest
+id, so one instance stays.
 
 Lines are cut at line feeds. Lines under ``least_tokens`` tokens have no template and stay. Null and empty
 texts stay as they are. Rows with a repeated id lose lines each for itself; a null id is never the smallest.
@@ -26,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-DOCUMENTS = 4
 LEADING = 3
 SEGMENTS = 4
 LEAST_TOKENS = 4
@@ -110,15 +110,13 @@ def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("body", pa.array(np.array(digests, np.uint64).view(np.int64)))
 
 
-def drop_lines(df: DataFrame, columns: list[str] | None = None, documents: int = DOCUMENTS) -> DataFrame:
+def drop_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (doc_id and text among them) with recurring lines cut from text, then n_lines and n_dropped."""
     names = columns or ["doc_id", "text"]
     docs = df.select(*[F.col(c).cast({"doc_id": "long", "text": "string"}[c]).alias(c) if c in ("doc_id", "text") else F.col(c) for c in names])
     paths = docs.select("doc_id", "text").mapInArrow(_paths, "template long, doc_id long, body long, line int")
-    # Partial sums before both exchanges: a pair is one row whatever its copies, a hot template's pairs are spread.
-    pairs = paths.groupBy("template", "body").agg(F.min("doc_id").alias("first"))
-    seen = pairs.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    recurring = seen.where(F.col("texts") >= documents).select("template", "first")
+    seen = paths.groupBy("template").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min("doc_id").alias("first"))
+    recurring = seen.where("low < high").select("template", "first")
     gone = (
         paths.select("template", "doc_id", "body", "line")
         .join(recurring, "template")

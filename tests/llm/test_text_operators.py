@@ -146,6 +146,15 @@ def test_blocks_and_paragraphs_between_blank_lines_recur(spark):
     assert found[0].text == texts[0] and "between two blank" in found[5].text and "between two blank" not in found[6].text
 
 
+def test_a_passage_of_two_documents_goes_from_the_second(spark):
+    rng = random.Random(6)
+    passages = [words(rng, ["an", "the", "ou", "re"], 60) for _ in range(40)]
+    texts = [f"{words(rng, ['ba', 'go', 'ni'], 9)}\n{p}" for _ in range(2) for p in passages]
+    found = {r.doc_id: r for r in templates.drop_lines(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    for i, p in enumerate(passages):
+        assert found[i].text == texts[i] and found[40 + i].n_dropped == 1 and p not in found[40 + i].text
+
+
 def test_template_keys_share_a_wild_run():
     a = templates.template_keys("alpha beta gamma one two three four five six seven eight nine")
     b = templates.template_keys("alpha beta gamma one two other words five six seven eight nine")
