@@ -5,7 +5,8 @@ A line's path through the tree is: its number of tokens, its leading tokens, the
 everywhere. A line of ``WILD_TOKENS`` or more also takes, at every run in turn, the ``<*>`` branch in its
 place, so lines that differ within one run share a template. A path is thus a template, and a template is
 one 64-bit key: templates are counted by plain aggregation, whatever the order of lines, and no branch of
-the tree is ever gathered in one task.
+the tree is ever gathered in one task. Only templates with more constant tokens than variable ones, and
+``CONSTANT`` at least, stand for their lines: rows of numbers, prices or log fields are compared literally.
 
 A template recurs across documents when it is seen in two or more distinct whole texts, whatever lines stand
 around it: the smallest and the largest digest of its texts differ, which is exact but for equal 64-bit
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 LEADING = 3
 SEGMENTS = 4
 LEAST_TOKENS = 4
+CONSTANT = 3
 WILD_TOKENS = 8
 # Paths held before they are handed on, also within one long text.
 ROWS = 20_000
@@ -44,14 +46,21 @@ def template_keys(line: str) -> list[int]:
     tokens = (VARIABLE.sub("<*>", line) if HAS_DIGIT(line) else line).split()
     if len(tokens) < LEAST_TOKENS:
         return []
+    variable = tokens.count("<*>")
+    literal = variable > 0 and len(tokens) - variable < max(CONSTANT, variable + 1)
+    if literal:
+        tokens = line.split()
     digest = xxhash.xxh3_64_intdigest
     head, rest = f"{len(tokens)} " + " ".join(tokens[:LEADING]), tokens[LEADING:]
     step = -(-len(rest) // SEGMENTS)
     runs = [digest(" ".join(rest[i * step : (i + 1) * step])) for i in range(SEGMENTS)]
     keys = [digest(f"{head} {runs}")]
-    if len(tokens) >= WILD_TOKENS:
+    if len(tokens) >= WILD_TOKENS and not literal:
         for i in range(SEGMENTS):
-            if rest[i * step : (i + 1) * step]:
+            run = rest[i * step : (i + 1) * step]
+            # Variable fields outside the wild run, and the run itself as one more.
+            fields = variable - run.count("<*>") + 1
+            if run and len(tokens) - len(run) - fields + 1 >= max(CONSTANT, fields + 1):
                 keys.append(digest(f"{head} {[*runs[:i], '<*>', *runs[i + 1 :]]}"))
     return keys
 
