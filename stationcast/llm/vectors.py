@@ -1,9 +1,13 @@
 """Near-duplicate vectors by a forest of random-projection trees with spill overlap.
 
 Equal vectors are one class first. A tree splits at the median of a random projection, level by level, until
-leaves have about ``LEAF`` rows; rows within ``SPILL`` of a split take both sides. Medians are fitted on a
-bounded sample of ``SAMPLE`` classes (drawn by digest), the trees go to every task, and every row is placed
-in all of them. A node whose rows would mostly take both sides is not split, so a dense group stays whole.
+leaves have about ``LEAF`` rows; rows near a split take both sides. Cuts are fitted on a bounded sample of
+``SAMPLE`` classes (drawn by digest), the trees go to every task, and every row is placed in all of them.
+
+How near is a node's own measure: at least ``SPILL``, and so wide that of up to ``PROBE_LINKS`` links between
+``PROBES`` sampled rows of the node at most a share of ``MOST_PARTED / depth`` is parted. The cut leaves the
+median, within the middle 40 % of the rows, where that spares much overlap. A node where most rows, or most
+ends of links, would still take both sides is not split, so a dense group stays whole.
 
 Inside a leaf all pairs are compared by cosine in double precision. Large leaves are cut into blocks and
 the pairs of blocks are tasks of their own, so no task holds more than two blocks. A pair is counted in the
@@ -11,9 +15,10 @@ first leaf it shares, whatever the number of others. Leaves give counts per vect
 their links, never the pairs; components by alternating large-star and small-star.
 
 A pair at cosine 0.9 is parted by one tree of depth 8 with a probability of about 0.35 in 64 dimensions, by
-all ``TREES`` with about 2e-4. Vectors that are null, zero, or hold a null or non-finite component link with
-nothing, as do vectors of different lengths. Rows that repeat an id and a vector are one; an id with several
-vectors takes part with the smallest. Rows with a null id are left out. Extra columns are not read.
+all ``TREES`` with about 2e-4; the spill of a node keeps the links of a hot group near that at any depth.
+Vectors that are null, zero, or hold a null or non-finite component link with nothing, as do vectors of
+different lengths. Rows that repeat an id and a vector are one; an id with several vectors takes part with
+the smallest. Rows with a null id are left out. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ SPILL = 0.02
 SAMPLE = 65_536
 SAMPLE_LEAF = 16
 MOST_SPILLED = 0.6
+MOST_PARTED = 0.35
+PROBES = 256
+PROBE_LINKS = 1000
+QUANTILES = (0.5, 0.4, 0.6, 0.3, 0.7)
 BLOCK = 1024
 
 
@@ -42,8 +51,27 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def grow_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 3) -> list[dict]:
-    """Trees of directions (one per level) and medians per node; nodes are numbered 1, 2 * n, 2 * n + 1."""
+def _cut(h: np.ndarray, links: np.ndarray, parted: float, spill: float) -> tuple[float, float] | None:
+    """Cut and spill of a node with heights ``h`` and sampled links (rows of two positions); None leaves it whole."""
+    best, ends = None, h[links]
+    quantiles = QUANTILES if len(links) else QUANTILES[:1]
+    for q, cut in zip(quantiles, np.quantile(h, quantiles).tolist()):
+        own = spill
+        if len(links):
+            # A link is parted where the nearer of its ends is further from the cut than the spill, on the other side.
+            margin = np.minimum(cut - ends.min(axis=1), ends.max(axis=1) - cut)
+            own = max(spill, float(np.quantile(margin, 1 - parted, method="higher")))
+        both = np.abs(h - cut) <= own
+        share = max(both.mean(), (np.abs(ends - cut) <= own).mean() if len(links) else 0.0)
+        if share <= MOST_SPILLED and (best is None or share + abs(q - 0.5) < best[0]):
+            best = share + abs(q - 0.5), cut, own
+    return best and best[1:]
+
+
+def grow_forest(
+    sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 3, threshold: float = 0.9
+) -> list[dict]:
+    """Trees of directions (one per level) and a cut and a spill per node; nodes are numbered 1, 2 * n, 2 * n + 1."""
     depth = max(0, min(math.ceil(math.log2(max(1, rows) / leaf)), int(math.log2(max(1, len(sample) / SAMPLE_LEAF)))))
     rng = np.random.default_rng(seed)
     forest = []
@@ -52,19 +80,26 @@ def grow_forest(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = L
         directions /= np.linalg.norm(directions, axis=1, keepdims=True)
         heights = sample @ directions.T
         cuts, nodes = np.full(1 << depth, np.nan), {1: np.arange(len(sample))}
+        spills = np.full(1 << depth, spill)
         for level in range(depth):
             below = {}
             for node, at in nodes.items():
                 h = heights[at, level]
                 if len(h) < 2:
                     continue
-                cut = float(np.median(h))
-                if (np.abs(h - cut) <= spill).mean() > MOST_SPILLED:
+                probes = np.arange(len(at)) if len(at) <= PROBES else rng.choice(len(at), PROBES, replace=False)
+                near = sample[at[probes]]
+                i, j = np.nonzero(np.triu(near @ near.T >= threshold, 1))
+                if len(i) > PROBE_LINKS:
+                    drawn = rng.choice(len(i), PROBE_LINKS)
+                    i, j = i[drawn], j[drawn]
+                found = _cut(h, np.stack([probes[i], probes[j]], axis=1), MOST_PARTED / depth, spill)
+                if found is None:
                     continue
-                cuts[node] = cut
-                below[2 * node], below[2 * node + 1] = at[h <= cut + spill], at[h >= cut - spill]
+                cut, own = cuts[node], spills[node] = found
+                below[2 * node], below[2 * node + 1] = at[h <= cut + own], at[h >= cut - own]
             nodes = below
-        forest.append({"directions": directions, "cuts": cuts, "spill": spill})
+        forest.append({"directions": directions, "cuts": cuts, "spills": spills})
     return forest
 
 
@@ -83,7 +118,8 @@ def leaves_of(forest: list[dict], m: np.ndarray) -> list[list[int]]:
                 break
             rows, nodes, cut = rows[~done], nodes[~done], cut[~done]
             h = heights[rows, level]
-            left, right = h <= cut + tree["spill"], h >= cut - tree["spill"]
+            spill = tree["spills"][nodes]
+            left, right = h <= cut + spill, h >= cut - spill
             rows, nodes = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
     return found
 
@@ -172,7 +208,7 @@ def link_vectors(
         values = sample.column("v").combine_chunks()
         values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
         matrix = unit(values.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dims) + 1e-300)
-        sent = spark.sparkContext.broadcast(grow_forest(matrix, n, trees, leaf, spill))
+        sent = spark.sparkContext.broadcast(grow_forest(matrix, n, trees, leaf, spill, threshold=threshold))
 
         def place(batches, sent=sent, dims=dims):
             for batch in batches:

@@ -105,6 +105,22 @@ def test_vector_links_equal_brute_force(spark):
     assert vectors.link_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_links_of_a_hot_group_survive_deep_trees():
+    rng = np.random.default_rng(9)
+    m, k = rng.normal(size=(9000, 64)), 3000
+    centre = rng.normal(size=64)
+    m[:k] = centre / np.linalg.norm(centre) + rng.normal(size=(k, 64)) / 24
+    m = vectors.unit(m)
+    # As deep as for a million rows or as the sample allows.
+    forest = vectors.grow_forest(m, 1_000_000)
+    assert len(forest[0]["directions"]) == 9
+    leaves = [set(x) for x in vectors.leaves_of(forest, m[:400])]
+    i, j = np.nonzero(np.triu(m[:400] @ m[:400].T >= 0.9, 1))
+    assert len(i) > 1000
+    missed = sum(not leaves[a] & leaves[b] for a, b in zip(i.tolist(), j.tolist()))
+    assert missed <= 0.002 * len(i)
+
+
 def test_top_k_equals_brute_force_with_ties(spark):
     rng = np.random.default_rng(8)
     m = rng.integers(-2, 3, (300, 6)) / 4.0
