@@ -28,10 +28,19 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays."""
-    groups = minhash.near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    kept = docs.join(groups, docs.doc_id.eqNullSafe(groups.id), "left_semi")
-    return kept.select(*DOCUMENT_COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays.
+
+    Texts are compared, not ids: of a repeated id every text that resembles no other stays, and where texts of
+    the smallest id are near-duplicates, the one with the smallest digest. Rows with the same id and text are
+    one. Rows with a null id all stay.
+    """
+    # A node is an id with a text.
+    nodes = docs.where("doc_id is not null").withColumn("node", F.xxhash64("doc_id", "text"))
+    found = minhash.near_duplicates(spark, nodes.select(F.col("node").alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("node"), "component_id").distinct()
+    first = groups.join(nodes.select("node", "doc_id").distinct(), "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("m"))
+    kept = nodes.join(first.select("m.node"), "node", "left_semi").dropDuplicates(["node"])
+    return kept.select(*DOCUMENT_COLUMNS).unionByName(docs.where("doc_id is null").select(*DOCUMENT_COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,14 @@ def test_stages_keep_their_contract(spark):
     assert taken == {k: v for k, v in copies.items() if v}
     assert len(seen["bpe_round_trip"][1]) == len(seen["source_mix"][1])
     assert langid.UNKNOWN == "und"
+
+
+def test_near_duplicates_keep_null_ids_and_texts_of_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    data = [(None, a), (None, a), (None, b), (3, a), (5, a), (5, b), (5, b + " more"), (5, c), (5, c), (7, c), (8, d), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    bs = [t for i, t in found if i == 5 and t.startswith("b0 ")]
+    assert len(bs) == 1 and bs[0] in (b, b + " more")
+    want = [(None, a), (None, a), (None, b), (3, a), (5, bs[0]), (5, c), (8, d), (9, None), (9, "")]
+    assert sorted(map(str, found)) == sorted(map(str, want))
