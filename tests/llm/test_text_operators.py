@@ -121,6 +121,18 @@ def test_toxicity_blocks_do_not_change_the_result(monkeypatch):
     assert np.allclose(toxicity.logits(model, texts)[0], whole, atol=1e-5)
 
 
+def test_rare_toxic_labels_keep_their_share_above_the_sample_size(spark, monkeypatch):
+    data = [(i, f"text {i}", "en", "s", 9) for i in range(5000)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(5000)], "doc_id long, toxic int")
+    found, weight = toxicity.labelled_texts(spark.createDataFrame(data, DOCS), labels, F.lit(True), per_class=40)
+    assert len(found) == 80 and weight == pytest.approx(99)
+    # The same weight reaches every threshold, whatever the gradient takes.
+    seen, exact = [], toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "best_threshold", lambda z, y, w: seen.append(w) or exact(z, y, w))
+    toxicity.train(found, weight, epochs=1)
+    assert seen and all(w == weight for w in seen)
+
+
 def test_recurring_templates_go_and_the_first_instance_stays(spark):
     notice = "This page was last changed on {} by the site team of the archive"
     texts = [f"own line number one of text {chr(97 + i)}\n{notice.format(i)}\nown end of text {chr(105 + i)} here" for i in range(6)]
