@@ -184,12 +184,17 @@ def document_probabilities(model: dict, bodies: list[bytes]) -> np.ndarray:
 def labelled_segments(
     docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, segments: int = SEGMENTS
 ) -> list[tuple[bytes, str]]:
-    """A bounded sample of segments: ids are drawn first (by digest), only their texts are read again."""
+    """A bounded sample of segments: ids are drawn first (by digest), only their texts are read again.
+
+    A drawn id gives the text with the smallest digest of each language, so the driver gets at most
+    ``per_language * segments * SEGMENT`` bytes a language.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     usable = rows.where(learn_from & F.col("lang").isNotNull() & (F.length("text") > 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    drawn = usable.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    chosen = usable.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    drawn = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
+    drawn = drawn.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("doc_id", "lang", "m.text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

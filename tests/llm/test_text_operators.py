@@ -133,6 +133,15 @@ def test_rare_toxic_labels_keep_their_share_above_the_sample_size(spark, monkeyp
     assert seen and all(w == weight for w in seen)
 
 
+def test_samples_take_one_row_per_repeated_id(spark):
+    data = [(1 if i < 90 else i, f"text {i}", "en", "s", 9) for i in range(100)]
+    df = spark.createDataFrame(data, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in {d[0] for d in data}], "doc_id long, toxic int")
+    found, weight = toxicity.labelled_texts(df, labels, F.lit(True))
+    assert len(found) == 11 and weight == pytest.approx(1)
+    assert len(langid.labelled_segments(df, F.lit(True))) == 11
+
+
 def test_recurring_templates_go_and_the_first_instance_stays(spark):
     notice = "This page was last changed on {} by the site team of the archive"
     texts = [f"own line number one of text {chr(97 + i)}\n{notice.format(i)}\nown end of text {chr(105 + i)} here" for i in range(6)]
