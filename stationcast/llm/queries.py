@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stationcast.llm import bpe, langid, minhash, mixing, secrets, templates, token_counts, topk, toxicity, vectors
+from stationcast.llm import alignment, bpe, langid, minhash, mixing, pages, secrets, templates, token_counts, topk, toxicity, vectors, whitening
 from stationcast.llm.common import share
 from stationcast.session import workspace
 from suite.folder import with_folder
@@ -104,3 +104,19 @@ def round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query
 def op10_bpe_round_trip(spark, d):
     return round_trip(spark, table(spark, d, "documents"))
+
+
+@query
+def op11_whitening(spark, d):
+    return whitening.whiten(whitening.integers(table(spark, d, "embeddings")))
+
+
+@query
+def op12_token_alignment(spark, d):
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(spark, table(spark, d, "documents"), *paths)
+
+
+@query
+def op13_page_text(spark, d):
+    return pages.extract(spark, table(spark, d, "pages"))
