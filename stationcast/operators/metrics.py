@@ -51,14 +51,24 @@ def per_class_scores(predictions: DataFrame, by: list[str] | None = None) -> Dat
     Without at least ten labelled rows there is no output.
     """
     by = by or []
-    rows = _scores(_tally(predictions, by), by).select(*by, F.inline("scores"))
+    return class_scores(_tally(predictions, by), by)
+
+
+def class_scores(tally: DataFrame, by: list[str]) -> DataFrame:
+    """Scores of each class from its counts."""
+    rows = _scores(tally, by).select(*by, F.inline("scores"))
     return rows.withColumns({c: half_even(c, 4) for c in ("precision", "recall", "f1")})
 
 
 def overall_scores(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Support-weighted and macro averages over the five classes."""
     by = by or []
-    rows = _scores(_tally(predictions, by), by)
+    return average_scores(_tally(predictions, by), by)
+
+
+def average_scores(tally: DataFrame, by: list[str]) -> DataFrame:
+    """Averages over the classes from their counts."""
+    rows = _scores(tally, by)
 
     def weighted(name: str) -> Column:
         total = f"aggregate(scores, 0D, (acc, s) -> acc + s.{name} * s.support)"

@@ -46,7 +46,7 @@ def forecaster(model: PipelineModel) -> Forecaster:
         if "probability" not in scored.columns:
             return _score_votes(scored)
         p = scored.withColumn("_p", vector_to_array("probability"))
-        return _from_shares(p).drop("inputs", "rawPrediction", "probability", "prediction", "_p")
+        return from_shares(p).drop("inputs", "rawPrediction", "probability", "prediction", "_p")
 
     return score
 
@@ -57,10 +57,11 @@ def _score_votes(scored: DataFrame) -> DataFrame:
     exp = F.transform(margins, lambda m: F.exp(m - F.array_max(margins)))
     total = F.aggregate(exp, F.lit(0.0), lambda a, b: a + b)
     p = scored.withColumn("_p", F.transform(exp, lambda e: e / total))
-    return _from_shares(p).drop("inputs", "rawPrediction", "prediction", "_p")
+    return from_shares(p).drop("inputs", "rawPrediction", "prediction", "_p")
 
 
-def _from_shares(rows: DataFrame) -> DataFrame:
+def from_shares(rows: DataFrame) -> DataFrame:
+    """Class, confidence and probabilities from the array of shares ``_p``."""
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     rounded = F.transform("_p", lambda p: half_even(p, 4))
     names = F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: i.cast("string"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from stationcast.schemas import CLASSES, DEFAULT_MEDIANS, DRIFT_FEATURES, FEATURES, POLLUTANTS
+from stationcast.schemas import CLASSES, DEFAULT_MEDIANS, DRIFT_FEATURES, FEATURES, POLLUTANTS, UNKNOWN_COLOR, UNKNOWN_LABEL
 from suite.adapter import READINGS_SQL, sql_round
+from suite.forest import values_sql
 
 ORACLE: dict[str, str] = {}
 
@@ -545,3 +546,62 @@ SELECT city_slug, CAST(predicted AS INTEGER) AS predicted, count(*) AS n FROM fo
 ORACLE["coverage"] = _with(READINGS_SQL) + """
 SELECT count(*) FILTER (n >= 4) AS cached, count(*) FILTER (n < 4) AS skipped, CAST(sum(n) AS BIGINT) AS rows_fetched
 FROM (SELECT city_slug, count(*) AS n FROM raw GROUP BY 1)"""
+
+
+# --- a forest as a relation -----------------------------------------------------------------------
+
+_WALK = [
+    READINGS_SQL, LAGGED, SERVE, values_sql(),
+    f"""
+given AS (SELECT city_slug, "timestamp", aqi, aqi_next, ts_next, [{', '.join(f'CAST({f} AS DOUBLE)' for f in FEATURES)}] AS x FROM serve)""",
+    """
+walk(city_slug, "timestamp", tree, node) AS (
+  SELECT g.city_slug, g."timestamp", t.tree, 0 FROM given g, (SELECT DISTINCT tree FROM nodes) t
+  UNION ALL
+  SELECT w.city_slug, w."timestamp", w.tree, CASE WHEN g.x[n.feature] <= n.threshold THEN n.l ELSE n.r END
+  FROM walk w JOIN nodes n ON n.tree = w.tree AND n.node = w.node AND n.l >= 0
+  JOIN given g ON g.city_slug = w.city_slug AND g."timestamp" = w."timestamp"
+)""",
+    """
+voted AS (
+  SELECT city_slug, "timestamp", avg(shares[1]) AS p1, avg(shares[2]) AS p2, avg(shares[3]) AS p3, avg(shares[4]) AS p4,
+         avg(shares[5]) AS p5
+  FROM walk JOIN nodes USING (tree, node) WHERE l < 0 GROUP BY ALL
+)""",
+    """
+chosen AS (
+  SELECT *, CAST(list_position([p1, p2, p3, p4, p5], greatest(p1, p2, p3, p4, p5)) AS INTEGER) AS predicted
+  FROM voted JOIN given USING (city_slug, "timestamp")
+)""",
+]
+_FOREST = _with(*_WALK).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["forest_shares"] = _FOREST + f"""
+SELECT city_slug, "timestamp", {', '.join(f'round(p{c}, 6) + 0.0 AS {n}_{c}' for n in ('at_once', 'by_tree') for c in range(1, 6))}
+FROM voted"""
+ORACLE["forest_forecasts"] = _FOREST + """
+SELECT city_slug, ts_next AS "timestamp", predicted, CAST(greatest(aqi_next, 1) AS INTEGER) AS actual,
+  CAST(greatest(aqi, 1) AS INTEGER) AS current_aqi
+FROM chosen WHERE ts_next IS NOT NULL"""
+ORACLE["forest_latest"] = _FOREST + f"""
+SELECT city_slug, "timestamp" AS as_of, "timestamp" + INTERVAL 1 HOUR AS forecast_for, predicted,
+  {_text('predicted', 1, UNKNOWN_LABEL)} AS predicted_label, {_text('predicted', 2, UNKNOWN_COLOR)} AS predicted_color,
+  round_even(greatest(p1, p2, p3, p4, p5), 4) AS confidence,
+  {', '.join(f'round_even(p{c}, 4) AS p{c}' for c in range(1, 6))}
+FROM chosen WHERE ts_next IS NULL"""
+ORACLE["forest_importance"] = _FOREST + f""",
+splits AS (
+  SELECT feature, count(*) AS weight, avg(gain) AS gain, avg(n) AS cover
+  FROM nodes JOIN (SELECT tree, node, count(*) AS n FROM walk GROUP BY ALL) USING (tree, node) WHERE l >= 0 GROUP BY feature
+)
+SELECT [{', '.join(f"'{f}'" for f in FEATURES)}][feature] AS feature, {', '.join(
+    f'round_even({k}::DOUBLE / sum({k}) OVER (), 4) AS {k}' for k in ('weight', 'gain', 'cover'))}
+FROM splits"""
+
+
+# --- scores by signed changes ---------------------------------------------------------------------
+
+ORACLE["increment_cells"] = _with(*_B) + """
+SELECT city_slug, CAST("timestamp" AS DATE) AS day, actual, predicted, count(*) AS n
+FROM preds WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY ALL"""
+ORACLE["increment_scores"] = _with(*_B, CLASS_TABLE, _scores("city_slug")) + """
+SELECT city_slug, "class", support, round_even(precision, 4) + 0.0 AS precision, round_even(recall, 4) + 0.0 AS recall, round_even(f1, 4) + 0.0 AS f1 FROM scores"""

@@ -12,7 +12,9 @@ from stationcast.operators import (
     cleaning,
     drift as drift_ops,
     features as feature_ops,
+    forest as forest_ops,
     importance as importance_ops,
+    increments,
     joins,
     metrics,
     quantiles,
@@ -22,10 +24,12 @@ from stationcast.operators import (
     training,
     upsert as upsert_ops,
 )
+from stationcast.plans import scores as score_plans
 from stationcast.schemas import AIR_RESPONSE, FEATURES, POLLUTANTS, SILVER, WEATHER_RESPONSE
 from stationcast.sinks import tables as sinks
 from stationcast.sources import artifacts, chunks, responses, tables as sources
 from stationcast.streaming import ingest, predictions as drain
+from suite import forest as small_forest
 from suite.folder import with_folder
 from suite.adapter import events_as_readings, for_compare, readings, silver, table
 
@@ -248,6 +252,39 @@ def accuracy_summary(spark, d):
     return metrics.accuracy_summary(metrics.daily_accuracy(scoring.backtest(readings(spark, d))))
 
 
+def _score_log(spark, d):
+    """Silver filled by four batches, the third run twice: late hours, then corrected classes, then the newest hours."""
+    rows = silver(spark, d)
+    part = F.crc32(F.concat("city_slug", F.unix_timestamp("timestamp").cast("string")).cast("binary")) % 5
+    newest = F.col("timestamp") >= rows.agg(F.max("timestamp")).scalar() - F.expr("INTERVAL 2 DAYS")
+    first = rows.where(~newest & part.isin(0, 1)).withColumn("aqi", F.when(part == 1, 6 - F.col("aqi") % 3).otherwise(F.col("aqi")))
+    batches = {
+        "first": first,
+        "late": rows.where(~newest & part.isin(2, 3, 4)),
+        "corrected": rows.where(~newest & part.isin(1, 2)),
+        "newest": rows.where(newest),
+    }
+    path, log = workspace(spark, "silver"), score_plans.ScoreLog(spark, workspace(spark, "scores"))
+    for name, batch in batches.items():
+        score_plans.merge_and_score(spark, path, log, name, batch)
+        if name == "corrected":
+            score_plans.merge_and_score(spark, path, log, name, batch)
+            log.fold()
+    return log
+
+
+@query
+def increment_cells(spark, d):
+    """Counts by station, day, class read and class forecast after four batches"""
+    return _score_log(spark, d).cells()
+
+
+@query
+def increment_scores(spark, d):
+    """Scores per station and class from the cells"""
+    return increments.per_class_scores(_score_log(spark, d).cells(), ["city_slug"])
+
+
 # --- drift ----------------------------------------------------------------------------------------
 
 
@@ -660,6 +697,46 @@ def stream_predictions(spark, d):
     return sources.read_predictions(spark, gold).withColumn("rejected", rejected.scalar())
 
 
+# --- a forest as a relation -----------------------------------------------------------------------
+
+
+def _nodes(spark):
+    return spark.createDataFrame(small_forest.rows(), forest_ops.NODE)
+
+
+@query
+def forest_shares(spark, d):
+    """Shares of every class for every reading, trees walked in one block and one by one"""
+    rows = feature_ops.serving_features(readings(spark, d))
+    made = forest_ops.shares(forest_ops.shares(rows, _nodes(spark), to="at_once"), _nodes(spark), most=1, to="by_tree")
+    parts = [c.alias(f"{n}_{c_}") for n in ("at_once", "by_tree") for c, c_ in zip(forest_ops.share_columns(F.col(n)), range(1, 6))]
+    return made.select("city_slug", "timestamp", *parts)
+
+
+@query
+def forest_forecasts(spark, d):
+    """Back-test of the forest"""
+    return scoring.backtest(readings(spark, d), forest_ops.forest_forecaster(_nodes(spark)))
+
+
+@query
+def forest_latest(spark, d):
+    """Latest forecasts with confidence and all probabilities"""
+    made = scoring.latest_forecast(readings(spark, d), forest_ops.forest_forecaster(_nodes(spark)))
+    return made.select(
+        "city_slug", "as_of", "forecast_for", "predicted", "predicted_label", "predicted_color", "confidence",
+        *[F.element_at("probabilities", str(c)).alias(f"p{c}") for c in range(1, 6)],
+    )
+
+
+@query
+def forest_importance(spark, d):
+    """Importances with the cover counted on the readings"""
+    rows = feature_ops.serving_features(readings(spark, d))
+    nodes = _nodes(spark)
+    return importance_ops.importances(forest_ops.with_cover(nodes, forest_ops.paths(rows, nodes)))
+
+
 # --- models (no SQL form) -------------------------------------------------------------------------
 
 
