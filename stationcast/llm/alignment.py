@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,41 +37,54 @@ _ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long,
 _PAIRS = "a array<int>, b array<int>, times array<int>"
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """For every group the number of tokens of A, and of B, up to its end. Both lists rise and end alike."""
-    cut_a: list[int] = []
-    cut_b: list[int] = []
-    i, j, n = 0, 0, len(ends_a)
+def irregular(ends_a: list[int], ends_b: list[int]) -> list[int]:
+    """Bounds (first and last + 1 of A, first and last + 1 of B) of all groups that are not one-to-one, in one flat list.
+
+    Both lists rise and end alike.
+    """
+    n = len(ends_a)
+    # Unequal last entries stop every stretch.
+    a, b = [*ends_a, -1], [*ends_b, -2]
+    found: list[int] = []
+    i = j = 0
     while i < n:
         # A stretch of one-to-one groups: double while equal, then halve.
-        run, step = 0, 1
-        while ends_a[i + run : i + run + step] == ends_b[j + run : j + run + step] and i + run < n:
-            run += step
-            step *= 2
-        run = min(run, n - i)
-        while step > 1 and i + run < n:
-            step //= 2
-            if ends_a[i + run : i + run + step] == ends_b[j + run : j + run + step]:
-                run += step
-        run = min(run, n - i)
-        if run:
-            cut_a.extend(range(i + 1, i + run + 1))
-            cut_b.extend(range(j + 1, j + run + 1))
-            i, j = i + run, j + run
-        if i < n:
-            # An irregular group: the side behind steps on until both ends meet.
-            a, b = ends_a[i], ends_b[j]
-            i, j = i + 1, j + 1
-            while a != b:
-                if a < b:
-                    a = ends_a[i]
-                    i += 1
-                else:
-                    b = ends_b[j]
-                    j += 1
-            cut_a.append(i)
-            cut_b.append(j)
-    return cut_a, cut_b
+        if a[i] == b[j]:
+            i, j, step = i + 1, j + 1, 2
+            while a[i : i + step] == b[j : j + step]:
+                i, j, step = i + step, j + step, 2 * step
+            while step > 1:
+                step >>= 1
+                if a[i : i + step] == b[j : j + step]:
+                    i, j = i + step, j + step
+            if i >= n:
+                break
+        # An irregular group: the side behind steps on until both ends meet.
+        p, q = i, j
+        x, y = a[p], b[q]
+        while x != y:
+            if x < y:
+                p += 1
+                x = a[p]
+            else:
+                q += 1
+                y = b[q]
+        found += (i, p + 1, j, q + 1)
+        i, j = p + 1, q + 1
+    return found
+
+
+def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every group the number of tokens of A, and of B, up to its end."""
+    bounds = np.array(irregular(ends_a.tolist(), ends_b.tolist()), np.int64).reshape(-1, 4).T
+    cuts = []
+    for n, first, last in ((len(ends_a), *bounds[:2]), (len(ends_b), *bounds[2:])):
+        # Inside a group only its last token ends it.
+        inside = np.zeros(n + 1, np.int64)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, last - 1, -1)
+        cuts.append(np.flatnonzero(np.cumsum(inside)[:n] == 0) + 1)
+    return cuts[0], cuts[1]
 
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +92,8 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     Every distinct end closes exactly one overlap: that of the tokens which cover the byte before it.
     """
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b]))
+    ends = ends[np.append(ends[1:] != ends[:-1], True)] if len(ends) else ends
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
@@ -127,45 +141,70 @@ def piece_tokens(path: str) -> Tokens:
     return Tokens(lambda batch: model.encode(batch, num_threads=1), spelled)
 
 
+def _written(n: int, after: str) -> np.ndarray:
+    """Every id in decimal with what follows it, eight bytes each."""
+    return np.array([f"{i}{after}" for i in range(n)], "S8")
+
+
+def _digests(a, b, cut_a, cut_b, rows_a, rows_b, tables) -> list[str]:
+    """The digest of each row's groups. All arrays run over the tokens, groups and rows of a part."""
+    both = np.empty(len(a) + len(b), "S8")
+    before_a, before_b = np.append(0, cut_a[:-1]), np.append(0, cut_b[:-1])
+    # Tokens of A stand behind all of B's from earlier groups, those of B behind A's up to their own group.
+    at_a = np.arange(len(a)) + np.repeat(before_b, cut_a - before_a)
+    at_b = np.arange(len(b)) + np.repeat(cut_a, cut_b - before_b)
+    both[at_a], both[at_b] = tables[0][a], tables[0][b]
+    both[at_a[cut_a - 1]] = tables[1][a[cut_a - 1]]
+    both[at_b[cut_b - 1]] = tables[2][b[cut_b - 1]]
+    edges = np.append(0, rows_a + rows_b).tolist()
+    return [hashlib.sha256(both[s:e].tobytes().translate(None, b"\0")[:-1]).hexdigest() for s, e in zip(edges, edges[1:])]
+
+
 class _Pair:
     """Both tokenizers of a worker, with the lengths and the written ids of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = byte_tokens(path_a), piece_tokens(path_b)
-        self.size_a, self.size_b = ([len(s) for s in t.spelled] for t in (self.a, self.b))
-        self.id_a, self.id_b = ([str(i) for i in range(len(t.spelled))] for t in (self.a, self.b))
-
-    def row(self, text: str, a: list[int], b: list[int]):
-        """(groups, links, digest, pairs a, pairs b, times), or None where the bytes differ."""
-        whole = b" " + text.encode()
-        if b"".join([self.a.spelled[i] for i in a]) != whole or b"".join([self.b.spelled[i] for i in b]) != whole:
-            return None
-        # Tokens without bytes end where their predecessor does; they belong to no range.
-        ends_a = list(accumulate([self.size_a[i] for i in a]))
-        ends_b = list(accumulate([self.size_b[i] for i in b]))
+        self.size_a, self.size_b = (np.array([len(s) for s in t.spelled], np.int64) for t in (self.a, self.b))
+        most = max(len(self.size_a), len(self.size_b))
+        if most > 10**7:
+            raise ValueError("ids of more than seven digits")
+        self.tables = [_written(most, after) for after in (",", "|", ";")]
+
+    def tokens(self, batch: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
+        """Which texts both sides spell alike, and their tokens."""
+        good, all_a, all_b = [], [], []
+        first, second = self.a.spelled.__getitem__, self.b.spelled.__getitem__
+        for k, (text, a, b) in enumerate(zip(batch, self.a.encode(batch), self.b.encode(batch))):
+            if text:
+                whole = b" " + text.encode()
+                if b"".join(map(second, b)) == whole and b"".join(map(first, a)) == whole:
+                    good.append(k)
+                    all_a.append(a)
+                    all_b.append(b)
+        return good, all_a, all_b
+
+    def rows(self, all_a: list[list[int]], all_b: list[list[int]]):
+        """Per row: groups, links and digest; then row, a, b and times of its distinct linked pairs."""
+        (a, rows_a), (b, rows_b) = (
+            (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))), np.cumsum([len(y) for y in x])) for x in (all_a, all_b)
+        )
+        # Byte offsets over all rows of the part: every row ends alike on both sides.
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         cut_a, cut_b = groups(ends_a, ends_b)
-        digest = hashlib.sha256()
-        parts: list[str] = []
-        at_a = at_b = 0
-        id_a, id_b = self.id_a, self.id_b
-        for end_a, end_b in zip(cut_a, cut_b):
-            if end_a - at_a == 1 and end_b - at_b == 1:
-                parts.append(f"{a[at_a]}|{b[at_b]}")
-            else:
-                parts.append(",".join([id_a[i] for i in a[at_a:end_a]]) + "|" + ",".join([id_b[i] for i in b[at_b:end_b]]))
-            at_a, at_b = end_a, end_b
-        digest.update(";".join(parts).encode())
-        i, j = links(np.array(ends_a), np.array(ends_b))
-        pairs, times = np.unique(np.array(a, np.int64)[i] << 32 | np.array(b, np.int64)[j], return_counts=True)
-        return len(cut_a), len(i), digest.hexdigest(), (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32)
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
-
-
-_NOTHING = np.zeros(0, np.int32)
+        digests = _digests(a, b, cut_a, cut_b, rows_a, rows_b, self.tables)
+        n_groups = np.diff(np.searchsorted(cut_a, rows_a, side="right"), prepend=0)
+        i, j = links(ends_a, ends_b)
+        row = np.searchsorted(rows_a, i, side="right")
+        n_links = np.bincount(row, minlength=len(rows_a))
+        order = np.lexsort((b[j], a[i], row)) if len(rows_a) >= 1 << 15 else None
+        if order is None:
+            key = np.sort(row << 48 | a[i] << 24 | b[j])
+            row, pair_a, pair_b = key >> 48, key >> 24 & 0xFFFFFF, key & 0xFFFFFF
+        else:
+            row, pair_a, pair_b = row[order], a[i][order], b[j][order]
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (pair_a[1:] != pair_a[:-1]) | (pair_b[1:] != pair_b[:-1])))
+        return n_groups, n_links, digests, row[first], pair_a[first], pair_b[first], np.diff(first, append=len(row))
 
 
 def aligned(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -176,14 +215,19 @@ def aligned(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
         both = worker_state(key, lambda: _Pair(path_a, path_b))
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                batch_texts = flat_text(part).to_pylist()
-                rows = [
-                    (len(a), len(b), *found) if text and (found := both.row(text, a, b)) else (0, 0, 0, 0, "", _NOTHING, _NOTHING, _NOTHING)
-                    for text, a, b in zip(batch_texts, both.a.encode(batch_texts), both.b.encode(batch_texts))
-                ]
-                n_a, n_b, n_groups, n_links, digest, a, b, times = zip(*rows)
+                n = part.num_rows
+                good, all_a, all_b = both.tokens(flat_text(part).to_pylist())
+                counts, digests = np.zeros((4, n), np.int64), np.full(n, "", object)
+                row = pair_a = pair_b = times = np.zeros(0, np.int64)
+                if good:
+                    n_groups, n_links, digests[good], row, pair_a, pair_b, times = both.rows(all_a, all_b)
+                    counts[:, good] = [len(x) for x in all_a], [len(x) for x in all_b], n_groups, n_links
+                ends = np.zeros(n, np.int64)
+                ends[good] = np.bincount(row, minlength=len(good))
+                offsets = pa.array(np.append(0, np.cumsum(ends)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (pair_a, pair_b, times)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, n_links)), pa.array(digest, pa.string()), *map(_lists, (a, b, times))],
+                    [part.column("row"), part.column("doc_id"), *map(pa.array, counts), pa.array(digests, pa.string()), *lists],
                     ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "times"],
                 )
 

@@ -84,7 +84,7 @@ def test_groups_and_links_equal_sets_of_bytes():
         a = sorted(shared | {i for i in range(1, size) if rng.random() < 0.2} | {size})
         b = sorted(shared | {i for i in range(1, size) if rng.random() < 0.2} | {size})
         both = sorted(set(a) & set(b))
-        cut_a, cut_b = alignment.groups(a, b)
+        cut_a, cut_b = (x.tolist() for x in alignment.groups(np.array(a), np.array(b)))
         assert cut_a == [a.index(e) + 1 for e in both] and cut_b == [b.index(e) + 1 for e in both]
         spans = [[range(s, e) for s, e in zip([0, *x], x)] for x in (a, b)]
         want = {(i, j) for i, p in enumerate(spans[0]) for j, q in enumerate(spans[1]) if set(p) & set(q)}
