@@ -605,3 +605,28 @@ SELECT city_slug, CAST("timestamp" AS DATE) AS day, actual, predicted, count(*)
 FROM preds WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY ALL"""
 ORACLE["increment_scores"] = _with(*_B, CLASS_TABLE, _scores("city_slug")) + """
 SELECT city_slug, "class", support, round_even(precision, 4) + 0.0 AS precision, round_even(recall, 4) + 0.0 AS recall, round_even(f1, 4) + 0.0 AS f1 FROM scores"""
+
+
+# --- forecasts from stream state ------------------------------------------------------------------
+
+_LAST = '(SELECT max("timestamp") FROM raw)'
+_SEEN = {
+    1: (f'"timestamp" < {_LAST} - INTERVAL 4 DAYS', "true", "aqi"),
+    2: (f'"timestamp" < {_LAST} - INTERVAL 4 DAYS OR "timestamp" >= {_LAST} - INTERVAL 2 DAYS', f'"timestamp" >= {_LAST} - INTERVAL 2 DAYS', "aqi"),
+    3: (
+        "true",
+        f'("timestamp" >= {_LAST} - INTERVAL 4 DAYS AND "timestamp" < {_LAST} - INTERVAL 2 DAYS) OR "timestamp" >= {_LAST} - INTERVAL 1 DAY',
+        f'CASE WHEN "timestamp" >= {_LAST} - INTERVAL 1 DAY THEN 1 ELSE aqi END',
+    ),
+}
+ORACLE["stream_lag_state"] = _with(READINGS_SQL, "seen AS (" + " UNION ALL ".join(
+    f"""
+  SELECT {n} AS delivery, city_slug, "timestamp", {aqi} AS aqi, row_number() OVER w AS rn, lead("timestamp", 3) OVER w AS fourth
+  FROM raw WHERE ({there}) AND city_slug IN (SELECT city_slug FROM raw WHERE {new})
+  WINDOW w AS (PARTITION BY city_slug ORDER BY "timestamp" DESC)"""
+    for n, (there, new, aqi) in _SEEN.items()
+) + ")") + """
+SELECT "timestamp" + INTERVAL 1 HOUR AS forecast_for, city_slug, aqi AS predicted, 1.0::DOUBLE AS confidence, "timestamp" AS as_of,
+  strftime("timestamp" + INTERVAL 1 HOUR, '%Y-%m') AS ym
+FROM seen WHERE rn = 1 AND fourth >= "timestamp" - INTERVAL 340 HOURS
+QUALIFY row_number() OVER (PARTITION BY city_slug, "timestamp" ORDER BY delivery) = 1"""

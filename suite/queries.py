@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,7 +29,7 @@ from stationcast.plans import scores as score_plans
 from stationcast.schemas import AIR_RESPONSE, FEATURES, POLLUTANTS, SILVER, WEATHER_RESPONSE
 from stationcast.sinks import tables as sinks
 from stationcast.sources import artifacts, chunks, responses, tables as sources
-from stationcast.streaming import ingest, predictions as drain
+from stationcast.streaming import ingest, lag_state, predictions as drain
 from suite import forest as small_forest
 from suite.folder import with_folder
 from suite.adapter import events_as_readings, for_compare, readings, silver, table
@@ -687,6 +688,22 @@ def stream_forecasts(spark, d):
     return sources.read_predictions(spark, gold_path)
 
 
+@query
+def stream_lag_state(spark, d):
+    """Forecasts from stream state after three deliveries: the newest days, then late ones and the last day again"""
+    lag_state.use_state_store(spark)
+    land, gold, checkpoint = (workspace(spark, n) for n in ("land", "gold", "checkpoint"))
+    events = table(spark, d, "events")
+    newest = events.agg(F.max("ts")).first()[0]
+    at = {n: F.col("ts") < F.lit(newest - dt.timedelta(days=n)) for n in (1, 2, 4)}
+    again = events.where(~at[1]).withColumn("props", F.lit('{"k": 0}'))
+    for delivery in (events.where(at[4]), events.where(~at[2]), events.where(~at[4] & at[2]).unionByName(again)):
+        delivery.write.mode("append").parquet(land)
+        stream = events_as_readings(ingest.new_readings(spark, land, events.schema))
+        lag_state.forecast_stream(stream, gold, checkpoint).awaitTermination()
+    return sources.read_predictions(spark, gold)
+
+
 @query
 def stream_predictions(spark, d):
     """Buffered lines drained to gold; the number of rejects rides along"""
