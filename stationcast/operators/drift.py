@@ -44,7 +44,7 @@ def two_windows(
     )
 
 
-def _gate(rows: DataFrame) -> DataFrame:
+def enough_rows(rows: DataFrame) -> DataFrame:
     enough = (
         (F.col("ref_rows") >= MIN_WINDOW_ROWS)
         & (F.col("recent_rows") >= MIN_WINDOW_ROWS)
@@ -55,7 +55,7 @@ def _gate(rows: DataFrame) -> DataFrame:
 
 def _summary(rows: DataFrame, by: list[str], aggregates: list[str]) -> DataFrame:
     sizes = ["count_if(NOT recent) AS ref_rows", "count_if(recent) AS recent_rows"]
-    return _gate(rows.groupBy(*by).agg(*map(F.expr, [*sizes, *aggregates])))
+    return enough_rows(rows.groupBy(*by).agg(*map(F.expr, [*sizes, *aggregates])))
 
 
 def _settled(expression: str, digits: int) -> str:
@@ -69,7 +69,7 @@ def feature_drift(rows: DataFrame, by: list[str], flag_above: float = 1.0) -> Da
     deviation is never taken below 1 % of the scale of the mean. Inputs with fewer than two reference
     values are left out, inputs without recent values score null.
     """
-    aggregates, long = [], []
+    aggregates = []
     for f in DRIFT_FEATURES:
         aggregates += [
             f"count({f}) FILTER (WHERE NOT recent) AS n_{f}",
@@ -77,6 +77,13 @@ def feature_drift(rows: DataFrame, by: list[str], flag_above: float = 1.0) -> Da
             f"stddev_samp({f}) FILTER (WHERE NOT recent) AS std_{f}",
             f"avg({f}) FILTER (WHERE recent) AS new_{f}",
         ]
+    return shift_of_means(_summary(rows, by, aggregates), by, flag_above)
+
+
+def shift_of_means(summary: DataFrame, by: list[str], flag_above: float = 1.0) -> DataFrame:
+    """A8 from ``n_f``, ``mean_f``, ``std_f`` of the reference window and ``new_f`` of the recent one, for each input f."""
+    long = []
+    for f in DRIFT_FEATURES:
         scale = f"greatest(std_{f}, 0.01D * greatest(abs(mean_{f}), 1D))"
         raw = f"(new_{f} - mean_{f}) / {scale}"
         # least and greatest skip nulls.
@@ -86,8 +93,7 @@ def feature_drift(rows: DataFrame, by: list[str], flag_above: float = 1.0) -> Da
             f"{_settled(f'new_{f}', 4)} AS recent_mean, {_settled(score, 3)} AS drift_score)"
         )
     return (
-        _summary(rows, by, aggregates)
-        .selectExpr(*by, f"inline(array({', '.join(long)}))")
+        summary.selectExpr(*by, f"inline(array({', '.join(long)}))")
         .where(F.col("ref_n") >= MIN_REFERENCE_VALUES)
         .drop("ref_n")
         .withColumn("flag", F.coalesce(F.abs("drift_score") > flag_above, F.lit(False)))
@@ -106,6 +112,12 @@ def _shares(column: str) -> tuple[list[str], str]:
             f"count_if(recent AND {column} = {c}) AS new_{c}",
         ]
 
+    return aggregates, class_percentages()
+
+
+def class_percentages() -> str:
+    """SQL: one row per class from ``n_ref``, ``n_new`` and the counts ``ref_c`` and ``new_c`` of each class c."""
+
     def percent(part: str, whole: str) -> str:
         return f"bround(coalesce(try_divide(CAST({part} AS DOUBLE), {whole}), 0D) * 100, 1)"
 
@@ -113,7 +125,7 @@ def _shares(column: str) -> tuple[list[str], str]:
         f"struct({c} AS class, {percent(f'ref_{c}', 'n_ref')} AS ref_pct, {percent(f'new_{c}', 'n_new')} AS recent_pct)"
         for c in _LABELS
     )
-    return aggregates, f"inline(array({long}))"
+    return f"inline(array({long}))"
 
 
 def class_shift(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ rows are the same as those of the look-back read, and so are the forecasts.
 
 State per series is ``KEPT`` rows at most, however many readings a batch holds for it. A series that stays silent for
 ``quiet`` loses its state: a timer, moved on by every batch, clears it, and the same time to live lets the store
-drop it should the timer never fire. The state needs the RocksDB store, which ``use_state_store`` selects.
+drop it should the timer never fire. The state needs the RocksDB store; streams are started with it.
 
 Of several deliveries of a reading in one batch the newest wins by the columns of ``DELIVERY`` where they are
 there, else the last row; across batches the later batch wins. Rows without key or time are ignored.
@@ -16,6 +16,7 @@ there, else the last row; across batches the later batch wins. Rows without key
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,11 +40,25 @@ _VALUES = ["aqi", *POLLUTANTS]
 _PLACE = ["delivered", "file", "line"]
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """Settings of a session whose streams keep lag state. Timers fire with the next batch of readings: a query that
-    ends once all files are read would otherwise run empty batches for ever."""
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+# What a stream with this state is started with. Timers fire with the next batch of readings: a query that ends once
+# all files are read would otherwise run empty batches for ever.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """``STATE_CONF`` while a stream is started, which keeps a copy of the session; then what was set before."""
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class LastRows(StatefulProcessor):
@@ -114,11 +129,12 @@ def forecast_stream(
         spark = batch.sparkSession
         append_predictions(spark, latest_forecast(batch, forecast, medians), gold_path)
 
-    return (
+    writer = (
         last_rows(readings, quiet_days, hours)
         .writeStream.foreachBatch(handle)
         .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    with state_settings(readings.sparkSession):
+        return writer.start()

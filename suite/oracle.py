@@ -630,3 +630,81 @@ SELECT "timestamp" + INTERVAL 1 HOUR AS forecast_for, city_slug, aqi AS predicte
   strftime("timestamp" + INTERVAL 1 HOUR, '%Y-%m') AS ym
 FROM seen WHERE rn = 1 AND fourth >= "timestamp" - INTERVAL 340 HOURS
 QUALIFY row_number() OVER (PARTITION BY city_slug, "timestamp" ORDER BY delivery) = 1"""
+
+
+# --- drift from daily moments: the same results as from all rows ----------------------------------
+
+ORACLE |= {
+    "moments_features_keyed": ORACLE["drift_features_keyed"],
+    "moments_features_pooled": ORACLE["drift_features_pooled"],
+    "moments_features_pooled_1d": ORACLE["drift_features_pooled_1d"],
+    "moments_class_share": ORACLE["drift_class_share"],
+    "moments_windows": ORACLE["drift_windows"],
+}
+
+# --- whole tables and sources ---------------------------------------------------------------------
+
+ORACLE["stream_join"] = " UNION ALL ".join(f"SELECT *, '{n}' AS first FROM ({ORACLE['predicted_vs_actual']})" for n in ("forecasts", "readings"))
+ORACLE["stream_drop_repeats"] = "SELECT DISTINCT 'part-' || l_partkey AS city_slug, l_shipdate AS \"timestamp\" FROM lineitem"
+_ALL = f'"timestamp", city, city_slug, aqi_raw AS aqi, {sql_round(*POLLUTANTS)}'
+ORACLE["one_file"] = _with(READINGS_SQL) + f"SELECT {_ALL}, source FROM raw WHERE source = 'hourly'"
+ORACLE["station_zones"] = f"""
+SELECT c_name AS name, 'c-' || c_custkey AS slug, {sql_round('c_acctbal')[:-len(' AS c_acctbal')]} AS lat, round(c_acctbal / 2, 6) + 0.0 AS lon,
+  coalesce(n_name, 'UTC') AS timezone
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 2"""
+ORACLE["silver_of_stations"] = _with(READINGS_SQL) + f"""
+SELECT "timestamp", city, city_slug, aqi, {sql_round(*POLLUTANTS)}, source, strftime("timestamp", '%Y-%m') AS ym
+FROM raw WHERE "timestamp" >= (SELECT max("timestamp") FROM raw) - INTERVAL 200 HOURS
+  AND city_slug IN ({', '.join(f"'user-{n}'" for n in range(1, 60, 2))})"""
+ORACLE["weather_all_columns"] = """
+SELECT event_type AS city, CAST(event_id AS VARCHAR) AS city_slug, CAST(floor(epoch(ts)) AS BIGINT) AS dt, date_trunc('second', ts) AS "timestamp",
+  round(v, 6) + 0.0 AS temp_c, round(v - 1, 6) + 0.0 AS feels_like_c, round(v - 2, 6) + 0.0 AS temp_min_c, round(v + 2, 6) + 0.0 AS temp_max_c,
+  k + 1000 AS pressure_hpa, k + 1001 AS sea_level_hpa, k + 990 AS grnd_level_hpa, k AS humidity_pct,
+  CASE WHEN k <> 0 THEN round(round_even(v - (100 - k) / 5.0::DOUBLE, 2), 6) + 0.0 END AS dew_point_c,
+  k AS wind_speed_ms, k * 3 AS wind_deg, CASE WHEN k > 50 THEN k + 5 END AS wind_gust_ms, k / 2 AS clouds_pct, k * 100 AS visibility_m,
+  CASE WHEN event_type = 'click' THEN round(v, 6) + 0.0 ELSE 0.0::DOUBLE END AS rain_1h_mm,
+  CASE WHEN event_type = 'view' THEN round(v / 2, 6) + 0.0 ELSE 0.0::DOUBLE END AS snow_1h_mm,
+  CASE WHEN k > 3 THEN CAST(user_id AS INTEGER) END AS weather_id, CASE WHEN k > 3 THEN event_type END AS weather_main,
+  CASE WHEN k > 3 THEN 'about ' || event_type END AS weather_desc
+FROM (SELECT *, value AS v, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)"""
+_FOLDERS = """strftime("timestamp", '%Y') AS year, strftime("timestamp", '%m') AS month"""
+ORACLE["hourly_rows"] = _with(READINGS_SQL) + f"""
+SELECT CAST(floor(epoch("timestamp")) AS BIGINT) AS dt, {_ALL}, {_FOLDERS}, strftime("timestamp", '%d') AS day FROM raw"""
+ORACLE["bulk_rows"] = _with(READINGS_SQL) + f"""
+SELECT CAST(floor(epoch("timestamp")) AS BIGINT) AS dt, {_ALL.replace('aqi_raw AS aqi', 'aqi_raw::DOUBLE AS aqi')}, {_FOLDERS} FROM raw"""
+_MERGED_ALL = MERGED.replace("event_id % 2 = 0", "event_id % 10 <> 7").replace(
+    "FROM raw WHERE event_id % 3 = 0",
+    f"""FROM raw WHERE event_id % 3 = 0
+  UNION ALL
+  SELECT "timestamp", city, city_slug, aqi_raw, {", ".join(["co", "no", *(c for c in POLLUTANTS if c not in ("co", "no"))])}, source
+  FROM raw WHERE event_id % 10 = 7 AND event_id % 3 <> 0""",
+)
+ORACLE["upsert_all_rows"] = _with(READINGS_SQL, _MERGED_ALL) + f"SELECT {_READING} FROM merged"
+
+
+# --- read side ------------------------------------------------------------------------------------
+
+
+def _recent(hours: int) -> list[str]:
+    """Readings of the last hours, with their neighbours among themselves."""
+    return [
+        READINGS_SQL.replace("raw AS", "every AS", 1),
+        f'raw AS (SELECT * FROM every WHERE "timestamp" >= (SELECT max("timestamp") FROM every) - INTERVAL {hours} HOURS)',
+    ]
+
+
+ORACLE["route_cities"] = """
+SELECT DISTINCT 'Place ' || user_id AS name, 'user-' || user_id AS slug, user_id::DOUBLE AS lat, 0::DOUBLE - user_id AS lon,
+  CASE WHEN user_id % 2 = 0 THEN 'Asia/Tokyo' ELSE 'UTC' END AS timezone
+FROM events"""
+ORACLE["route_predict"] = _with(*_recent(340), RANKED) + f"""
+SELECT city_slug, "timestamp" AS as_of, "timestamp" + INTERVAL 1 HOUR AS forecast_for,
+  aqi AS current_aqi, {_text('aqi', 1, UNKNOWN_LABEL)} AS current_label, {_text('aqi', 2, UNKNOWN_COLOR)} AS current_color,
+  aqi AS predicted, {_text('aqi', 1, UNKNOWN_LABEL)} AS predicted_label, {_text('aqi', 2, UNKNOWN_COLOR)} AS predicted_color,
+  1.0::DOUBLE AS confidence, 'Place ' || user_id AS city, CASE WHEN user_id % 2 = 0 THEN 'Asia/Tokyo' ELSE 'UTC' END AS timezone,
+  {', '.join(f'(aqi = {c})::DOUBLE AS p{c}' for c in range(1, 6))}
+FROM ranked WHERE rn = 1 AND n_rows >= 4 AND city_slug = 'user-7'"""
+ORACLE["route_history"] = f"SELECT * FROM ({ORACLE['history_window']}) WHERE city_slug = 'user-7'"
+ORACLE["route_drift"] = ORACLE["drift_features_pooled"]
+ORACLE["route_model_metrics"] = _with(*_recent(172), LAGGED, BACKTEST, CLASS_TABLE, _scores()) + _overall()
+ORACLE["route_accuracy_trend"] = _with(*_recent(2 * 168 + 4), LAGGED, BACKTEST, DAILY) + "SELECT day, total, round(accuracy, 6) + 0.0 AS accuracy FROM daily"

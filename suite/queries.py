@@ -18,6 +18,7 @@ from stationcast.operators import (
     increments,
     joins,
     metrics,
+    moments,
     quantiles,
     reports,
     scoring,
@@ -26,10 +27,11 @@ from stationcast.operators import (
     upsert as upsert_ops,
 )
 from stationcast.plans import scores as score_plans
-from stationcast.schemas import AIR_RESPONSE, FEATURES, POLLUTANTS, SILVER, WEATHER_RESPONSE
+from stationcast.plans.routes import Routes
+from stationcast.schemas import AIR_RESPONSE, FEATURES, POLLUTANTS, PREDICTION, READING, SILVER, WEATHER_RESPONSE
 from stationcast.sinks import tables as sinks
-from stationcast.sources import artifacts, chunks, responses, tables as sources
-from stationcast.streaming import ingest, lag_state, predictions as drain
+from stationcast.sources import artifacts, chunks, dimensions, responses, tables as sources
+from stationcast.streaming import ingest, joins as stream_joins, lag_state, predictions as drain
 from suite import forest as small_forest
 from suite.folder import with_folder
 from suite.adapter import events_as_readings, for_compare, readings, silver, table
@@ -337,6 +339,45 @@ def drift_windows(spark, d):
     return drift_ops.Drift(readings(spark, d), 7).windows()
 
 
+# --- drift from daily moments ---------------------------------------------------------------------
+
+
+def _moment_drift(spark, d, days, pooled):
+    """The daily state and the rows by day, each written once."""
+    rows = _stored(spark, moments.drift_rows(readings(spark, d)))
+    return moments.MomentDrift(_stored(spark, moments.daily_moments(rows)), rows, days, pooled)
+
+
+@query
+def moments_features_keyed(spark, d):
+    """A8 from daily moments, seven days"""
+    return _moment_drift(spark, d, 7, False).features()
+
+
+@query
+def moments_features_pooled(spark, d):
+    """A8, C11 from daily moments, seven days"""
+    return _moment_drift(spark, d, 7, True).features()
+
+
+@query
+def moments_features_pooled_1d(spark, d):
+    """A8 from daily moments, one day"""
+    return _moment_drift(spark, d, 1, True).features()
+
+
+@query
+def moments_class_share(spark, d):
+    """A9 from daily moments"""
+    return _moment_drift(spark, d, 7, False).classes()
+
+
+@query
+def moments_windows(spark, d):
+    """A11, W7 from daily moments"""
+    return _moment_drift(spark, d, 7, False).windows()
+
+
 # --- cleaning and sources -------------------------------------------------------------------------
 
 
@@ -658,14 +699,14 @@ def stream_upsert(spark, d):
 
 
 def _redelivered(spark, d, files_per_batch):
-    """The events as a file, then those with an even id again with class 1; merged as a stream."""
-    land = workspace(spark, "land")
+    """The events, then those with an even id again with class 1; merged as a stream after each delivery."""
+    land, path, checkpoint = (workspace(spark, n) for n in ("land", "silver", "checkpoint"))
     events = table(spark, d, "events")
-    events.coalesce(1).write.mode("append").parquet(land)
-    events.where(F.col("event_id") % 2 == 0).withColumn("props", F.lit('{"k": 0}')).coalesce(1).write.mode("append").parquet(land)
-    path = workspace(spark, "silver")
-    stream = ingest.new_readings(spark, land, events.schema, files_per_batch)
-    ingest.upsert_stream(stream, path, workspace(spark, "checkpoint"), to_reading=events_as_readings).awaitTermination()
+    again = events.where(F.col("event_id") % 2 == 0).withColumn("props", F.lit('{"k": 0}'))
+    for delivery in (events, again):
+        delivery.write.mode("append").parquet(land)
+        stream = ingest.new_readings(spark, land, events.schema, files_per_batch)
+        ingest.upsert_stream(stream, path, checkpoint, to_reading=events_as_readings).awaitTermination()
     return sources.read_silver(spark, path, clamp=False).select("city_slug", "timestamp", "aqi", "no")
 
 
@@ -691,7 +732,6 @@ def stream_forecasts(spark, d):
 @query
 def stream_lag_state(spark, d):
     """Forecasts from stream state after three deliveries: the newest days, then late ones and the last day again"""
-    lag_state.use_state_store(spark)
     land, gold, checkpoint = (workspace(spark, n) for n in ("land", "gold", "checkpoint"))
     events = table(spark, d, "events")
     newest = events.agg(F.max("ts")).first()[0]
@@ -704,6 +744,137 @@ def stream_lag_state(spark, d):
     return sources.read_predictions(spark, gold)
 
 
+def _joined_streams(spark, d, first):
+    """Forecasts and readings as streams, ``first`` a delivery before the other; one far row of each moves the watermarks on."""
+    known = readings(spark, d).select(*READING.fieldNames())
+    whole = {"forecasts": _forecasts(spark, d).select(*PREDICTION.fieldNames()), "readings": known}
+    later = F.expr("INTERVAL 1000 DAYS")
+    ahead = {
+        "forecasts": whole["forecasts"].limit(1).withColumn("forecast_for", F.col("forecast_for") + later),
+        "readings": known.limit(1).withColumn("timestamp", F.col("timestamp") + later + F.expr("INTERVAL 1 SECOND")),
+    }
+    land = {n: workspace(spark, n) for n in whole}
+    out, checkpoint = workspace(spark, "joined"), workspace(spark, "checkpoint")
+    second = next(n for n in whole if n != first)
+    for step in ([(first, whole)], [(second, whole)], [(n, ahead) for n in whole]):
+        for n, path in land.items():
+            # An empty file at first: a stream needs its folder.
+            (dict(step)[n][n] if n in dict(step) else whole[n].limit(0)).write.mode("append").parquet(path)
+        sides = [spark.readStream.schema(whole[n].schema).parquet(land[n]) for n in whole]
+        stream_joins.write_joined(stream_joins.predicted_vs_actual_stream(*sides), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).withColumn("first", F.lit(first))
+
+
+@query
+def stream_join(spark, d):
+    """J1 on streams: forecasts before readings, and readings before forecasts"""
+    return _joined_streams(spark, d, "forecasts").unionByName(_joined_streams(spark, d, "readings"))
+
+
+def _repeating(spark, d):
+    """Every order line as a reading of its part; a part's readings of one day repeat."""
+    lines = table(spark, d, "lineitem")
+    return lines.select(
+        F.concat(F.lit("part-"), "l_partkey").alias("city_slug"), F.col("l_shipdate").cast("timestamp").alias("timestamp"),
+        F.col("l_quantity").alias("pm10"),
+    )
+
+
+@query
+def stream_drop_repeats(spark, d):
+    """Lines as readings of their part; one row per part and day is left of a stream"""
+    land, out = workspace(spark, "land"), workspace(spark, "out")
+    rows = _repeating(spark, d)
+    rows.write.parquet(land)
+    stream = ingest.drop_repeats(spark.readStream.schema(rows.schema).parquet(land), delay="5000 days")
+    stream.select("city_slug", "timestamp").writeStream.format("parquet").option(
+        "checkpointLocation", workspace(spark, "checkpoint")
+    ).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query
+def one_file(spark, d):
+    """S3: of two delivered files the rows of one, all columns"""
+    path = workspace(spark, "land")
+    for name, source in (("first", "pipeline"), ("second", "hourly")):
+        silver(spark, d).where(F.col("source") == source).write.parquet(f"{path}/{name}")
+    both = spark.read.parquet(f"{path}/first", f"{path}/second")
+    files = [f for f in both.inputFiles() if "/second/" in f]
+    return cleaning.union_all([sources.only_file(both, f) for f in files])
+
+
+@query
+def station_zones(spark, d):
+    """Customers as stations, nations as their zones; UTC where there is none"""
+    customers = table(spark, d, "customer").select(
+        F.col("c_name").alias("name"), F.concat(F.lit("c-"), "c_custkey").alias("slug"), F.col("c_acctbal").alias("lat"),
+        (F.col("c_acctbal") / 2).alias("lon"), F.lit("none").alias("timezone"),
+    )
+    nation = table(spark, d, "nation").where(F.col("n_regionkey") != 2)
+    zones = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("c-"), "c_custkey").alias("slug"), F.col("n_name").alias("timezone")
+    )
+    return dimensions.with_timezones(customers, zones)
+
+
+@query
+def silver_of_stations(spark, d):
+    """The look-back of some stations from silver, all columns"""
+    path = workspace(spark, "silver")
+    sinks.seed_silver(spark, silver(spark, d), path)
+    return sources.read_silver(spark, path, 200, [f"user-{n}" for n in range(1, 60, 2)])
+
+
+@query
+def weather_all_columns(spark, d):
+    """All 21 columns, every one of them filled from the events"""
+    k = F.get_json_object("props", "$.k").cast("double")
+    v = F.col("value")
+    main = {"temp": v, "feels_like": v - 1, "temp_min": v - 2, "temp_max": v + 2, "pressure": k + 1000, "sea_level": k + 1001, "grnd_level": k + 990, "humidity": k}
+    record = F.struct(
+        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("dt"),
+        F.struct(*[x.alias(n) for n, x in main.items()]).alias("main"),
+        F.struct(k.alias("speed"), (k * 3).alias("deg"), F.when(k > 50, k + 5).alias("gust")).alias("wind"),
+        F.struct((k / 2).alias("all")).alias("clouds"),
+        (k * 100).alias("visibility"),
+        F.when(F.col("event_type") == "click", F.struct(v.alias("1h"))).alias("rain"),
+        F.when(F.col("event_type") == "view", F.struct((v / 2).alias("1h"))).alias("snow"),
+        F.when(k > 3, F.array(F.struct(F.col("user_id").cast("int").alias("id"), F.col("event_type").alias("main"), F.concat(F.lit("about "), "event_type").alias("description")), F.struct(F.lit(0).alias("id"), F.lit("x").alias("main"), F.lit("y").alias("description")))).alias("weather"),
+    )
+    lines = table(spark, d, "events").select(
+        F.to_json(F.struct(F.col("event_type").alias("city"), F.col("event_id").cast("string").alias("city_slug"), F.array(record).alias("list"))).alias("value")
+    )
+    return responses.flatten_weather(responses.parse_responses(lines, WEATHER_RESPONSE))
+
+
+@query
+def hourly_rows(spark, d):
+    """Every row and column read back after two deliveries"""
+    path = workspace(spark, "hourly")
+    rows = silver(spark, d).withColumn("dt", F.unix_timestamp("timestamp"))
+    sinks.write_hourly(spark, rows, path)
+    sinks.write_hourly(spark, rows.where(F.hour("timestamp") >= 12), path)
+    return sources.read_hourly(spark, path).drop("_file", "_row")
+
+
+@query
+def bulk_rows(spark, d):
+    """Every row and column read back"""
+    path = workspace(spark, "bulk")
+    sinks.write_bulk(silver(spark, d).withColumn("dt", F.unix_timestamp("timestamp")).drop("source"), path)
+    return sources.read_bulk(spark, path).drop("_file", "_row")
+
+
+@query
+def upsert_all_rows(spark, d):
+    """All events as the target, every third again and another tenth only in the batch"""
+    events = table(spark, d, "events")
+    only_new = F.pmod(F.col("event_id"), F.lit(10)) == 7
+    changes = _changes(events).unionByName(events_as_readings(events.where(only_new & (F.col("event_id") % 3 != 0))))
+    return upsert_ops.upsert(events_as_readings(events.where(~only_new)), changes)
+
+
 @query
 def stream_predictions(spark, d):
     """Buffered lines drained to gold; the number of rejects rides along"""
@@ -754,6 +925,59 @@ def forest_importance(spark, d):
     return importance_ops.importances(forest_ops.with_cover(nodes, forest_ops.paths(rows, nodes)))
 
 
+# --- read side ------------------------------------------------------------------------------------
+
+
+def _routes(spark, d):
+    """Routes over silver; every user is a station, those with an odd number without a time zone."""
+    path = workspace(spark, "silver")
+    sinks.seed_silver(spark, silver(spark, d), path)
+    users = table(spark, d, "events").select("user_id").distinct()
+    stations = users.select(
+        F.concat(F.lit("Place "), "user_id").alias("name"), F.concat(F.lit("user-"), "user_id").alias("slug"),
+        F.col("user_id").cast("double").alias("lat"), (-F.col("user_id")).cast("double").alias("lon"),
+        F.when(F.col("user_id") % 2 == 0, "Asia/Tokyo").alias("timezone"),
+    )
+    return Routes(spark, path, stations=stations)
+
+
+@query
+def route_cities(spark, d):
+    """Section 2.13, cities; S7"""
+    return _routes(spark, d).cities()
+
+
+@query
+def route_predict(spark, d):
+    """Section 2.13, predict: one station's forecast with its name and zone"""
+    made = _routes(spark, d).predict("user-7")
+    return made.select(*[c for c in made.columns if c != "probabilities"], *[F.element_at("probabilities", str(c)).alias(f"p{c}") for c in range(1, 6)])
+
+
+@query
+def route_history(spark, d):
+    """Section 2.13, history: one station's last 168 hours"""
+    return _routes(spark, d).history("user-7", 168)
+
+
+@query
+def route_drift(spark, d):
+    """Section 2.13, drift over all stations, seven days"""
+    return _routes(spark, d).drift("7d")["features"]
+
+
+@query
+def route_model_metrics(spark, d):
+    """Section 2.13, model-metrics over 168 hours"""
+    return _routes(spark, d).model_metrics(168)["weighted"]
+
+
+@query
+def route_accuracy_trend(spark, d):
+    """Section 2.13, accuracy-trend over two weeks"""
+    return _routes(spark, d).accuracy_trend(2)["trend"]
+
+
 # --- models (no SQL form) -------------------------------------------------------------------------
 
 

@@ -12,12 +12,8 @@ from stationcast.streaming import ingest, lag_state
 
 @pytest.fixture
 def rocksdb(spark):
-    names = ["spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"]
-    before = {n: spark.conf.get(n) for n in names}
-    lag_state.use_state_store(spark)
-    yield spark
-    for name, value in before.items():
-        spark.conf.set(name, value)
+    with lag_state.state_settings(spark):
+        yield spark
 
 
 def state_of(spark, checkpoint):
