@@ -81,25 +81,23 @@ def mix(
         .withColumn("part", F.substring(digest, 1, 3))
     )
     rows = rows if "text" in keep else rows.drop("text")
-    cell = ["source", "size_class", "part"]
-    counts = rows.groupBy(*cell).agg(F.count("*").alias("n"))
+    # One key without nulls for window and join, so that rows are dealt once.
+    named = F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")), F.lit("|"), "size_class", F.lit("|"), "part")
+    rows = rows.withColumn("cell", named)
+    counts = rows.groupBy("cell", "source", "size_class", "part").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("source").orderBy("size_class", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*cell, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    starts = counts.select("cell", "source", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     targets = source_targets(rows.select("source", "size"), weights, total_share, most_times)
     starts = starts.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
-        "s.source", "size_class", "part", "before", "source_size", "target"
+        "cell", "before", "source_size", "target"
     )
-    inside = Window.partitionBy(*cell).orderBy("size", "doc_id")
+    # Rows with the same id and size are told apart by what is kept of them.
+    inside = Window.partitionBy("cell").orderBy("size", "doc_id", *([F.xxhash64(*keep)] if keep else []))
     numbered = rows.withColumn("nth", F.row_number().over(inside))
-    placed = numbered.alias("r").join(
-        starts.alias("s"),
-        F.col("r.source").eqNullSafe(F.col("s.source"))
-        & (F.col("r.size_class") == F.col("s.size_class"))
-        & (F.col("r.part") == F.col("s.part")),
-    )
+    placed = numbered.join(starts, "cell")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("before") + F.col("nth")
     u = F.lit(offset(seed))
     copies = F.floor(rate * rank + u) - F.floor(rate * (rank - 1) + u)
     names = list(dict.fromkeys(["doc_id", "source", *keep]))
-    return placed.select(*[F.col(f"r.{c}") for c in names], "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return placed.select(*names, "size", "source_size", "target", copies.cast("long").alias("copies"))
