@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stationcast.session import workspace
 
@@ -31,6 +31,32 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# 64-bit words of a key filter: 2 MB of bits, at most this many rows to broadcast, whatever the table.
+FILTER_WORDS = 1 << 18
+
+
+def _bit(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(64 * FILTER_WORDS))
+
+
+def key_filter(spark: SparkSession, keys: DataFrame) -> DataFrame:
+    """(slot, bits): a bit map of bounded size with the bit of every row of ``keys`` set."""
+    bits = keys.select(_bit(*keys.columns).alias("bit")).selectExpr("bit >> 6 AS slot", "shiftleft(1L, CAST(bit & 63 AS INT)) AS one")
+    return stored(spark, bits.groupBy("slot").agg(F.bit_or("one").alias("bits")), "filter")
+
+
+def may_hold(rows: DataFrame, key: list[str], slots: DataFrame) -> DataFrame:
+    """``rows`` with a boolean ``may_hold``: false only where ``key`` is surely not among the keys of ``slots``.
+
+    Rows are not exchanged. The filter only spares work: where it is full, every row may be held, and the
+    exact join that follows decides.
+    """
+    at = rows.withColumn("filter_bit", _bit(*key)).withColumn("filter_slot", F.expr("filter_bit >> 6"))
+    found = at.join(F.broadcast(slots), F.col("filter_slot") == F.col("slot"), "left")
+    hit = F.expr("coalesce(bits & shiftleft(1L, CAST(filter_bit & 63 AS INT)), 0L) != 0")
+    return found.withColumn("may_hold", hit).drop("filter_bit", "filter_slot", "slot", "bits")
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, whatever else the table holds."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stationcast.llm.common import flat_text, offsets_of, slices, stored, texts
+from stationcast.llm.common import flat_text, key_filter, may_hold, offsets_of, slices, stored, texts
 from stationcast.llm.components import components
 
 BANDS = 32
@@ -303,12 +303,15 @@ def near_duplicates(
     entries = classes.mapInArrow(_buckets(bands, rows), "bucket long, rep long")
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = stored(spark, entries.join(shared.select("bucket"), "bucket").distinct(), "members")
-    # Sets by (rep, digest) rather than rep: a repeated id may stand for several classes.
-    signs = classes.join(members.select("rep").distinct(), "rep").select("rep", "digest", "signature")
+    # Sets by (rep, text) rather than rep: a repeated id may stand for several classes, equal rows of it for one.
+    # Only texts that the filter lets through are exchanged.
     wanted = members.select("rep").distinct()
+    signs = classes.join(wanted, "rep").select("rep", "digest", "signature")
+    near = may_hold(docs, ["doc_id"], key_filter(spark, wanted)).where("may_hold")
+    once = near.groupBy("doc_id", F.xxhash64("text").alias("digest")).agg(F.min("text").alias("text"))
     sets = stored(
         spark,
-        docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "text").mapInArrow(_sets(words), "rep long, shingles binary"),
+        once.join(wanted, once.doc_id == wanted.rep).select("rep", "text").mapInArrow(_sets(words), "rep long, shingles binary"),
         "shingles",
     )
 

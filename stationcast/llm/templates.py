@@ -12,9 +12,13 @@ A template recurs across documents when it is seen in two or more distinct whole
 around it: the smallest and the largest digest of its texts differ, which is exact but for equal 64-bit
 digests. A document copied whole is one text, so it does not make its own lines recur: copies are for the
 near-duplicate operator. Lines of a recurring template go from every document but the one with the smallest
-id, so one instance stays.
+id, so one instance stays; where only rows with a null id hold it, the text with the smallest digest keeps it.
 
-Lines are cut at line feeds. Lines under ``least_tokens`` tokens have no template and stay. Null and empty
+A caller may name families of rows instead, such as groups of near copies. Then a template recurs when two
+families hold it, and its lines stay in all rows of the family with the smallest number: what one member of a
+family loses the others lose too, and near copies remain near copies.
+
+Lines are cut at line feeds. Lines under ``LEAST_TOKENS`` tokens have no template and stay. Null and empty
 texts stay as they are. Rows with a repeated id lose lines each for itself; a null id is never the smallest.
 Extra columns are kept by ``drop_lines`` where it is told to; other columns are not read.
 """
@@ -75,11 +79,12 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     for batch in batches:
         rows: list[tuple] = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        given = batch.column("body").to_pylist() if "body" in batch.schema.names else None
+        for n, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())):
             if not text:
                 continue
             lines = text.split("\n")
-            body = signed(xxhash.xxh3_64_intdigest(text))
+            body = given[n] if given else signed(xxhash.xxh3_64_intdigest(text))
             for i, line in enumerate(lines):
                 keys = template_keys(line)
                 rows.extend((signed(k), doc, body, i) for k in keys)
@@ -119,21 +124,34 @@ def _body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("body", pa.array(np.array(digests, np.uint64).view(np.int64)))
 
 
-def drop_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (doc_id and text among them) with recurring lines cut from text, then n_lines and n_dropped."""
+def drop_lines(df: DataFrame, columns: list[str] | None = None, node: str | None = None, family: str | None = None) -> DataFrame:
+    """``columns`` (doc_id and text among them) with recurring lines cut from text, then n_lines and n_dropped.
+
+    With families, ``node`` numbers an id with its text and ``family`` its family; both are long, neither null.
+    """
     names = columns or ["doc_id", "text"]
-    docs = df.select(*[F.col(c).cast({"doc_id": "long", "text": "string"}[c]).alias(c) if c in ("doc_id", "text") else F.col(c) for c in names])
-    paths = docs.select("doc_id", "text").mapInArrow(_paths, "template long, doc_id long, body long, line int")
+    kinds = {"doc_id": "long", "text": "string"}
+    kept = [F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in names]
+    if family:
+        keyed = df.select(*kept, F.col(node).alias("owner"), F.col(family).alias("body"))
+        read = keyed.select(F.col("owner").alias("doc_id"), "text", "body")
+        stays = F.col("body") == F.col("low")
+    else:
+        docs = df.select(*kept)
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        keyed = docs.mapInArrow(_body, f"{fields}, body long").withColumn("owner", F.col("doc_id"))
+        read = docs.select("doc_id", "text")
+        stays = F.when(F.col("first").isNull(), F.col("body") == F.col("low")).otherwise(F.col("doc_id").eqNullSafe(F.col("first")))
+    paths = read.mapInArrow(_paths, "template long, doc_id long, body long, line int")
     seen = paths.groupBy("template").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min("doc_id").alias("first"))
-    recurring = seen.where("low < high").select("template", "first")
+    recurring = seen.where("low < high").select("template", "low", "first")
     gone = (
-        paths.select("template", "doc_id", "body", "line")
-        .join(recurring, "template")
-        .where(~F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy("doc_id", "body")
+        paths.join(recurring, "template")
+        .where(~stays)
+        .groupBy(F.col("doc_id").alias("owner"), "body")
         .agg(F.collect_set("line").alias("gone"))
     )
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(_body, f"{fields}, body long").alias("d")
-    marked = keyed.join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.body") == F.col("g.body")), "left")
-    return marked.select(*[F.col(f"d.{c}") for c in names], "gone").mapInArrow(_cut(names), f"{fields}, n_lines long, n_dropped long")
+    same = F.col("d.owner").eqNullSafe(F.col("g.owner")) & (F.col("d.body") == F.col("g.body"))
+    marked = keyed.alias("d").join(gone.alias("g"), same, "left").select(*[F.col(f"d.{c}") for c in names], "gone")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.drop("gone").schema)
+    return marked.mapInArrow(_cut(names), f"{fields}, n_lines long, n_dropped long")

@@ -1,5 +1,7 @@
 """The pipeline's stages against their operators and brute force on a small table."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -43,3 +45,41 @@ def test_near_duplicates_keep_null_ids_and_texts_of_repeated_ids(spark):
     assert len(bs) == 1 and bs[0] in (b, b + " more")
     want = [(None, a), (None, a), (None, b), (3, a), (5, bs[0]), (5, c), (8, d), (9, None), (9, "")]
     assert sorted(map(str, found)) == sorted(map(str, want))
+
+
+def lines_of(rng, n):
+    syllable = lambda: rng.choice("bdfgklmnprst") + rng.choice("aeiou")
+    return [" ".join(syllable() + syllable() + syllable() for _ in range(12)) for _ in range(n)]
+
+
+def through(spark, docs, *names):
+    for name, stage in corpus_pipeline.STAGES:
+        if name in names:
+            docs = stage(spark, docs, SF)
+            docs = spark.createDataFrame(docs.toPandas(), docs.schema)
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_near_copies_do_not_survive_the_line_stage(spark):
+    rng = random.Random(3)
+    notice = "this notice stands on every page of the whole archive"
+    data, copies = [], set()
+    for i in range(0, 60, 3):
+        own = lines_of(rng, 20)
+        data.append((i, "\n".join([*own, notice])))
+        if i % 2:
+            # A near copy with one other line, and an exact one.
+            data += [(i + 1, "\n".join([*own[:9], *lines_of(rng, 1), *own[10:], notice])), (i + 2, "\n".join([*own, notice]))]
+            copies |= {i + 1, i + 2}
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    found = through(spark, docs, "line_dedup", "near_duplicates")
+    assert set(found) == {i for i, _ in data} - copies
+    # The notice of many unrelated texts is cut from all but one of them, and nothing else is.
+    whole = dict(data)
+    assert sum(notice in t for t in found.values()) <= 1
+    assert all(t.replace("\n" + notice, "") == whole[i].replace("\n" + notice, "") for i, t in found.items())
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert through(spark, docs, "line_dedup", "near_duplicates", "source_mix") == {}

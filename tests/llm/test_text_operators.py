@@ -176,6 +176,19 @@ def test_a_passage_of_two_documents_goes_from_the_second(spark):
         assert found[i].text == texts[i] and found[40 + i].n_dropped == 1 and p not in found[40 + i].text
 
 
+def test_lines_of_null_ids_and_of_families(spark):
+    shared = "a line that two rows without an id hold"
+    found = templates.drop_lines(spark.createDataFrame(rows([]) + [(None, f"{w}\n{shared}", None, "s", None) for w in ("one", "two", "two")], DOCS)).collect()
+    # One text keeps the line, in all its rows.
+    assert sorted(r.n_dropped for r in found) in ([0, 0, 1], [0, 1, 1])
+    data = [(1, 10, 7, "own one\n" + shared), (2, 20, 7, "own two\n" + shared)]
+    df = spark.createDataFrame(data, "doc_id long, node long, family long, text string")
+    cut = lambda x: {r.doc_id: r.n_dropped for r in templates.drop_lines(x, ["doc_id", "text"], "node", "family").collect()}
+    assert cut(df) == {1: 0, 2: 0}
+    more = df.unionByName(spark.createDataFrame([(3, 30, 30, "own three\n" + shared), (4, 40, 2, shared)], "doc_id long, node long, family long, text string"))
+    assert cut(more) == {1: 1, 2: 1, 3: 1, 4: 0}
+
+
 def test_template_keys_share_a_wild_run():
     a = templates.template_keys("alpha beta gamma one two three four five six seven eight nine")
     b = templates.template_keys("alpha beta gamma one two other words five six seven eight nine")
