@@ -21,33 +21,42 @@ def median_values(df: DataFrame, columns: list[str]) -> dict[str, float]:
     best written first.
     """
     ends = df.selectExpr(
-        *[f"percentile_approx({_number(c)}, array(0.497, 0.503), {_SKETCH}) AS e{i}" for i, c in enumerate(columns)],
-        *[f"count({_number(c)}) AS n{i}" for i, c in enumerate(columns)],
+        *[f"percentile_approx({as_number(c)}, array(0.497, 0.503), {_SKETCH}) AS e{i}" for i, c in enumerate(columns)],
+        *[f"count({as_number(c)}) AS n{i}" for i, c in enumerate(columns)],
     ).first()
-    filled = [i for i in range(len(columns)) if ends[f"n{i}"] > 0]
-    if not filled:
-        return {}
-    columns, counts = [columns[i] for i in filled], [ends[f"n{i}"] for i in filled]
-    brackets = [ends[f"e{i}"] for i in filled]
-    ranks = [sorted({(n - 1) // 2, n // 2}) for n in counts]
+    return bracketed_medians(df, {c: tuple(ends[f"e{i}"]) for i, c in enumerate(columns) if ends[f"n{i}"] > 0})
+
+
+def bracketed_medians(df: DataFrame, around: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """The exact median of every column from a guess (low, high) of where it lies; columns without a value are left out.
 
-    long = df.selectExpr(f"posexplode(array({', '.join(map(_number, columns))})) AS (i, value)").where("value IS NOT NULL")
+    The guess decides how much the last pass has to count one by one, never the result.
+    """
+    if not around:
+        return {}
+    columns, brackets = list(around), list(around.values())
+    long = df.selectExpr(f"posexplode(array({', '.join(map(as_number, columns))})) AS (i, value)").where("value IS NOT NULL")
     binned = long.selectExpr("i", "value", f"{_bin(brackets)} AS bin")
-    asked = f"explode({_nested(ranks, 'BIGINT')}[i]) AS rank"
+    total = "sum(n) OVER (PARTITION BY i) AS total"
+    middle = "explode(array_distinct(array((total - 1) DIV 2, total DIV 2))) AS rank"
     here = "before <= rank AND rank < before + n"
 
     hits = (
         binned.groupBy("i", "bin")
         .agg(F.count("*").alias("n"))
-        .selectExpr("*", "sum(n) OVER (PARTITION BY i ORDER BY bin) - n AS before")
-        .selectExpr("*", asked)
+        .selectExpr("*", "sum(n) OVER (PARTITION BY i ORDER BY bin) - n AS before", total)
+        .selectExpr("*", middle)
         .where(here)
-        .select("i", "bin", "before")
-        .distinct()
+        .select("i", "bin", "before", "rank")
         .collect()
     )
-    bins = [[h.bin for h in hits if h.i == i] for i in range(len(columns))]
-    before = [[h.before for h in hits if h.i == i] for i in range(len(columns))]
+    if not hits:
+        return {}
+    # Bin -2 does not occur: a column without values finds none.
+    ranks = [sorted({h.rank for h in hits if h.i == i}) or [0] for i in range(len(columns))]
+    found = [sorted({(h.bin, h.before) for h in hits if h.i == i}) or [(-2, 0)] for i in range(len(columns))]
+    bins, before = [[b for b, _ in f] for f in found], [[n for _, n in f] for f in found]
+    asked = f"explode({_nested(ranks, 'BIGINT')}[i]) AS rank"
     place = f"CAST(array_position({_nested(bins, 'INT')}[i], bin) AS INT)"
     # The window sees the distinct values of one narrow bin.
     rows = (
@@ -65,7 +74,7 @@ def median_values(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {columns[r.i]: r.median for r in rows}
 
 
-def _number(c: str) -> str:
+def as_number(c: str) -> str:
     return f"nanvl(CAST(`{c}` AS DOUBLE), NULL)"
 
 
@@ -93,4 +102,4 @@ def _bin(brackets: list[list[float]]) -> str:
 
 def approximate_medians(df: DataFrame, columns: list[str], accuracy: int = 10_000) -> DataFrame:
     """One pass, rank error at most ``1/accuracy``: for runs where the exact value does not matter."""
-    return df.selectExpr(*[f"percentile_approx({_number(c)}, 0.5, {accuracy}) AS `{c}`" for c in columns])
+    return df.selectExpr(*[f"percentile_approx({as_number(c)}, 0.5, {accuracy}) AS `{c}`" for c in columns])

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stationcast.operators import features, importance, metrics, quantiles, scoring, training
+from stationcast.operators import features, importance, metrics, quantiles, rolling, scoring, training
 from stationcast.operators.series import over_series
 from stationcast.schemas import FEATURES
 from stationcast.session import workspace
@@ -34,14 +34,21 @@ def train(
     lookback_days: int | None = 365,
     learner: Estimator | None = None,
     snapshots_path: str | None = None,
+    sketches_path: str | None = None,
 ) -> DataFrame:
     """Fit on the last ``lookback_days`` (None: on all readings) and save the model with its medians (M1, M2, M8, K7, K8).
 
+    With ``sketches_path``, quantile sketches per month are kept there and a daily run sketches the newest month only.
     Returns the transition statistics of the training rows.
     """
     as_of = as_of or newest_time(spark, silver_path)
     rows = prepare(read_silver(spark, silver_path, None if lookback_days is None else lookback_days * 24, as_of=as_of))
-    medians = quantiles.median_values(rows, FEATURES)
+    if sketches_path is not None and lookback_days is not None:
+        start = as_of - dt.timedelta(days=lookback_days)
+        rolling.refresh(rows, sketches_path, FEATURES, start, as_of)
+        medians = rolling.window_medians(rows, sketches_path, FEATURES, start - dt.timedelta(hours=1), as_of)
+    else:
+        medians = quantiles.median_values(rows, FEATURES)
     model = training.fit(training.impute(training.with_weights(rows), medians), learner)
     save_artifacts(spark, model, medians, model_dir)
     if snapshots_path is not None:

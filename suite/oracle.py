@@ -124,6 +124,12 @@ ORACLE["feature_medians"] = TRAIN + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, round(median({f}), 6) + 0.0 AS median FROM train" for f in FEATURES
 )
 
+ORACLE["rolling_medians"] = TRAIN + " UNION ALL ".join(
+    f"SELECT '{until}' AS until, '{f}' AS feature, round(median({f}), 6) + 0.0 AS median FROM train "
+    f"WHERE \"timestamp\" > TIMESTAMP '{until}' - INTERVAL 10 DAY AND \"timestamp\" <= TIMESTAMP '{until}'"
+    for until in ("2024-01-15 07:30:00", "2024-01-16 07:30:00", "2024-01-17 07:30:00") for f in FEATURES
+)
+
 ORACLE["cyclic_time"] = f"""
 SELECT event_id, round({_cyclic('hour', 24, 'sin', 'ts')}, 6) + 0.0 AS hour_sin,
   round({_cyclic('hour', 24, 'cos', 'ts')}, 6) + 0.0 AS hour_cos,

@@ -21,6 +21,7 @@ from stationcast.operators import (
     moments,
     quantiles,
     reports,
+    rolling,
     scoring,
     series,
     training,
@@ -97,6 +98,23 @@ def feature_medians(spark, d):
     return spark.createDataFrame(list(values.items()), "feature string, median double")
 
 
+# Fixed times of the query; ``suite/oracle.py`` uses the same.
+ROLLING_ENDS, ROLLING_DAYS = ("2024-01-15 07:30:00", "2024-01-16 07:30:00", "2024-01-17 07:30:00"), 10
+
+
+@query
+def rolling_medians(spark, d):
+    """A1, M8: medians of a window that moves on by a day, from sketches kept per day"""
+    rows = _stored(spark, feature_ops.training_features(readings(spark, d)))
+    path, out = workspace(spark, "sketches"), []
+    for until in ROLLING_ENDS:
+        end = dt.datetime.fromisoformat(until).replace(tzinfo=dt.timezone.utc)
+        start = end - dt.timedelta(days=ROLLING_DAYS)
+        rolling.refresh(rows, path, FEATURES, start, end, unit="day")
+        out += [(until, c, m) for c, m in rolling.window_medians(rows, path, FEATURES, start, end, unit="day").items()]
+    return spark.createDataFrame(out, "until string, feature string, median double")
+
+
 @query
 def cyclic_time(spark, d):
     """H3, H4"""
