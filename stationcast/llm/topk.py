@@ -7,9 +7,11 @@ feature vectors, and it tightens with the number of segments.
 
 Queries and rows are dealt into cells of a grid (query block, row block), each of bounded size. In a cell
 the coarsest bounds of all pairs pick likely neighbours, whose exact scores set a threshold per query; pairs
-whose bound is below it go, coarse to fine, and the survivors get their exact integer score. A cell keeps
-the k best rows of each of its queries, and a last window keeps the k best of all cells. Every row is
-compared or ruled out by a bound, so the result is exact.
+whose bound is below it go, coarse to fine, and the survivors get their exact integer score. The finest level
+has half as many bound features as a vector of 64 has components. The first row block is searched before the
+others: the k-th best score a query has there is its least threshold in all other cells. A cell keeps the k
+best rows of each of its queries, and a last window keeps the k best of all cells. Every row is compared or
+ruled out by a bound, so the result is exact.
 
 Vectors that are null or hold a null or non-finite component take no part; vectors are only compared with
 vectors of the same length. Repeated (id, vector) rows count once. Ties go to the smaller id. Ids are not
@@ -22,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stationcast.llm.common import stored
+
 QUERY_BLOCK = 1024
 ROW_BLOCK = 8192
-LEVELS = (4, 16, 32)
+LEVELS = (4, 8, 16)
 CHUNK = 64
 # Up to this share of surviving pairs a level works on the pairs, above it on the whole block.
 SPARSE = 0.02
@@ -58,9 +62,32 @@ def _threshold(queries: np.ndarray, rows: np.ndarray, bound: np.ndarray, k: int)
     return -np.sort(-scores, axis=1)[:, k - 1]
 
 
-def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, levels=LEVELS):
-    """(query position, row position, score) of the k best rows per query, the query's own id left out."""
+def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Integer inner products of all queries with all rows; in doubles where those hold every partial sum."""
+    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
+    if largest < 2**53:
+        return (queries.astype(float) @ rows.astype(float).T).astype(np.int64)
+    return queries @ rows.T
+
+
+def _products(queries: np.ndarray, rows: np.ndarray, qi: np.ndarray, ri: np.ndarray, dtype) -> np.ndarray:
+    """Inner product of each listed pair, in steps of bounded memory."""
+    out = np.empty(len(qi), dtype)
+    for a in range(0, len(qi), 1 << 17):
+        i, j = qi[a : a + (1 << 17)], ri[a : a + (1 << 17)]
+        out[a : a + len(i)] = np.einsum("nd,nd->n", queries[i], rows[j])
+    return out
+
+
+def best_in_block(
+    queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, levels=LEVELS, known: np.ndarray | None = None
+):
+    """(query position, row position, score) of the k best rows per query, the query's own id left out.
+
+    ``known`` holds a score per query that k rows elsewhere are known to reach: lower scores are left out.
+    """
     exact_q, exact_r = queries.astype(np.int64), rows.astype(np.int64)
+    known = np.full(len(queries), -np.inf) if known is None else known
     q_feat = [segment_features(queries.astype(float), n) for n in levels]
     r_feat = [segment_features(rows.astype(float), n) for n in levels]
     # Rounding of the bounds, relative to the largest norms in the block.
@@ -69,7 +96,7 @@ def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
     for start in range(0, len(queries), CHUNK):
         q = np.arange(start, min(start + CHUNK, len(queries)))
         alive = query_ids[q][:, None] != row_ids[None, :]
-        least, qi, ri = np.full(len(q), -np.inf), None, None
+        least, qi, ri = known[q].astype(float), None, None
         for fq, fr in zip(q_feat, r_feat):
             if qi is None:
                 bound = np.where(alive, fq[q] @ fr.T, -np.inf)
@@ -78,17 +105,18 @@ def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
                 if alive.mean() <= SPARSE:
                     qi, ri = np.nonzero(alive)
             else:
-                ok = np.zeros(len(qi), bool)
-                for a in range(0, len(qi), 1 << 17):
-                    i, j = qi[a : a + (1 << 17)], ri[a : a + (1 << 17)]
-                    ok[a : a + len(i)] = np.einsum("nd,nd->n", fq[q[i]], fr[j]) >= least[i] - slack
+                ok = _products(fq[q], fr, qi, ri, float) >= least[qi] - slack
                 qi, ri = qi[ok], ri[ok]
         if qi is None:
-            qi, ri = np.nonzero(alive)
-        score = np.empty(len(qi), np.int64)
-        for a in range(0, len(qi), 1 << 17):
-            i, j = qi[a : a + (1 << 17)], ri[a : a + (1 << 17)]
-            score[a : a + len(i)] = np.einsum("nd,nd->n", exact_q[q[i]], exact_r[j])
+            # Many survivors: exact scores of the rows that survive for any query, then of the surviving pairs only.
+            some = np.flatnonzero(alive.any(axis=0))
+            all_scores = _exact(exact_q[q], exact_r[some])
+            qi, at = np.nonzero(alive[:, some] & (all_scores >= least[:, None] - slack))
+            ri, score = some[at], all_scores[qi, at]
+        else:
+            score = _products(exact_q[q], exact_r, qi, ri, np.int64)
+            ok = score >= least[qi] - slack
+            qi, ri, score = qi[ok], ri[ok], score[ok]
         order = np.lexsort((row_ids[ri], -score, qi))
         qi, ri, score = qi[order], ri[order], score[order]
         first = np.searchsorted(qi, qi)
@@ -113,18 +141,31 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.withColumn("dims", F.size("v"))
     cells = ["dims", "qb", "rb"]
-    asked = rows.where(is_query).withColumn("qb", block(query_blocks)).withColumn("rb", every(row_blocks))
-    against = rows.withColumn("rb", block(row_blocks)).withColumn("qb", every(query_blocks))
+    asked = rows.where(is_query).withColumn("qb", block(query_blocks))
+    dealt = rows.withColumn("rb", block(row_blocks))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, names)
         (query_ids, queries), (row_ids, vecs) = _matrix(left), _matrix(right)
-        qi, ri, score = best_in_block(queries, query_ids, vecs, row_ids, k)
+        known = left.column("least").to_numpy()
+        qi, ri, score = best_in_block(queries, query_ids, vecs, row_ids, k, known=known)
         return pa.table([pa.array(query_ids[qi]), pa.array(row_ids[ri]), pa.array(score)], names)
 
-    best = asked.groupBy(*cells).cogroup(against.groupBy(*cells)).applyInArrow(search, "query_id long, vec_id long, score long")
+    def in_cells(queries: DataFrame, first: int, last: int) -> DataFrame:
+        left = queries.withColumn("rb", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        left = left.select(*[F.col(c).alias(c) for c in ("id", "v", "least", *cells)])
+        right = dealt.where(F.col("rb").between(first, last)).withColumn("qb", every(query_blocks))
+        return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(search, "query_id long, vec_id long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = in_cells(asked.withColumn("least", F.lit(float("-inf"))), 0, 0)
+    if row_blocks > 1:
+        best = stored(df.sparkSession, best, "first_block")
+        nth = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+        reached = nth.select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least"))
+        others = asked.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        best = best.unionByName(in_cells(others, 1, row_blocks - 1))
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

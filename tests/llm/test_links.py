@@ -134,3 +134,27 @@ def test_top_k_equals_brute_force_with_ties(spark):
         assert [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in best]
     assert [(r.vec_id, r.score, r.rank) for r in found if r.query_id == 1020] == [(1021, 64 * 64 + 64 * 32, 1)]
     assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_top_k_over_many_cells_shares_thresholds_and_keeps_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROW_BLOCK", 60)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(10)
+    # A third of the rows are one vector, so that scores tie across cells; ids repeat with another vector.
+    m = np.round(rng.normal(size=(400, 64)), 1)
+    m[::3] = m[0]
+    data = [(i, v.tolist()) for i, v in enumerate(m)]
+    found = topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=20).collect()
+    v = np.floor(64 * m).astype(int)
+    for q in range(0, 400, 20):
+        best = sorted(((-int(v[q] @ v[i]), i) for i in range(400) if i != q))[:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(i, -s) for s, i in best]
+
+
+def test_large_integers_are_multiplied_exactly():
+    rng = np.random.default_rng(11)
+    q, r = rng.integers(-(2**28), 2**28, (4, 8)), rng.integers(-(2**28), 2**28, (30, 8))
+    qi, ri, score = topk.best_in_block(q, np.arange(4) + 100, r, np.arange(30), 5)
+    for i in range(4):
+        best = sorted(((-int(sum(int(a) * int(b) for a, b in zip(q[i], x))), j) for j, x in enumerate(r)))[:5]
+        assert [(int(ri[n]), int(score[n])) for n in np.flatnonzero(qi == i)] == [(j, -s) for s, j in best]
