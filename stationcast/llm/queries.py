@@ -89,7 +89,11 @@ def op8_toxicity(spark, d):
 
 @query
 def op9_secret_ledger(spark, d):
-    return secrets.described(secrets.scan(spark, table(spark, d, "documents"), workspace(spark, "ledger")))
+    """Two commits: about half of the documents under the earlier rules, then all of them under the present ones."""
+    docs = table(spark, d, "documents")
+    first = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)) == 0)
+    commits = [(first, secrets.EARLIER), (docs, secrets.RULES)]
+    return secrets.described(secrets.scan_history(spark, commits, workspace(spark, "ledger")))
 
 
 def round_trip(spark: SparkSession, docs: DataFrame) -> DataFrame:

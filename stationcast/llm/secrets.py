@@ -46,6 +46,8 @@ ADDED = (
     Rule("personal", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + ADDED
+# The rules before ``personal`` learned longer tokens.
+EARLIER = BASE + (ADDED[0], Rule("personal", r"gh[pousr]_[A-Za-z0-9]{36}", version=0))
 
 
 def blob_id(text: Column) -> Column:
@@ -105,6 +107,16 @@ def scan(spark: SparkSession, df: DataFrame, ledger_path: str, rules=RULES, id_c
     return paths.join(per_blob, "blob", "left").select("doc_id", "blob", "found")
 
 
+def scan_history(spark: SparkSession, commits: list[tuple[DataFrame, tuple[Rule, ...]]], ledger_path: str) -> DataFrame:
+    """Scan (documents, rules in force) of every commit in turn; the paths of the last one with their findings.
+
+    A later commit costs what it adds: blobs that no commit held, and rules whose version is new.
+    """
+    for docs, rules in commits:
+        found = scan(spark, docs, ledger_path, rules)
+    return found
+
+
 def described(found: DataFrame, rules=RULES) -> DataFrame:
     """Counts per base kind, the digest of the base spans, and all spans as text, from the rows of ``scan``."""
     names = [r.name for r in rules]

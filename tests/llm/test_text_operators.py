@@ -260,3 +260,31 @@ def test_secret_spans_equal_brute_force_and_the_ledger_grows_once(spark, tmp_pat
     assert secrets.scan(spark, df, ledger, newer).count() == len(SECRETS) + 5
     assert spark.read.parquet(ledger).count() == n + len(SECRETS) - 1
     assert secrets.scan(spark, df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_a_second_commit_scans_only_new_blobs_and_newer_rules(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    # One blob holds a third of all rows.
+    df = spark.createDataFrame(rows(SECRETS + [SECRETS[3]] * 6), DOCS)
+    first = df.where("doc_id < 5")
+    found = secrets.described(secrets.scan_history(spark, [(first, secrets.EARLIER), (df, secrets.RULES)], ledger)).collect()
+    assert {r.doc_id: r.spans for r in found} == {
+        r.doc_id: r.spans for r in secrets.described(secrets.scan(spark, df, str(tmp_path / "alone"))).collect()
+    }
+    blob = {t or "": hashlib.sha256((t or "").encode()).hexdigest() for t in SECRETS}
+    seen = {blob[t or ""] for t in SECRETS[:5]}
+    expected = {(b, r.name, r.version) for b in seen for r in secrets.EARLIER}
+    # Of blobs seen before only the rule with a newer version, of new blobs every rule, each once.
+    expected |= {(b, "personal", 1) for b in seen} | {(b, r.name, r.version) for b in set(blob.values()) - seen for r in secrets.RULES}
+    written = [(r.blob, r.rule, r.version) for r in spark.read.parquet(ledger).collect()]
+    assert set(written) == expected and len(written) == len(expected)
+
+
+def test_the_first_tier_opens_a_bounded_number_of_files(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(200).selectExpr("id AS doc_id", "concat('word', id % 9) AS text").repartition(12).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert len(df.inputFiles()) == 12
+    few = token_counts.sampled(df, files=3)
+    assert 0 < few.count() < 200
+    assert set(token_counts.frequent_words(df)) <= {f"word{i}" for i in range(9)}
