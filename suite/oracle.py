@@ -442,6 +442,23 @@ SELECT CAST(event_id AS VARCHAR) AS city_slug, CAST(floor(epoch(ts)) AS BIGINT)
   CAST(user_id AS INTEGER) AS weather_id, event_type AS weather_main
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)"""
 
+SHAPES = "shaped AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
+ORACLE["landed_any_shape"] = _with(SHAPES) + """
+SELECT 'User ' || user_id AS city, 'user-' || user_id AS city_slug, CAST(floor(epoch(ts)) AS BIGINT) AS dt,
+  date_trunc('second', ts) AS "timestamp", CASE WHEN k % 8 <> 4 THEN CAST(1 + k % 6 AS INTEGER) END AS aqi,
+  CASE WHEN k % 8 = 1 THEN k + 0.5::DOUBLE END AS co,
+  CASE k % 8 WHEN 3 THEN k + 0.25::DOUBLE WHEN 6 THEN k::DOUBLE WHEN 7 THEN k::DOUBLE END AS pm10,
+  """ + ", ".join(f"NULL::DOUBLE AS {c}" for c in POLLUTANTS if c not in ("co", "pm10")) + """
+FROM shaped WHERE k % 8 NOT IN (0, 5)"""
+ORACLE["landed_unread"] = _with(SHAPES) + """
+SELECT 'user-' || user_id AS city_slug, path, CASE path WHEN 'list[0].components.dust' THEN CAST(k AS VARCHAR) ELSE text END AS value
+FROM shaped JOIN (VALUES (1, 'list[0].components.dust', ''), (1, 'list[0].note', '"n"'),
+  (4, 'list[0].components.pm10', '"n/a"'), (4, 'list[0].main', '"none"')) AS odd(shape, path, text) ON k % 8 = shape"""
+ORACLE["landed_rejects"] = _with(SHAPES) + """
+SELECT CASE WHEN k % 8 = 0 THEN '{"city_slug":"user-' || user_id
+  ELSE '{"city":"User ' || user_id || '","city_slug":"user-' || user_id || '","list":5}' END AS line
+FROM shaped WHERE k % 8 IN (0, 5)"""
+
 LINES = """
 lines AS (
   SELECT *, k % 11 <> 0 AND event_type <> 'error' AS good

@@ -31,7 +31,7 @@ from stationcast.plans import scores as score_plans
 from stationcast.plans.routes import Routes
 from stationcast.schemas import AIR_RESPONSE, FEATURES, POLLUTANTS, PREDICTION, READING, SILVER, WEATHER_RESPONSE
 from stationcast.sinks import tables as sinks
-from stationcast.sources import artifacts, chunks, dimensions, responses, tables as sources
+from stationcast.sources import artifacts, chunks, dimensions, responses, tables as sources, variants
 from stationcast.streaming import ingest, joins as stream_joins, lag_state, predictions as drain
 from suite import forest as small_forest
 from suite.folder import with_folder
@@ -516,6 +516,40 @@ def weather_flatten(spark, d):
     )
 
 
+def _lines_of_any_shape(spark, d):
+    """One air response per event, its shape by the event's number: cut off, no list, added, missing and retyped fields."""
+    return table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).selectExpr(
+        """CASE WHEN k % 8 = 0 THEN '{"city_slug":"user-' || user_id ELSE
+           '{"city":"User ' || user_id || '","city_slug":"user-' || user_id || '","list":' ||
+           CASE WHEN k % 8 = 5 THEN '5}' ELSE
+             '[{"dt":' || unix_timestamp(CAST(ts AS TIMESTAMP)) || ',"main":' ||
+             CASE k % 8 WHEN 3 THEN '{"aqi":"' || (1 + k % 6) || '"}' WHEN 4 THEN '"none"' ELSE '{"aqi":' || (1 + k % 6) || '}' END ||
+             CASE k % 8 WHEN 1 THEN ',"components":{"co":' || k || '.5,"dust":' || k || '},"note":"n"'
+                        WHEN 2 THEN ''
+                        WHEN 3 THEN ',"components":{"pm10":"' || k || '.25"}'
+                        WHEN 4 THEN ',"components":{"pm10":"n/a","o3":null}'
+                        ELSE ',"components":{"pm10":' || k || '}' END || '}]}' END END AS value"""
+    )
+
+
+@query
+def landed_any_shape(spark, d):
+    """Known fields of responses whose shape changes"""
+    return responses.flatten_air(variants.read_any(_lines_of_any_shape(spark, d), AIR_RESPONSE)[0])
+
+
+@query
+def landed_unread(spark, d):
+    """What the known fields leave out"""
+    return variants.unread_values(variants.read_any(_lines_of_any_shape(spark, d), AIR_RESPONSE)[0])
+
+
+@query
+def landed_rejects(spark, d):
+    """Lines that hold no records"""
+    return variants.read_any(_lines_of_any_shape(spark, d), AIR_RESPONSE)[1]
+
+
 def _prediction_lines(spark, d):
     """One buffered line per event; some are cut off, some lack a field."""
     iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
