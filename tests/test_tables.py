@@ -214,3 +214,25 @@ def test_gold_append_is_keyed(spark, tmp_path, repeat):
         sinks.append_predictions(spark, df, path)
     found = sources.read_predictions(spark, path)
     assert found.count() == 2 and found.where("predicted = 1").first().confidence == 0.123457
+
+
+def test_bulk_folders_are_listed_in_few_tasks_and_swapped_only_where_months_are_replaced(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "bulk")
+    slugs = [f"s{n}" for n in range(100)]
+    rows = frame([reading(s, h, 2) for s in slugs for h in (0, 24 * 40)]).withColumn("dt", F.unix_timestamp("timestamp")).drop("source")
+    modes, save = [], type(rows.write).mode
+    monkeypatch.setattr(type(rows.write), "mode", lambda self, m: modes.append(m) or save(self, m))
+    sinks.write_bulk(rows, path)
+    sinks.write_bulk(rows.where("city_slug = 's7' and month(timestamp) = 1").withColumn("pm10", F.lit(1.5)), path)
+    assert [m for m in modes if m] == ["append", "overwrite"]
+
+    spark.sparkContext.setJobGroup("listing", "")
+    back = sources.read_bulk(spark, path)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [tracker.getStageInfo(s).numTasks for s in stages]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 64
+    found = {(r.city_slug, r.month): r.pm10 for r in back.collect()}
+    assert len(found) == back.count() == 200
+    assert {k: v for k, v in found.items() if v != 20.0} == {("s7", "01"): 1.5}
