@@ -4,7 +4,7 @@ Both tokenizers encode the same bytes: a space and the text. Byte offsets where
 both end cut the bytes into groups. Most groups hold one token of each side, and they come in stretches in which
 the end of A's token i + k equals the end of B's token j + k. From a common boundary such a stretch is skipped by
 probing: slices of both end lists at the current shift j - i are compared, twice as long each time they agree,
-and halved again once they differ. What stops the stretch is an irregular group: it is closed by stepping the
+and one by one and from short slices again once they differ. What stops the stretch is an irregular group: it is closed by stepping the
 side that is behind until both ends meet, which sets a new shift.
 
 Two tokens are linked if their byte ranges overlap; every end of a token on either side closes one such overlap.
@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -48,17 +47,13 @@ def irregular(ends_a: list[int], ends_b: list[int]) -> list[int]:
     found: list[int] = []
     i = j = 0
     while i < n:
-        # A stretch of one-to-one groups: double while equal, then halve.
-        if a[i] == b[j]:
-            i, j, step = i + 1, j + 1, 2
+        # A stretch of one-to-one groups: double while equal, then begin anew.
+        while a[i] == b[j]:
+            i, j, step = i + 1, j + 1, 4
             while a[i : i + step] == b[j : j + step]:
                 i, j, step = i + step, j + step, 2 * step
-            while step > 1:
-                step >>= 1
-                if a[i : i + step] == b[j : j + step]:
-                    i, j = i + step, j + step
-            if i >= n:
-                break
+        if i >= n:
+            break
         # An irregular group: the side behind steps on until both ends meet.
         p, q = i, j
         x, y = a[p], b[q]
@@ -160,35 +155,57 @@ def _digests(a, b, cut_a, cut_b, rows_a, rows_b, tables) -> list[str]:
     return [hashlib.sha256(both[s:e].tobytes().translate(None, b"\0")[:-1]).hexdigest() for s, e in zip(edges, edges[1:])]
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a part in one array, and how many each row has."""
+    lists = pa.array(ids, pa.list_(pa.int32()))
+    return lists.values.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+
+
+class _Spelling:
+    """The bytes of all ids one after the other, to compare whole parts at once with what their tokens spell."""
+
+    def __init__(self, spelled: list[bytes]):
+        self.size = np.array([len(s) for s in spelled], np.int64)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def __call__(self, ids: np.ndarray, counts: np.ndarray, whole: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each row spell its bytes."""
+        size = self.size[ids]
+        ends = np.append(0, np.cumsum(size))
+        if ends[-1] >= 1 << 31:
+            raise ValueError("a part of more than two GB")
+        at = np.repeat(self.start[ids] - ends[:-1].astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)
+        found = self.bytes[at].tobytes()
+        edges = ends[np.append(0, np.cumsum(counts))].tolist()
+        return np.array([found[s:e] == w for s, e, w in zip(edges, edges[1:], whole)], bool)
+
+
 class _Pair:
     """Both tokenizers of a worker, with the lengths and the written ids of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = byte_tokens(path_a), piece_tokens(path_b)
-        self.size_a, self.size_b = (np.array([len(s) for s in t.spelled], np.int64) for t in (self.a, self.b))
+        self.spell_a, self.spell_b = _Spelling(self.a.spelled), _Spelling(self.b.spelled)
+        self.size_a, self.size_b = self.spell_a.size, self.spell_b.size
         most = max(len(self.size_a), len(self.size_b))
         if most > 10**7:
             raise ValueError("ids of more than seven digits")
         self.tables = [_written(most, after) for after in (",", "|", ";")]
 
-    def tokens(self, batch: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
-        """Which texts both sides spell alike, and their tokens."""
-        good, all_a, all_b = [], [], []
-        first, second = self.a.spelled.__getitem__, self.b.spelled.__getitem__
-        for k, (text, a, b) in enumerate(zip(batch, self.a.encode(batch), self.b.encode(batch))):
-            if text:
-                whole = b" " + text.encode()
-                if b"".join(map(second, b)) == whole and b"".join(map(first, a)) == whole:
-                    good.append(k)
-                    all_a.append(a)
-                    all_b.append(b)
-        return good, all_a, all_b
-
-    def rows(self, all_a: list[list[int]], all_b: list[list[int]]):
+    def tokens(self, batch: list[str]) -> tuple[list[int], list[np.ndarray]]:
+        """Which texts both sides spell alike; for A and then for B their tokens and how many each has."""
+        whole = [b" " + t.encode() for t in batch]
+        sides = [_flat(self.a.encode(batch)), _flat(self.b.encode(batch))]
+        good = np.array([bool(t) for t in batch], bool)
+        for spelling, side in zip((self.spell_a, self.spell_b), sides):
+            good &= spelling(*side, whole)
+        kept = [x for ids, counts in sides for x in (ids[np.repeat(good, counts)], counts[good])]
+        return np.flatnonzero(good).tolist(), kept
+
+    def rows(self, a: np.ndarray, counts_a: np.ndarray, b: np.ndarray, counts_b: np.ndarray):
         """Per row: groups, links and digest; then row, a, b and times of its distinct linked pairs."""
-        (a, rows_a), (b, rows_b) = (
-            (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))), np.cumsum([len(y) for y in x])) for x in (all_a, all_b)
-        )
+        rows_a, rows_b = np.cumsum(counts_a), np.cumsum(counts_b)
         # Byte offsets over all rows of the part: every row ends alike on both sides.
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         cut_a, cut_b = groups(ends_a, ends_b)
@@ -216,12 +233,12 @@ def aligned(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 n = part.num_rows
-                good, all_a, all_b = both.tokens(flat_text(part).to_pylist())
+                good, found = both.tokens(flat_text(part).to_pylist())
                 counts, digests = np.zeros((4, n), np.int64), np.full(n, "", object)
                 row = pair_a = pair_b = times = np.zeros(0, np.int64)
                 if good:
-                    n_groups, n_links, digests[good], row, pair_a, pair_b, times = both.rows(all_a, all_b)
-                    counts[:, good] = [len(x) for x in all_a], [len(x) for x in all_b], n_groups, n_links
+                    n_groups, n_links, digests[good], row, pair_a, pair_b, times = both.rows(*found)
+                    counts[:, good] = found[1], found[3], n_groups, n_links
                 ends = np.zeros(n, np.int64)
                 ends[good] = np.bincount(row, minlength=len(good))
                 offsets = pa.array(np.append(0, np.cumsum(ends)).astype(np.int32))

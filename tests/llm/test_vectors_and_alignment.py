@@ -158,3 +158,11 @@ def test_alignment_of_nothing(spark):
     assert alignment.align(spark, spark.createDataFrame([], DOCS), *how).collect() == []
     got = alignment.align(spark, spark.createDataFrame([(1, None, "", 0), (1, "", "", 0)], DOCS), *how).collect()
     assert [tuple(r) for r in got] == [(1, 0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_alignment_compares_whole_parts_with_what_tokens_spell():
+    spelling = alignment._Spelling([b"a", b"", b"bc", b"\xe2\x82", b"\xac"])
+    ids, counts = alignment._flat([[0, 2], [], [3, 4, 1], [2, 0], [0], []])
+    assert counts.tolist() == [2, 0, 3, 2, 1, 0]
+    found = spelling(ids, counts, [b"abc", b"", "€".encode(), b"abc", b"ab", b"a"])
+    assert found.tolist() == [True, True, True, False, False, False]
