@@ -97,3 +97,51 @@ def test_one_batch_with_many_rows_keeps_few():
     assert out["us"].tolist() == ["4996", "4997", "4998", "4999"] and out["aqi"].tolist() == [1.0, 2.0, 3.0, 4.0]
     out = pd.concat(last.handleInputRows(("a",), iter([again.assign(delivered=2)]), Now()))
     assert out["aqi"].isna().tolist() == [False, False, False, True] and len(kept) == 4
+
+
+def test_a_known_series_costs_one_read_and_one_write_of_its_state():
+    import pandas as pd
+
+    calls, kept = [], []
+
+    class Rows:
+        def get(self):
+            calls.append("get")
+            return iter(kept)
+
+        def put(self, rows):
+            calls.append("put")
+            kept[:] = rows
+
+        def clear(self):
+            calls.append("clear")
+            kept.clear()
+
+    class Handle:
+        def getListState(self, *_, **__):
+            return Rows()
+
+        def listTimers(self):
+            return iter([])
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.ms
+
+    last = lag_state.LastRows(4, 10, 10**12)
+    last.init(Handle())
+    values = {c: 1.0 for c in lag_state._VALUES}
+    for now in (1000, 1005):
+        part = pd.DataFrame([{"us": now, "delivered": 1, "file": "f", "line": 1, **values}])
+        list(last.handleInputRows(("a",), iter([part]), Now(now)))
+    assert calls == ["get", "put", 1010, "get", "put"]
+    # The timer of the first batch finds the rows of the second, the next one none.
+    assert not list(last.handleExpiredTimer(("a",), Now(1010), None)) and calls[5:] == ["get", 1020]
+    kept.clear()
+    assert not list(last.handleExpiredTimer(("a",), Now(1020), None)) and calls[7:] == ["get", "clear"]
