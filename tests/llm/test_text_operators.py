@@ -288,3 +288,17 @@ def test_the_first_tier_opens_a_bounded_number_of_files(spark, tmp_path):
     few = token_counts.sampled(df, files=3)
     assert 0 < few.count() < 200
     assert set(token_counts.frequent_words(df)) <= {f"word{i}" for i in range(9)}
+
+
+def test_token_counts_do_not_depend_on_the_first_tier(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    data = [(i, f"Some words, unfitting{i} — naïve\ttext {'x' * i}\n", "en", "web", 0) for i in range(40)] + [(40, None, "en", "web", 0)]
+    df = spark.createDataFrame(data, DOCS)
+    found = []
+    for words in (["Some", "words,", "text"], ["elsewhere"], []):
+        monkeypatch.setattr(token_counts, "frequent_words", lambda *_, w=words: w)
+        found.append(sorted(map(tuple, token_counts.count_tokens(spark, df, path).collect())))
+    library = token_counts._tokenizer(open(path, encoding="utf-8").read())
+    texts = [t or "" for _, t, *_ in data]
+    exact = [(i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    assert found == [exact] * 3
