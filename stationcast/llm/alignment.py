@@ -21,14 +21,16 @@ of its own. Texts are handled in parts of a few MB, one longer text is a part of
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stationcast.llm.bpe import Codec, byte_characters
 from stationcast.llm.common import flat_text, slices, sums_per_list, stored, texts, worker_state
 
 FREQUENT = 1 << 20
@@ -93,35 +95,26 @@ def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Tokens(NamedTuple):
-    """A tokenizer: texts to lists of ids, and the bytes of each id."""
+    """A tokenizer: texts to all their ids in one array and how many each text has, and the bytes of each id."""
 
     encode: object
     spelled: list[bytes]
 
 
-def _byte_level() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
-
-
 def byte_tokens(path: str) -> Tokens:
-    """A byte-level BPE of the tokenizers library over a space and the text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_padding()
-    tokenizer.no_truncation()
-    tokenizer.encode_special_tokens = True
-    table = _byte_level()
-    spelled = [b""] * tokenizer.get_vocab_size()
-    for entry, i in tokenizer.get_vocab().items():
+    """A byte-level BPE over a space and the text: every distinct piece of a part is pre-tokenized and merged once."""
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    codec = Codec(spec, public_tokenizers.PATTERN, specials=False)
+    table = byte_characters()
+    vocab = {t["content"]: t["id"] for t in json.loads(spec)["added_tokens"]} | json.loads(spec)["model"]["vocab"]
+    spelled = [b""] * (max(vocab.values()) + 1)
+    for entry, i in vocab.items():
         spelled[i] = bytes(table[c] for c in entry) if all(c in table for c in entry) else entry.encode()
 
-    def encode(batch: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([" " + t for t in batch], add_special_tokens=False)]
+    def encode(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        packed = codec.encode_all(pa.array([" " + t for t in batch], pa.string()))
+        return np.frombuffer(b"".join(packed), "<u4").astype(np.int64), np.array([len(p) // 4 for p in packed], np.int64)
 
     return Tokens(encode, spelled)
 
@@ -133,7 +126,7 @@ def piece_tokens(path: str) -> Tokens:
     model = SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     spelled = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return Tokens(lambda batch: model.encode(batch, num_threads=1), spelled)
+    return Tokens(lambda batch: _flat(model.encode(batch, num_threads=1)), spelled)
 
 
 def _written(n: int, after: str) -> np.ndarray:
@@ -196,7 +189,7 @@ class _Pair:
     def tokens(self, batch: list[str]) -> tuple[list[int], list[np.ndarray]]:
         """Which texts both sides spell alike; for A and then for B their tokens and how many each has."""
         whole = [b" " + t.encode() for t in batch]
-        sides = [_flat(self.a.encode(batch)), _flat(self.b.encode(batch))]
+        sides = [self.a.encode(batch), self.b.encode(batch)]
         good = np.array([bool(t) for t in batch], bool)
         for spelling, side in zip((self.spell_a, self.spell_b), sides):
             good &= spelling(*side, whole)

@@ -151,9 +151,12 @@ def merge_lanes(ids: np.ndarray, pairs: Pairs) -> list[bytes]:
 
 
 class Codec:
-    """Encoder and decoder made from the text of a byte-level tokenizer file and its pre-token pattern."""
+    """Encoder and decoder made from the text of a byte-level tokenizer file and its pre-token pattern.
 
-    def __init__(self, spec: str, pattern: str):
+    Without ``specials`` the strings of special tokens inside texts are plain text.
+    """
+
+    def __init__(self, spec: str, pattern: str, specials: bool = True):
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -175,6 +178,8 @@ class Codec:
             self.bytes[i] = token
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
+        if not specials:
+            self.added = {t["content"]: t["id"] for t in described["added_tokens"] if not t["special"]}
         self.findall = regex.compile(pattern).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.whole = f"[ ][{WHITE_SPACE}]" + "".join("|" + regex.escape(t).replace("<", "\\x3c").replace(">", "\\x3e") for t in self.added)

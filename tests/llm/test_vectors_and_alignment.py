@@ -166,3 +166,14 @@ def test_alignment_compares_whole_parts_with_what_tokens_spell():
     assert counts.tolist() == [2, 0, 3, 2, 1, 0]
     found = spelling(ids, counts, [b"abc", b"", "€".encode(), b"abc", b"ab", b"a"])
     assert found.tolist() == [True, True, True, False, False, False]
+
+
+def test_alignment_tokens_equal_the_library_with_special_strings_as_text():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    texts = ["a", "  two  spaces ", "line\n\nbreak \n end\t", "x<|endoftext|> y  <|endoftext|>z", "naïve Σς ǅ İ ࢏", "日本語 🙂", "don't I'M", "x" * 300, "ab " * 50]
+    ids, counts = alignment.byte_tokens(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
+    wanted = [lib.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
