@@ -133,6 +133,25 @@ def test_rare_toxic_labels_keep_their_share_above_the_sample_size(spark, monkeyp
     assert seen and all(w == weight for w in seen)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    # 1800 rows of either label with words of their own: a sample of 1500 a label would leave some of them out.
+    data = [(i, f"text with own{i}" + (" vilest thing" if i % 2 else ""), "en" if i % 3 else "de", "s", 9) for i in range(3600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3600)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(data, DOCS)
+    stored = toxicity.labelled_words(spark, docs, labels, F.lit(True))
+    assert stored.count() == 3600 and 500 < stored.where("held").count() < 940
+    seen = []
+    monkeypatch.setattr(toxicity, "_start_from_counts", lambda model, counts, total, f=toxicity._start_from_counts: (seen.append((counts, total)), f(model, counts, total)))
+    model = toxicity.learn(spark, docs, labels, F.lit(True), epochs=1, shard_rows=1000)
+    fitted = stored.where("not held").count()
+    assert sum(seen[0][1]) == fitted
+    assert seen[0][0]["word"][:, toxicity.word_features(["text"])[0, 0]].sum() >= fitted
+    assert model["languages"] == ["de", "en"] and len(model["shift"]) == 2
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert sum((found[i] >= 0.5) == bool(i % 2) for i in found) >= 3590
+    assert {r.score for r in toxicity.score(docs.limit(3), toxicity.learn(spark, docs, labels, F.lit(False))).collect()} == {0.0}
+
+
 def test_samples_take_one_row_per_repeated_id(spark):
     data = [(1 if i < 90 else i, f"text {i}", "en", "s", 9) for i in range(100)]
     df = spark.createDataFrame(data, DOCS)
