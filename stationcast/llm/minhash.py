@@ -319,7 +319,8 @@ def near_duplicates(
         signed = pairs.join(signs.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a")), "a").join(
             signs.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b"
         )
-        near = signed.mapInArrow(_alike(percent / 100 - SIGNATURE_SLACK), "a long, b long").distinct()
+        # ``pairs`` are distinct; only a repeated id with several signatures gives a pair again, which adds no link.
+        near = signed.mapInArrow(_alike(percent / 100 - SIGNATURE_SLACK), "a long, b long")
         full = near.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(
             sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b"
         )
