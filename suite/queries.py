@@ -750,13 +750,17 @@ def stream_upsert(spark, d):
     return sources.read_silver(spark, path, clamp=False)
 
 
+# Files that a delivery lands in, at most: a batch per file rewrites the months it touches, so their number must not grow with the rows.
+LANDED_FILES = 4
+
+
 def _redelivered(spark, d, files_per_batch):
     """The events, then those with an even id again with class 1; merged as a stream after each delivery."""
     land, path, checkpoint = (workspace(spark, n) for n in ("land", "silver", "checkpoint"))
     events = table(spark, d, "events")
     again = events.where(F.col("event_id") % 2 == 0).withColumn("props", F.lit('{"k": 0}'))
     for delivery in (events, again):
-        delivery.write.mode("append").parquet(land)
+        delivery.coalesce(LANDED_FILES).write.mode("append").parquet(land)
         stream = ingest.new_readings(spark, land, events.schema, files_per_batch)
         ingest.upsert_stream(stream, path, checkpoint, to_reading=events_as_readings).awaitTermination()
     return sources.read_silver(spark, path, clamp=False).select("city_slug", "timestamp", "aqi", "no")

@@ -1,5 +1,6 @@
 """Streams run to the end of what is there; running them again changes nothing."""
 
+import datetime as dt
 import json
 
 from conftest import at, reading
@@ -67,3 +68,21 @@ def test_repeats_within_the_delay_are_dropped(spark, frame, tmp_path):
     query = stream.writeStream.option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True)
     query.format("parquet").start(out).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_redelivery_lands_in_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    from suite import queries
+
+    rows = [(i, dt.datetime(2026, 1, 1) + dt.timedelta(hours=i), i % 3, "view", 1.0, '{"k": 2}') for i in range(48)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.repartition(12).write.parquet(str(tmp_path / "events.parquet"))
+    # Twelve files are read as twelve partitions.
+    monkeypatch.setattr(queries, "workspace", lambda _, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        assert spark.read.parquet(str(tmp_path / "events.parquet")).rdd.getNumPartitions() == 12
+        found = {(r.city_slug, r.timestamp): r.aqi for r in queries._redelivered(spark, str(tmp_path), 1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "land").glob("*.parquet"))) == 2 * queries.LANDED_FILES
+    assert sorted(found.values()) == [1] * 24 + [3] * 24
