@@ -118,13 +118,16 @@ def backtest(
     ts: str = "timestamp",
     stats: Profile | None = None,
     max_rows: int = MAX_SERIES_ROWS,
+    only: str | None = None,
 ) -> DataFrame:
     """A forecast for every row that has three rows before it and one after.
 
     The time is that of the forecast row. A series of n rows gives n - 4 results; below five rows
-    there are none.
+    there are none. ``only`` names a boolean column: rows where it does not hold are read but not forecast from.
     """
     features = serving_features(readings, medians, key, ts, stats, max_rows).where(F.col("ts_next").isNotNull())
+    if only is not None:
+        features = features.where(F.col(only)).drop(only)
     return forecast(features).select(
         key,
         F.col("ts_next").alias(ts),

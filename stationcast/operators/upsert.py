@@ -21,6 +21,7 @@ def upsert(
     keep: Sequence[str] = ("city",),
     source_order: Sequence[str] | None = None,
     unique: bool = False,
+    trace: bool = False,
 ) -> DataFrame:
     """Target with the source merged in.
 
@@ -28,6 +29,9 @@ def upsert(
     source rows are added. Several source rows with one key count as the first of them by
     ``source_order`` (default: by all columns; a leading minus orders downwards); ``unique`` says there are none. Null keys match
     nothing and are added.
+
+    With ``trace`` each row tells where it comes from: ``_old`` and ``_new`` say whether the target and the source have it, and
+    the target's values, other than the keys, stand in ``_was_`` columns.
     """
     columns = target.columns
     fresh, keyless = _first_by_key(source, columns, keys, source_order, unique)
@@ -45,8 +49,15 @@ def upsert(
             return f"CASE WHEN _old THEN `{c}` ELSE `_new_{c}` END AS `{c}`"
         return f"CASE WHEN _new THEN `_new_{c}` ELSE `{c}` END AS `{c}`"
 
-    merged = joined.selectExpr(*[pick(c) for c in columns])
-    return merged if keyless is None else merged.unionByName(keyless)
+    said = []
+    if trace:
+        said = ["coalesce(_old, false) AS _old", "coalesce(_new, false) AS _new", *[f"`{c}` AS `_was_{c}`" for c in columns if c not in keys]]
+    merged = joined.selectExpr(*[pick(c) for c in columns], *said)
+    if keyless is None:
+        return merged
+    if trace:
+        keyless = keyless.withColumns({"_old": F.lit(False), "_new": F.lit(True)})
+    return merged.unionByName(keyless, allowMissingColumns=trace)
 
 
 def _first_by_key(

@@ -7,10 +7,11 @@ from dataclasses import astuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stationcast.functions import clamp_class
 from stationcast.operators.features import Medians, readable
 from stationcast.operators.increments import merged_cells, signed_changes
 from stationcast.operators.scoring import Forecaster, persistence
-from stationcast.operators.series import Profile, profile
+from stationcast.operators.series import MAX_BROADCAST_ROWS, Profile, profile
 from stationcast.operators.upsert import table_or_none, upsert, upsert_table
 from stationcast.schemas import READING, SILVER
 from stationcast.sinks.files import children, exists
@@ -87,11 +88,15 @@ def merge_and_score(
     rows = readings.select(*[F.col(f.name).cast(f.dataType) for f in READING.fields]).where("city_slug is not null and timestamp is not null")
     if not log.holds(batch):
         before = None
+        sizes = [profile(rows, log.key)]
         if table_or_none(spark, silver_path, SILVER) is not None:
             before = read_silver(spark, silver_path, clamp=False).select(*READING.fieldNames())
-        after = readable(upsert(before if before is not None else rows.limit(0), rows))
-        sizes = [profile(x, log.key) for x in (before, rows) if x is not None]
+            sizes.append(profile(before, log.key))
+            keys = rows.select(log.key).distinct()
+            before = before.join(F.broadcast(keys) if sizes[0].series <= MAX_BROADCAST_ROWS else keys, log.key, "left_semi")
+        # Only touched series are merged here, and once: the rows say what they were.
+        after = readable(upsert(before if before is not None else rows.limit(0), rows, trace=True)).withColumn("_was_aqi", clamp_class("_was_aqi"))
         most = Profile(*(sum(x) for x in zip(*map(astuple, sizes))))
-        changes = signed_changes(None if before is None else readable(before), after, rows, forecast, medians, log.key, stats=most)
+        changes = signed_changes(before, after, rows, forecast, medians, log.key, stats=most)
         log.write(batch, changes)
     upsert_table(spark, silver_path, rows, SILVER)

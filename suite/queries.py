@@ -275,9 +275,10 @@ def accuracy_summary(spark, d):
 
 def _score_log(spark, d):
     """Silver filled by four batches, the third run twice: late hours, then corrected classes, then the newest hours."""
-    rows = silver(spark, d)
+    rows = _stored(spark, silver(spark, d))
     part = F.crc32(F.concat("city_slug", F.unix_timestamp("timestamp").cast("string")).cast("binary")) % 5
-    newest = F.col("timestamp") >= rows.agg(F.max("timestamp")).scalar() - F.expr("INTERVAL 2 DAYS")
+    last = rows.agg(F.unix_micros(F.max("timestamp"))).first()[0]
+    newest = F.col("timestamp") >= F.timestamp_micros(F.lit(last).cast("long")) - F.expr("INTERVAL 2 DAYS")
     first = rows.where(~newest & part.isin(0, 1)).withColumn("aqi", F.when(part == 1, 6 - F.col("aqi") % 3).otherwise(F.col("aqi")))
     batches = {
         "first": first,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stationcast.operators import increments, metrics, scoring
 from stationcast.operators.features import readable
+from stationcast.operators.series import Profile
 from stationcast.operators.upsert import upsert
 from stationcast.plans.scores import ScoreLog, merge_and_score
 from stationcast.sinks.files import remove
@@ -73,6 +74,21 @@ def test_keys_and_times_that_are_null_change_nothing(frame, spark):
     assert increments.signed_changes(None, rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_changes_take_one_pass_over_the_merged_readings(frame):
+    before = frame([reading("a", h, h % 6 + 1) for h in range(30)] + [reading("b", h, 2) for h in range(12)])
+    batch = frame([reading("a", h, 3) for h in (0.5, 12, 12.5, 12.7, 20, 40)] + [reading("b", -1, 4), reading("b", 3, 2)] + [reading("c", h, 1) for h in range(6)])
+    after = upsert(before, batch, trace=True)
+    told = {(r.city_slug, r.timestamp): (r._old, r._new, r._was_aqi) for r in after.where("_new").collect()}
+    assert sorted(told.values(), key=str) == [(False, True, None)] * 11 + [(True, True, 1), (True, True, 2), (True, True, 3)]
+    traced = readable(after).withColumn("_was_aqi", F.least("_was_aqi", F.lit(5)))
+    change = increments.signed_changes(readable(before), traced, batch, stats=Profile(100, 3, 100))
+    # Target, source, series of the merged rows, series of both sides, cells.
+    assert change._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 5
+    assert rows_of(increments.merged_cells([whole(before), change])) == rows_of(whole(after.select(*before.columns)))
+    generic = increments.signed_changes(readable(before), readable(after.select(*before.columns)), batch)
+    assert rows_of(generic) == rows_of(change)
+
+
 def test_scores_from_cells_equal_those_from_rows(frame):
     made = scoring.backtest(frame([reading(f"s{s}", h, (h * (s + 2)) % 5 + 1) for s in range(3) for h in range(40)]))
     state = increments.cells(made)
