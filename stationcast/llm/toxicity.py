@@ -425,15 +425,24 @@ def _histogram(sent):
     return run
 
 
-def labelled_words(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame:
-    """toxic, lang, held and hashed words of every labelled row with a text, written once. ``held`` is true for about one id in five."""
+def labelled_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame:
+    """toxic, lang, held and text of every labelled row with a text. ``held`` is true for about one id in five.
+
+    Texts are dealt by id at any size, so that what is exchanged grows with the rows and not in a step where the labels
+    get too large to be broadcast.
+    """
     marks = labels.where(learn_from & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     near = may_hold(rows.where("text is not null"), ["doc_id"], key_filter(spark, marks.select("doc_id"))).where("may_hold")
     order = F.xxhash64("doc_id")
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0
-    found = near.join(marks, "doc_id").select("doc_id", "text", "lang", "toxic", held.alias("held"))
-    found = found.sortWithinPartitions(order, "doc_id", "toxic", "text", "lang").select("toxic", "lang", "held", "text")
+    found = near.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "lang", "toxic", held.alias("held"))
+    return found.sortWithinPartitions(order, "doc_id", "toxic", "text", "lang").select("toxic", "lang", "held", "text")
+
+
+def labelled_words(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame:
+    """toxic, lang, held and hashed words of every labelled row with a text, written once."""
+    found = labelled_rows(spark, docs, labels, learn_from)
     return stored(spark, found.mapInArrow(_hashed, "toxic int, lang string, held boolean, words array<long>"), "labelled")
 
 

@@ -152,6 +152,15 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert {r.score for r in toxicity.score(docs.limit(3), toxicity.learn(spark, docs, labels, F.lit(False))).collect()} == {0.0}
 
 
+def test_labelled_texts_are_dealt_alike_at_any_size(spark):
+    docs = spark.createDataFrame([(1, "one", "en", "s", 3), (1, "two", "de", "s", 3), (2, None, "en", "s", 0), (3, "x", None, "s", 1), (None, "y", "en", "s", 1)], DOCS)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, toxic int")
+    found = toxicity.labelled_rows(spark, docs, labels, F.lit(True))
+    # The key filter is broadcast; the labels are not, however few.
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin [doc_id") == 1
+    assert sorted((r.text, r.toxic) for r in found.collect()) == [("one", 1), ("two", 1), ("x", 0), ("x", 1)]
+
+
 def test_samples_take_one_row_per_repeated_id(spark):
     data = [(1 if i < 90 else i, f"text {i}", "en", "s", 9) for i in range(100)]
     df = spark.createDataFrame(data, DOCS)
