@@ -21,19 +21,24 @@ of its own. Texts are handled in parts of a few MB, one longer text is a part of
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stationcast.llm.bpe import Codec, byte_characters
+from stationcast.llm.bpe import LONGEST_KEPT, PIECES, Codec, byte_characters
 from stationcast.llm.common import flat_text, slices, sums_per_list, stored, texts, worker_state
 
 FREQUENT = 1 << 20
+# Spaces, or what the piece model writes for them, and the word behind them.
+RUN = re.compile("[ ▁]+[^ ▁]*")
 _ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _PAIRS = "a array<int>, b array<int>, times array<int>"
 
@@ -78,8 +83,8 @@ def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for n, first, last in ((len(ends_a), *bounds[:2]), (len(ends_b), *bounds[2:])):
         # Inside a group only its last token ends it.
         inside = np.zeros(n + 1, np.int64)
-        np.add.at(inside, first, 1)
-        np.add.at(inside, last - 1, -1)
+        inside[first] += 1
+        inside[last - 1] -= 1
         cuts.append(np.flatnonzero(np.cumsum(inside)[:n] == 0) + 1)
     return cuts[0], cuts[1]
 
@@ -126,7 +131,80 @@ def piece_tokens(path: str) -> Tokens:
     model = SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     spelled = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return Tokens(lambda batch: _flat(model.encode(batch, num_threads=1)), spelled)
+    return Tokens(_Words(model).encode if _apart(model) else lambda batch: _flat(model.encode(batch, num_threads=1)), spelled)
+
+
+def _apart(model) -> bool:
+    """Whether words get the same tokens alone as inside a text.
+
+    They do in a BPE that leaves characters as they are and puts a space first, if no token holds a space behind
+    another character: then nothing is merged across the beginning of a run of spaces.
+    """
+    try:
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto, TrainerSpec
+    except ImportError:  # Without protobuf a model does not tell how it works.
+        return False
+    spec = ModelProto.FromString(model.serialized_model_proto())
+    rules = spec.normalizer_spec
+    own = {ModelProto.SentencePiece.USER_DEFINED, ModelProto.SentencePiece.UNUSED}
+    return (
+        spec.trainer_spec.model_type == TrainerSpec.BPE
+        and not (spec.trainer_spec.treat_whitespace_as_suffix or rules.precompiled_charsmap or rules.remove_extra_whitespaces)
+        and rules.add_dummy_prefix
+        and rules.escape_whitespaces
+        and not any(p.type in own or "▁" in p.piece.lstrip("▁") for p in spec.pieces)
+    )
+
+
+class _Words:
+    """A sentencepiece model whose words can be encoded alone: every distinct word of a part once, kept for later parts.
+
+    A word goes with the spaces before it. The first of them is the one the model adds.
+    """
+
+    def __init__(self, model):
+        self.model = model
+        self.kept: dict[str, bytes] = {}
+
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words, each after one more space, and how many each word has."""
+        new = [w for w in words if w not in self.kept]
+        ids, size = _flat(self.model.encode(new, num_threads=1))
+        packed, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(size)).tolist()
+        found = {w: packed[a:b] for w, a, b in zip(new, [0, *ends], ends)}
+        if "" in found:
+            found[""] = np.array([self.model.piece_to_id("▁")], "<i4").tobytes()
+        held = [found[w] if w in found else self.kept[w] for w in words]
+        if len(self.kept) + len(new) > PIECES:
+            # Those met again in this part are the likeliest to come back.
+            self.kept = {w: self.kept[w] for w in words if w in self.kept}
+        room = max(0, PIECES - len(self.kept))
+        self.kept.update(itertools.islice(((w, i) for w, i in found.items() if len(w) <= LONGEST_KEPT), room))
+        return np.frombuffer(b"".join(held), "<i4").astype(np.int64), np.fromiter(map(len, held), np.int64, len(held)) // 4
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = pa.array(batch, pa.string())
+        # Texts where spaces do more than part two words are cut before each run of them.
+        runs = pc.match_substring_regex(text, "^$|^ | $|  |▁").to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(text.filter(pa.array(~runs)), " ")
+        others = [[w[1:].replace("▁", " ") for w in RUN.findall(" " + batch[k])] if batch[k] else [] for k in np.flatnonzero(runs)]
+        words = pa.concat_arrays([plain.flatten(), pa.array(itertools.chain.from_iterable(others), pa.string())]).dictionary_encode()
+        ids, size = self.known(words.dictionary.to_pylist())
+        counts = np.zeros(len(batch), np.int64)
+        counts[~runs], counts[runs] = np.diff(plain.offsets.to_numpy()), [len(x) for x in others]
+        # Plain texts come first among the words: back into the order of the texts.
+        turn = np.concatenate([np.flatnonzero(~runs), np.flatnonzero(runs)])
+        first = np.zeros(len(batch), np.int64)
+        first[turn] = np.cumsum(counts[turn]) - counts[turn]
+        codes = words.indices.to_numpy()[_ranges(first, counts)]
+        tokens = ids[_ranges((np.cumsum(size) - size)[codes], size[codes])]
+        return tokens, sums_per_list(size[codes], np.append(0, np.cumsum(counts)))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges from ``start`` on with ``size`` numbers each, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _written(n: int, after: str) -> np.ndarray:

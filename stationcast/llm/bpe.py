@@ -7,8 +7,8 @@ each: every step deletes one boundary in every row that is not done. Pre-tokens
 scanning would be quadratic, give the same parts through a heap of ranks over linked parts.
 
 Texts are cut at every space that no white space follows: no pre-token reaches across such a place, so the
-distinct pieces of a part of an Arrow batch are pre-tokenized once, its distinct pre-tokens are merged once
-and kept in a bounded cache of the Python worker. Texts with longer white space runs or special strings are
+distinct pieces of a part of an Arrow batch are pre-tokenized once, its distinct pre-tokens are merged once,
+and both are kept in bounded caches of the Python worker. Texts with longer white space runs or special strings are
 pre-tokenized as a whole.
 
 Null text counts as empty and gives no ids. Every input row gives one row, repeated ids included; extra
@@ -34,6 +34,7 @@ LANE = 24
 LANES = 8192
 SHORT = 64
 CACHE = 120_000
+PIECES = 240_000
 PART_BYTES = 3 << 20
 LONGEST_KEPT = 64
 # Characters from here on may belong to another class in the installed regex module than in the tokenizer's.
@@ -185,12 +186,30 @@ class Codec:
         self.whole = f"[ ][{WHITE_SPACE}]" + "".join("|" + regex.escape(t).replace("<", "\\x3c").replace(">", "\\x3e") for t in self.added)
         self.pre_tokenize = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.kept: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         if text.isascii() or max(text) < NEWER_CHARACTERS:
             return self.findall(text)
         return [text[a:b] for _, (a, b) in self.pre_tokenize(text)]
 
+    def inner_tokens(self, pieces: list[str]) -> tuple[list[str], list[int]]:
+        """Pre-tokens of all pieces, each behind a space, and where each piece begins. No piece is empty or begins with white space.
+
+        No pre-token reaches across such a space, so the pieces are searched as one text and only their first pre-tokens begin with one.
+        """
+        text = " ".join(["", *pieces])
+        if text.isascii() or max(text, default="") < NEWER_CHARACTERS:
+            found = self.findall(text)
+            starts = [k for k, t in enumerate(found) if t[0] == " "]
+            if len(starts) == len(pieces):
+                return found, starts
+        found, starts = [], []
+        for piece in pieces:
+            starts.append(len(found))
+            found += self.pre_tokens(" " + piece)
+        return found, starts
+
     def merge(self, tokens: list[str]) -> list[bytes]:
         """Packed ids of every pre-token (not empty)."""
         words = [t.encode() for t in tokens]
@@ -233,20 +252,37 @@ class Codec:
         needed = ~first & ~np.repeat(whole, np.diff(offsets))
         used = np.flatnonzero(np.bincount(codes[needed], minlength=len(pieces.dictionary))).tolist()
         words = pieces.dictionary.to_pylist()
-        # Pre-tokens of each piece, of the first piece of each text, and of texts that are taken whole.
-        inner = {i: self.pre_tokens(" " + words[i]) for i in used}
+        ready: list[bytes] = [b""] * len(words)
+        met, missing = self.pieces, []
+        for i in used:
+            if (ids := met.get(words[i])) is None:
+                missing.append(i)
+            else:
+                ready[i] = ids
+        # Pre-tokens of each new piece, of the first piece of each text, and of texts that are taken whole.
+        older = [i for i in missing if (w := words[i]).isascii() or max(w) < NEWER_CHARACTERS]
+        newer = sorted(set(missing).difference(older)) if len(older) < len(missing) else []
+        inner = [(some, *self.inner_tokens([words[i] for i in some])) for some in (older, newer)]
         heads = [
             self.whole_tokens(text[k].as_py()) if whole[k] else self.pre_tokens(words[codes[offsets[k]]])
             for k in range(len(text))
         ]
-        known = self.packed({t for tokens in itertools.chain(inner.values(), heads) for t in tokens if isinstance(t, str)})
+        tokens = {t for head in heads for t in head if isinstance(t, str)}
+        tokens.update(*(found for _, found, _ in inner))
+        known = self.packed(tokens)
 
         def join(tokens: list[str | bytes]) -> bytes:
             return b"".join([known[t] if isinstance(t, str) else t for t in tokens])
 
-        ready: list[bytes] = [b""] * len(words)
-        for i, tokens in inner.items():
-            ready[i] = known[tokens[0]] if len(tokens) == 1 else join(tokens)
+        for some, found, starts in inner:
+            ids = [known[t] for t in found]
+            for i, a, b in zip(some, starts, [*starts[1:], len(found)]):
+                ready[i] = ids[a] if b - a == 1 else b"".join(ids[a:b])
+        if len(met) + len(missing) > PIECES:
+            # Those of this part are the likeliest to come back.
+            self.pieces = {words[i]: ready[i] for i in itertools.islice(used, PIECES) if words[i] in met and len(words[i]) <= LONGEST_KEPT}
+        room = max(0, PIECES - len(self.pieces))
+        self.pieces.update(itertools.islice(((words[i], ready[i]) for i in missing if len(words[i]) <= LONGEST_KEPT), room))
         return [
             join(head) if whole[k] else join(head) + b"".join(map(ready.__getitem__, codes[offsets[k] + 1 : offsets[k + 1]].tolist()))
             for k, head in enumerate(heads)

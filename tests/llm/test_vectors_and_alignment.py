@@ -177,3 +177,25 @@ def test_alignment_tokens_equal_the_library_with_special_strings_as_text():
     ids, counts = alignment.byte_tokens(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
     wanted = [lib.encode(" " + t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_words_encoded_alone_equal_the_library_on_whole_texts(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(3)
+    model, tokens = SentencePieceProcessor(model_file=path), alignment.piece_tokens(path)
+    seen = []
+    monkeypatch.setattr(SentencePieceProcessor, "Encode", lambda self, words, f=SentencePieceProcessor.Encode, **k: (seen.append(words), f(self, words, **k))[1])
+    monkeypatch.setattr(SentencePieceProcessor, "encode", SentencePieceProcessor.Encode)
+    monkeypatch.setattr(alignment, "PIECES", 20)
+    parts = [" ", "  ", "▁", "a", "b", "the", "\n", "\0", "é", "日本", "<s>", "<0x0A>", "\u3000", "\ufb01", "!"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(2000)] + ["", " ", "  ", "a ", " a", "▁"]
+    for some in (texts, texts[:30], [""], []):
+        ids, counts = tokens.encode(some)
+        want = [model.Encode(t) for t in some]
+        assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+    # A word that recurs in a part, or is kept from an earlier one, is not encoded again.
+    seen.clear()
+    for _ in range(2):
+        assert tokens.encode(["the house the house"] * 5)[1].tolist() == [4] * 5
+    assert [sorted(x) for x in seen] in ([["house", "the"], []], [["house"], []])
