@@ -8,8 +8,9 @@ scanning would be quadratic, give the same parts through a heap of ranks over li
 
 Texts are cut at every space that no white space follows: no pre-token reaches across such a place, so the
 distinct pieces of a part of an Arrow batch are pre-tokenized once, its distinct pre-tokens are merged once,
-and both are kept in bounded caches of the Python worker. Texts with longer white space runs or special strings are
-pre-tokenized as a whole.
+and both can be kept in bounded caches. Texts with longer white space runs or special strings are pre-tokenized as a
+whole. ``encode_texts`` and ``encode_and_decode`` keep pre-tokens only, and those no longer than a task: an idle
+Python worker counts as memory of its executor, so it holds the vocabulary and nothing else.
 
 Null text counts as empty and gives no ids. Every input row gives one row, repeated ids included; extra
 columns are not read. Ids are packed as little-endian unsigned 32-bit integers.
@@ -22,6 +23,7 @@ import itertools
 import json
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,9 @@ LANES = 8192
 SHORT = 64
 CACHE = 120_000
 PIECES = 240_000
-PART_BYTES = 3 << 20
+# Pre-tokens that a task of the operators below keeps, and text it takes at a time.
+TASK_CACHE = 60_000
+PART_BYTES = 1 << 20
 LONGEST_KEPT = 64
 # Characters from here on may belong to another class in the installed regex module than in the tokenizer's.
 NEWER_CHARACTERS = "԰"
@@ -154,10 +158,11 @@ def merge_lanes(ids: np.ndarray, pairs: Pairs) -> list[bytes]:
 class Codec:
     """Encoder and decoder made from the text of a byte-level tokenizer file and its pre-token pattern.
 
-    Without ``specials`` the strings of special tokens inside texts are plain text.
+    Without ``specials`` the strings of special tokens inside texts are plain text. At most ``cache`` pre-tokens and
+    ``cached_pieces`` pieces are kept between parts, until ``forget``.
     """
 
-    def __init__(self, spec: str, pattern: str, specials: bool = True):
+    def __init__(self, spec: str, pattern: str, specials: bool = True, cache: int = CACHE, cached_pieces: int = PIECES):
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -185,6 +190,11 @@ class Codec:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.whole = f"[ ][{WHITE_SPACE}]" + "".join("|" + regex.escape(t).replace("<", "\\x3c").replace(">", "\\x3e") for t in self.added)
         self.pre_tokenize = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.cache, self.cached_pieces = cache, cached_pieces
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the caches."""
         self.kept: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -234,10 +244,10 @@ class Codec:
         found = {t: self.kept[t] for t in tokens if t in self.kept}
         missing = sorted(tokens - found.keys())
         new = dict(zip(missing, self.merge(missing)))
-        if len(self.kept) + len(new) > CACHE:
+        if len(self.kept) + len(new) > self.cache:
             # Those met again in this part are the likeliest to come back.
             self.kept = found.copy()
-        room = max(0, CACHE - len(self.kept))
+        room = max(0, self.cache - len(self.kept))
         self.kept.update(itertools.islice(((t, v) for t, v in new.items() if len(t) <= LONGEST_KEPT), room))
         found.update(new)
         return found
@@ -278,10 +288,10 @@ class Codec:
             ids = [known[t] for t in found]
             for i, a, b in zip(some, starts, [*starts[1:], len(found)]):
                 ready[i] = ids[a] if b - a == 1 else b"".join(ids[a:b])
-        if len(met) + len(missing) > PIECES:
+        if len(met) + len(missing) > self.cached_pieces:
             # Those of this part are the likeliest to come back.
-            self.pieces = {words[i]: ready[i] for i in itertools.islice(used, PIECES) if words[i] in met and len(words[i]) <= LONGEST_KEPT}
-        room = max(0, PIECES - len(self.pieces))
+            self.pieces = {words[i]: ready[i] for i in itertools.islice(used, self.cached_pieces) if words[i] in met and len(words[i]) <= LONGEST_KEPT}
+        room = max(0, self.cached_pieces - len(self.pieces))
         self.pieces.update(itertools.islice(((words[i], ready[i]) for i in missing if len(words[i]) <= LONGEST_KEPT), room))
         return [
             join(head) if whole[k] else join(head) + b"".join(map(ready.__getitem__, codes[offsets[k] + 1 : offsets[k + 1]].tolist()))
@@ -305,9 +315,16 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _codec(sent):
+@contextmanager
+def _codec(sent) -> Iterator[Codec]:
+    """The worker's codec, whose caches end with the task."""
     spec, pattern, key = sent.value
-    return worker_state(f"codec_{key}", lambda: Codec(spec, pattern))
+    codec = worker_state(f"codec_{key}", lambda: Codec(spec, pattern, cache=TASK_CACHE, cached_pieces=0))
+    try:
+        yield codec
+    finally:
+        codec.forget()
+        pa.default_memory_pool().release_unused()
 
 
 def _sent(spark: SparkSession, tokenizer_path: str, pattern: str):
@@ -321,12 +338,11 @@ def encode_texts(spark: SparkSession, df: DataFrame, tokenizer_path: str, patter
     sent = _sent(spark, tokenizer_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent)
-        for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                ids = pa.array(codec.encode_all(flat_text(part)), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
-        pa.default_memory_pool().release_unused()
+        with _codec(sent) as codec:
+            for batch in batches:
+                for part in slices(batch, "text", PART_BYTES):
+                    ids = pa.array(codec.encode_all(flat_text(part)), pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return texts(df).mapInArrow(run, "doc_id long, ids binary")
 
@@ -340,11 +356,11 @@ def decode_ids(spark: SparkSession, df: DataFrame, tokenizer_path: str, pattern:
     sent = _sent(spark, tokenizer_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent)
-        for batch in batches:
-            for part in slices(batch, "ids", PART_BYTES):
-                ids = part.column("ids")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _decoded(codec, ids)], ["doc_id", "ids", "decoded"])
+        with _codec(sent) as codec:
+            for batch in batches:
+                for part in slices(batch, "ids", PART_BYTES):
+                    ids = part.column("ids")
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _decoded(codec, ids)], ["doc_id", "ids", "decoded"])
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
@@ -354,11 +370,10 @@ def encode_and_decode(spark: SparkSession, df: DataFrame, tokenizer_path: str, p
     sent = _sent(spark, tokenizer_path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent)
-        for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                ids = pa.array(codec.encode_all(flat_text(part)), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _decoded(codec, ids)], ["doc_id", "ids", "decoded"])
-        pa.default_memory_pool().release_unused()
+        with _codec(sent) as codec:
+            for batch in batches:
+                for part in slices(batch, "text", PART_BYTES):
+                    ids = pa.array(codec.encode_all(flat_text(part)), pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, _decoded(codec, ids)], ["doc_id", "ids", "decoded"])
 
     return texts(df).mapInArrow(run, "doc_id long, ids binary, decoded string")

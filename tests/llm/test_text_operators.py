@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,38 @@ def test_bpe_round_trip_equals_the_library(spark):
     assert bpe.encode_texts(spark, df.limit(0), *how).count() == bpe.encode_and_decode(spark, df.limit(0), *how).count() == 0
 
 
+def test_codecs_keep_nothing_of_a_task_that_has_ended(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame(rows([words(rng, ["ba", "na", "go", "tel"], 200) for _ in range(64)]), DOCS)
+    how = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+    def held(batches):
+        for _ in batches:
+            state = vars(sys.modules.get("stationcast_worker_state", object)).values()
+            sizes = [len(c.kept) + len(c.pieces) for c in state if type(c).__name__ == "Codec"]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["size"])
+
+    for run in (bpe.encode_texts, bpe.encode_and_decode):
+        assert len(run(spark, df, *how).collect()) == 64
+        sizes = [r.size for r in spark.range(0, 64, 1, 64).mapInArrow(held, "size long").collect()]
+        assert sizes and set(sizes) == {0}
+
+
+def test_codecs_give_the_same_ids_whatever_they_keep(spark):
+    rng = random.Random(9)
+    spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    plain = bpe.Codec(spec, public_tokenizers.PATTERN)
+    bounded = [bpe.Codec(spec, public_tokenizers.PATTERN, cache=c, cached_pieces=p) for c, p in ((0, 0), (50, 0), (50, 30))]
+    for k in range(5):
+        text = pa.array([t or "" for t in ODD] + [words(rng, ["ba", "na", "go", "tel"], 60) for _ in range(20)])
+        want = plain.encode_all(text)
+        for codec in bounded:
+            assert codec.encode_all(text) == want
+            assert len(codec.kept) <= codec.cache and len(codec.pieces) <= codec.cached_pieces
+            if k == 2:
+                codec.forget()
+
+
 def test_token_counts_equal_the_library_with_and_without_the_first_tier(spark):
     from tokenizers import Tokenizer
 
