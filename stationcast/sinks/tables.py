@@ -9,21 +9,28 @@ from stationcast.operators.cleaning import dedup_keep_first
 from stationcast.operators.upsert import KEYS, in_partitions, table_or_none, touched, upsert_table, write_months
 from stationcast.schemas import BRONZE_HOURLY, GOLD, PREDICTION, SILVER
 from stationcast.sinks.files import exists
+from stationcast.sinks.folders import local_path, write_new
 
 
 def write_bulk(df: DataFrame, path: str) -> None:
     """Bulk bronze by station, year and month (K1). Running it again replaces the months it holds.
 
     There is a folder for every station and month, so what each folder costs counts. A new table is written without
-    the swap of single folders that replacing months takes and that the driver does alone.
+    the swap of single folders that replacing months takes and that the driver does alone, and in a local file system
+    also without Hadoop's processes for every file and folder.
     """
     parts = ["city_slug", "year", "month"]
     rows = df.withColumn("year", F.date_format("timestamp", "yyyy")).withColumn("month", F.date_format("timestamp", "MM"))
+    spark = df.sparkSession
+    new = not exists(spark, path)
+    if new and (local := local_path(spark, path)):
+        write_new(rows, parts, ["timestamp"], local)
+        return
     writer = rows.hint("rebalance", *parts).sortWithinPartitions(*parts, "timestamp").write.partitionBy(*parts)
-    if exists(df.sparkSession, path):
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
+    if new:
         writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_hourly(spark: SparkSession, df: DataFrame, path: str, at: str = "timestamp") -> None:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from conftest import at, reading
@@ -9,7 +10,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from stationcast.operators import cleaning, joins, upsert
-from stationcast.schemas import READING, SILVER
+from stationcast.schemas import BRONZE_BULK, READING, SILVER
 from stationcast.sinks import tables as sinks
 from stationcast.sources import chunks, dimensions, responses, tables as sources
 
@@ -236,3 +237,43 @@ def test_bulk_folders_are_listed_in_few_tasks_and_swapped_only_where_months_are_
     found = {(r.city_slug, r.month): r.pm10 for r in back.collect()}
     assert len(found) == back.count() == 200
     assert {k: v for k, v in found.items() if v != 20.0} == {("s7", "01"): 1.5}
+
+
+ODD_SLUGS = ["a b", "x/y", "100%", "a+b", "%2F", "日本", "c=d", "q?#", "tab\t", "a:b*c", "", None]
+
+
+def _odd_rows(spark):
+    data = [(24 * i + n, at(24 * 20 * i) if n else None, s, float(i)) for i in range(4) for n, s in enumerate(ODD_SLUGS)]
+    return spark.createDataFrame(data, "dt long, timestamp timestamp, city_slug string, pm10 double").withColumn("aqi", F.lit(3))
+
+
+def test_a_new_bulk_table_is_written_whole_without_hadoop_files(spark, tmp_path):
+    path = str(tmp_path / "bulk")
+    rows = _odd_rows(spark)
+    # An empty station goes to the folder of a missing one, in the same task.
+    sinks.write_bulk(rows.coalesce(1), path)
+    names = [n for _, _, files in os.walk(path) for n in files]
+    assert sorted(n[:4] for n in names if not n.endswith(".parquet")) == ["_SUC"]
+    plain = spark.read.schema(BRONZE_BULK).parquet(path)
+    columns = ["dt", "timestamp", "pm10", "aqi", "city_slug", "year", "month"]
+    slug = F.when(F.col("city_slug") != "", F.col("city_slug"))
+    stamp = [F.date_format("timestamp", f).alias(n) for n, f in (("year", "yyyy"), ("month", "MM"))]
+    wanted = sorted(map(repr, rows.select("dt", "timestamp", "pm10", F.col("aqi").cast("double"), slug.alias("city_slug"), *stamp).collect()))
+    assert sorted(map(repr, plain.select(columns).collect())) == wanted
+
+    fails = rows.withColumn("pm10", F.when(F.col("dt") == 50, F.raise_error(F.lit("no"))).otherwise(F.col("pm10")))
+    with pytest.raises(Exception):
+        sinks.write_bulk(fails, str(tmp_path / "part"))
+    assert os.listdir(tmp_path) == ["bulk"]
+    sinks.write_bulk(rows.limit(0), str(tmp_path / "none"))
+    assert os.listdir(tmp_path / "none") == ["_SUCCESS"]
+
+
+def test_a_long_month_is_one_file_of_every_batch(spark, tmp_path):
+    path = str(tmp_path / "bulk")
+    month = spark.range(25_000).selectExpr("id AS dt", "timestamp_seconds(1767225600 + 60 * id) AS timestamp", "'a' AS city_slug", "1D AS pm10")
+    sinks.write_bulk(month, path)
+    back = sources.read_bulk(spark, path)
+    assert back.select("_file").distinct().count() == 1
+    assert [r.dt for r in back.orderBy("_row").collect()] == list(range(25_000))
+    assert back.select("city_slug", "year", "month").distinct().collect() == [("a", "2026", "01")]
