@@ -19,12 +19,44 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+def _unescaped(value: Column) -> Column:
+    """The value a folder stands for, null where it has none: escaped by its writer and again in the URI of a file."""
+    decoded = value
+    for _ in range(2):
+        # A plus sign stands for itself in paths.
+        decoded = F.coalesce(F.try_url_decode(F.replace(decoded, F.lit("+"), F.lit("%2B"))), decoded)
+    plain = F.when((value != "") & (value != "__HIVE_DEFAULT_PARTITION__"), value)
+    return F.when(value.contains("%"), decoded).otherwise(plain)
+
+
+def with_folders(df: DataFrame, names: Sequence[str], file: str = "_file") -> DataFrame:
+    """Columns of the last ``name=value`` folders of a path, as text; null in files that are not in such folders.
+
+    Each step is a projection of its own, so that a path is taken apart once a row.
+    """
+    parts, tail = [f"_folder_{n}" for n in names], F.substring_index(file, "/", -1 - len(names))
+    df = df.withColumn("_folders", tail)
+    df = df.withColumns({p: F.split_part("_folders", F.lit("/"), F.lit(i)) for i, p in enumerate(parts, 1)})
+    inside = F.lit(True)
+    for p, n in zip(parts, names):
+        inside = inside & F.startswith(p, F.lit(f"{n}="))
+    df = df.withColumns({p: F.when(inside, F.substr(p, F.lit(len(n) + 2))) for p, n in zip(parts, names)})
+    return df.withColumns({n: _unescaped(F.col(p)) for n, p in zip(names, parts)}).drop("_folders")
+
+
 def read_bulk(spark: SparkSession, root: str, named_folders: bool = True) -> DataFrame:
-    """Bulk bronze (S1). Folders are ``city_slug=/year=/month=``, or of any depth and naming."""
-    reader = spark.read.schema(BRONZE_BULK)
+    """Bulk bronze (S1). Folders are ``city_slug=/year=/month=``, or of any depth and naming.
+
+    Station, year and month are read off each file's path. Spark's own discovery of partitions does this in the
+    driver, in time that grows with the square of the folders. Files outside such folders keep the station they
+    hold and have no year and month.
+    """
+    rows = with_position(spark.read.schema(BRONZE_BULK).option("recursiveFileLookup", "true").parquet(root))
     if not named_folders:
-        reader = reader.option("recursiveFileLookup", "true")
-    return with_position(reader.parquet(root))
+        return rows
+    found = with_folders(rows.withColumnRenamed("city_slug", "_held"), ["city_slug", "year", "month"])
+    slug = F.when(F.col("_folder_city_slug").isNull(), F.col("_held")).otherwise(F.col("city_slug"))
+    return found.withColumn("city_slug", slug).select(*BRONZE_BULK.fieldNames(), "year", "month", "_file", "_row")
 
 
 def read_mixed_bulk(spark: SparkSession, roots: Sequence[str]) -> DataFrame:

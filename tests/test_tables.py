@@ -277,3 +277,18 @@ def test_a_long_month_is_one_file_of_every_batch(spark, tmp_path):
     assert back.select("_file").distinct().count() == 1
     assert [r.dt for r in back.orderBy("_row").collect()] == list(range(25_000))
     assert back.select("city_slug", "year", "month").distinct().collect() == [("a", "2026", "01")]
+
+
+def test_bulk_folders_are_read_off_the_paths_without_discovery_in_the_driver(spark, tmp_path):
+    path = str(tmp_path / "bulk")
+    sinks.write_bulk(_odd_rows(spark), path)
+    back = sources.read_bulk(spark, path)
+    relation = back._jdf.queryExecution().analyzed().collectLeaves().apply(0).relation()
+    assert relation.location().partitionSpec().partitions().isEmpty()
+    plain = sources.with_position(spark.read.schema(BRONZE_BULK).parquet(path))
+    assert back.dtypes == plain.dtypes and rows_of(back) == rows_of(plain) and back.count() == 48
+    assert back.where("city_slug = 'x/y' and year = '2026'").count() == 4
+    # Files in other folders keep the station they hold.
+    _odd_rows(spark).drop("aqi").where("dt < 2").write.parquet(str(tmp_path / "flat" / "year=2026"))
+    flat = sources.read_bulk(spark, str(tmp_path / "flat"))
+    assert {(r.city_slug, r.year, r.month) for r in flat.collect()} == {("a b", None, None), ("x/y", None, None)}
