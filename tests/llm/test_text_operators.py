@@ -364,3 +364,30 @@ def test_token_counts_do_not_depend_on_the_first_tier(spark, monkeypatch):
     texts = [t or "" for _, t, *_ in data]
     exact = [(i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)]
     assert found == [exact] * 3
+
+
+def test_the_first_tier_counts_every_row(spark, tmp_path):
+    path = str(tmp_path / "many")
+    # Word k stands in 2 + k % 3 texts; far more words than a sample of rows would hold, over more files than it would open.
+    texts = spark.range(36_000).selectExpr("id % 12000 AS k", "id DIV 12000 AS time").where("time < 2 OR k % 3 = 1")
+    extra = spark.range(12_000).selectExpr("id AS k").where("k % 3 = 2")
+    rows = texts.select("k").union(extra).union(extra)
+    rows.selectExpr("k AS doc_id", "concat('w', k) AS text").repartition(40).write.parquet(path)
+    df = spark.read.parquet(path)
+    by_count = sorted((f"w{k}" for k in range(12_000)), key=lambda w: (-(2 + int(w[1:]) % 3), w))
+    assert token_counts.frequent_words(df) == by_count
+    assert token_counts.frequent_words(df, 5) == by_count[:5]
+    assert token_counts.frequent_words(df, 0) == token_counts.frequent_words(df.limit(0)) == []
+
+
+def test_counts_beyond_the_bound_keep_every_word_above_its_share(monkeypatch):
+    monkeypatch.setattr(token_counts, "KEPT", 50)
+    rng = random.Random(5)
+    words = [f"rare{i}" for i in range(3000)] + [f"often{i}" for i in range(20) for _ in range(100 + i)]
+    rng.shuffle(words)
+    batches = [pa.record_batch([pa.array([" ".join(words[i : i + 7])])], ["text"]) for i in range(0, len(words), 7)]
+    parts = [list(token_counts._counted(batches[i::3])) for i in range(3)]
+    assert all(sum(map(len, p)) <= 50 for p in parts)
+    found = {r["word"]: r["n"] for b in token_counts._merged(b for p in parts for b in p) for r in b.to_pylist()}
+    most = len(words) / 51
+    assert all(100 + i - most <= found[f"often{i}"] <= 100 + i for i in range(20)) and len(found) <= 50
